@@ -5,13 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import entropy_mix, quality_rules
+from granary.llm import decontaminate, entropy_mix, license_scan, quality_rules, simhash_dedup, warc_store
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(_table(spark, sf_dir, "documents"))
+
+
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op3_warc_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_store.round_trip(_table(spark, sf_dir, "pages"))
+
+
+def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash_dedup.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op6_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entropy_mix.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
@@ -54,5 +71,19 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM b
 """
 
-QUERIES = {"op6_entropy_mix": op6_entropy_mix, "op10_quality_rules": op10_quality_rules}
-ORACLE_SQL = {"op10_quality_rules": OP10_SQL}
+OP3_SQL = """
+WITH p AS (
+  SELECT page_id, sha1(encode(coalesce(html, ''))) AS payload_digest, strlen(coalesce(html, ''))::BIGINT AS payload_bytes,
+         max(page_id) OVER (PARTITION BY coalesce(html, '')) AS owner
+  FROM pages)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> owner THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> owner THEN owner END AS refers_to
+FROM p
+"""
+
+QUERIES = {
+    "op1_license_scan": op1_license_scan, "op2_decontaminate": op2_decontaminate, "op3_warc_store": op3_warc_store,
+    "op4_simhash_dedup": op4_simhash_dedup, "op6_entropy_mix": op6_entropy_mix, "op10_quality_rules": op10_quality_rules,
+}
+ORACLE_SQL = {"op3_warc_store": OP3_SQL, "op10_quality_rules": OP10_SQL}
