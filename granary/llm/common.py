@@ -61,9 +61,15 @@ def range_buckets(df: DataFrame, key: str, rows_per_bucket: int = 200_000) -> Da
         return df.withColumn("bucket_no", F.lit(0))
     cuts = df.agg(F.percentile_approx(key, [i / n for i in range(1, n)], 10_000)).first()[0]
     cuts = sorted(set(cuts))
-    at = F.array(*[F.lit(int(c)).cast("long") for c in cuts])
-    # width_bucket has no array form, so a binary search over the sorted bounds is written as nested conditions
-    return df.withColumn("bucket_no", F.coalesce(_search(F.col(key), cuts, 0, len(cuts)), F.lit(0))) if len(cuts) <= 64 else df.withColumn("bucket_no", F.coalesce(F.size(F.filter(at, lambda c: c < F.col(key))), F.lit(0)))
+    # first among about sqrt(n) coarse bounds, then among the bounds between two of them
+    step = math.ceil(math.sqrt(len(cuts)))
+    groups = [cuts[i : i + step] for i in range(0, len(cuts), step)]
+    coarse = _search(F.col(key), [g[-1] for g in groups], 0, len(groups))
+    inner = F.get(F.array(*[F.array(*[F.lit(int(c)).cast("long") for c in g]) for g in groups]), F.col("_coarse"))
+    fine = F.coalesce(F.size(F.filter(inner, lambda c: c < F.col(key))), F.lit(0))
+    found = df.withColumn("_coarse", F.coalesce(coarse, F.lit(0)))
+    number = F.when(F.col(key).isNull(), 0).when(F.col("_coarse") >= len(groups), len(cuts)).otherwise(F.col("_coarse") * step + fine)
+    return found.withColumn("bucket_no", number.cast("int")).drop("_coarse")
 
 
 def _search(key: Column, cuts: list, low: int, high: int) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import decontaminate, entropy_mix, license_scan, quality_rules, simhash_dedup, warc_store
+from granary.llm import decontaminate, entropy_mix, license_scan, quality_rules, repair_tokens, simhash_dedup, warc_store
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op6_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entropy_mix.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op8_repair_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_tokens.round_trip(_table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_rules.ledger(_table(spark, sf_dir, "documents"))
     return found.select(
@@ -84,6 +88,7 @@ FROM p
 
 QUERIES = {
     "op1_license_scan": op1_license_scan, "op2_decontaminate": op2_decontaminate, "op3_warc_store": op3_warc_store,
-    "op4_simhash_dedup": op4_simhash_dedup, "op6_entropy_mix": op6_entropy_mix, "op10_quality_rules": op10_quality_rules,
+    "op4_simhash_dedup": op4_simhash_dedup, "op6_entropy_mix": op6_entropy_mix, "op8_repair_tokens": op8_repair_tokens,
+    "op10_quality_rules": op10_quality_rules,
 }
 ORACLE_SQL = {"op3_warc_store": OP3_SQL, "op10_quality_rules": OP10_SQL}
