@@ -7,8 +7,9 @@ one row aligned to its keys.  So a key that is in every document costs one entry
 are hashes, and the shuffle carries bytes, not rows.  The table is bucketed by chunk, so answers meet their chunk without
 moving texts again.
 
-Chunk and bucket sizes follow from the input: a chunk holds CHUNK_BYTES (one longer document stands alone), and P grows
-with the number of chunks, so that a bucket stays within a task's memory.
+Chunk and bucket sizes follow from the input: there are as many buckets as chunks, and a chunk grows with the root of the
+input, from CHUNK_BYTES to MOST_CHUNK_BYTES (one longer document stands alone), so that rows of the exchange stay large
+and a bucket stays within a task's memory.
 """
 
 from __future__ import annotations
@@ -27,19 +28,24 @@ from pyspark.sql import functions as F
 from granary.llm.common import scratch_path
 
 CHUNK_BYTES = 12_000_000
-#: Buckets a chunk; a bucket gets about as many bytes as a chunk has keys / P, from every chunk.
-BUCKETS_PER_CHUNK = 1
+MOST_CHUNK_BYTES = 256_000_000
+#: Bit of a document's flags: its id is null.
+NO_ID = 128
 
 _SCHEMA = "chunk_id long, n_docs int, n_bytes long, doc_ids binary, flags binary, lengths binary, data binary"
 
 
-def pack(docs: DataFrame, flag=None, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """The chunk table of docs (doc_id, text): ids, one flag a document, byte lengths and all texts in a row.
+def chunk_size(docs: DataFrame) -> int:
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return int(min(MOST_CHUNK_BYTES, max(CHUNK_BYTES, 400 * size**0.5)))
 
-    Rows without an id are left out; callers that must keep them add them at the end.
-    """
-    spark = docs.sparkSession
-    flagged = docs.where("doc_id IS NOT NULL").select("doc_id", "text", (F.lit(0) if flag is None else flag).cast("int").alias("flag"))
+
+def pack(docs: DataFrame, flag=None, chunk_bytes: int | None = None) -> DataFrame:
+    """The chunk table of docs (doc_id, text): ids, flags (bit 0: flag, NO_ID), byte lengths and all texts in a row."""
+    docs = docs.select("doc_id", "text")
+    chunk_bytes = chunk_bytes or chunk_size(docs)
+    one = (F.lit(False) if flag is None else F.coalesce(flag, F.lit(False))).cast("int")
+    flagged = docs.select(F.coalesce("doc_id", F.lit(0)).cast("long").alias("doc_id"), "text", (one + F.when(F.col("doc_id").isNull(), NO_ID).otherwise(0)).alias("flag"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, flags, texts, size = [], [], [], 0
@@ -59,7 +65,7 @@ def pack(docs: DataFrame, flag=None, chunk_bytes: int = CHUNK_BYTES) -> DataFram
                     yield emit()
                     ids, flags, texts, size = [], [], [], 0
                 ids.append(i)
-                flags.append(f or 0)
+                flags.append(f)
                 texts.append(raw)
                 size += len(raw)
         if ids:
@@ -88,7 +94,8 @@ class Chunk:
     def __init__(self, row) -> None:
         self.chunk_id = int(row.chunk_id)
         self.doc_ids = np.frombuffer(row.doc_ids, np.int64)
-        self.flags = np.frombuffer(row.flags, np.uint8)
+        flags = np.frombuffer(row.flags, np.uint8)
+        self.flag, self.no_id = (flags & 1).astype(bool), (flags & NO_ID) > 0
         self.lengths = np.frombuffer(row.lengths, np.int64)
         self.starts = np.zeros(len(self.lengths) + 1, np.int64)
         np.cumsum(self.lengths, out=self.starts[1:])
@@ -103,7 +110,7 @@ def opened(frame: pd.DataFrame) -> Iterator[Chunk]:
 
 def n_buckets(spark: SparkSession, chunks: DataFrame) -> int:
     """About as many buckets as chunks: each then gets about what one chunk sends."""
-    return max(1, min(chunks.count() * BUCKETS_PER_CHUNK, 1 << 16))
+    return max(1, min(chunks.count(), 1 << 16))
 
 
 def bucket_of(keys: np.ndarray, n: int) -> np.ndarray:
@@ -125,11 +132,40 @@ def restored(blob: bytes, dtype) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), dtype)
 
 
-def per_row(rows: DataFrame, fn, schema: str) -> DataFrame:
-    """fn over each row of a table of large rows, one at a time: an Arrow batch would hold thousands."""
-    key = "chunk_id"
+def ids_of(chunk: Chunk) -> pd.Series:
+    return pd.Series(chunk.doc_ids).astype("Int64").mask(chunk.no_id)
+
+
+def sent(chunk_id: int, keys: np.ndarray, buckets: int, **columns: np.ndarray) -> list[dict]:
+    """One row for each bucket with a part of sorted keys; columns: further arrays aligned to the keys."""
+    at = slices(keys, buckets)
+    rows = []
+    for b in np.flatnonzero(np.diff(at)).tolist():
+        part = slice(at[b], at[b + 1])
+        rows.append({"bucket": b, "chunk_id": chunk_id, "keys": keys[part].tobytes()} | {k: squeezed(v[part]) for k, v in columns.items()})
+    return rows
+
+
+class Merged:
+    """What all chunks sent to one bucket: distinct keys, and for each sent key its place among them."""
+
+    def __init__(self, frame: pd.DataFrame) -> None:
+        self.rows = frame
+        parts = [np.frombuffer(k, np.uint64) for k in frame["keys"]]
+        self.lengths = np.array([len(p) for p in parts])
+        self.ends = np.cumsum(self.lengths)
+        self.keys, self.places = np.unique(np.concatenate(parts), return_inverse=True)
+
+    def column(self, name: str, dtype) -> np.ndarray:
+        return np.concatenate([restored(x, dtype) for x in self.rows[name]])
+
+    def answers(self, values: np.ndarray) -> pd.DataFrame:
+        """values (one for each sent key) as one row for each chunk."""
+        blobs = [squeezed(values[e - n : e]) for e, n in zip(self.ends, self.lengths, strict=True)]
+        return pd.DataFrame({"chunk_id": self.rows["chunk_id"].to_numpy(), "bucket": self.rows["bucket"].to_numpy(), "answer": blobs})
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        return fn(frame)
 
-    return rows.groupBy(key).applyInPandas(run, schema)
+def answered(frame: pd.DataFrame, dtype) -> np.ndarray:
+    """The answers to one chunk, in the order of its keys."""
+    frame = frame.sort_values("bucket")
+    return np.concatenate([restored(x, dtype) for x in frame["answer"]]) if len(frame) else np.empty(0, dtype)

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import decontaminate, entropy_mix, license_scan, quality_rules, repair_tokens, simhash_dedup, warc_store
+from granary.llm import backoff_lm, decontaminate, entropy_mix, gru_langid, license_scan, quality_rules, repair_tokens, simhash_dedup, warc_store
+
+from granary.llm.common import crc_class
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,10 +31,22 @@ def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash_dedup.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op5_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return backoff_lm.score(docs, held_out=crc_class(F.col("doc_id"), 7) == 2)
+
+
 def op6_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entropy_mix.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op7_gru_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = F.coalesce(crc_class(F.col("doc_id"), 4) == 2, F.lit(False))
+    found = gru_langid.identify(docs, learnable=~held_out)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op8_repair_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_tokens.round_trip(_table(spark, sf_dir, "documents"))
 
@@ -88,7 +102,7 @@ FROM p
 
 QUERIES = {
     "op1_license_scan": op1_license_scan, "op2_decontaminate": op2_decontaminate, "op3_warc_store": op3_warc_store,
-    "op4_simhash_dedup": op4_simhash_dedup, "op6_entropy_mix": op6_entropy_mix, "op8_repair_tokens": op8_repair_tokens,
+    "op4_simhash_dedup": op4_simhash_dedup, "op5_backoff_lm": op5_backoff_lm, "op6_entropy_mix": op6_entropy_mix, "op7_gru_langid": op7_gru_langid, "op8_repair_tokens": op8_repair_tokens,
     "op10_quality_rules": op10_quality_rules,
 }
 ORACLE_SQL = {"op3_warc_store": OP3_SQL, "op10_quality_rules": OP10_SQL}
