@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import backoff_lm, decontaminate, entropy_mix, gru_langid, license_scan, quality_rules, repair_tokens, simhash_dedup, warc_store
+from granary.llm import backoff_lm, decontaminate, entropy_mix, gru_langid, license_scan, quality_rules, repair_tokens, rindex_dedup, simhash_dedup, warc_store
 
 from granary.llm.common import crc_class
 
@@ -51,6 +51,10 @@ def op8_repair_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_tokens.round_trip(_table(spark, sf_dir, "documents"))
 
 
+def op9_rindex_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rindex_dedup.mark(_table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_rules.ledger(_table(spark, sf_dir, "documents"))
     return found.select(
@@ -103,6 +107,6 @@ FROM p
 QUERIES = {
     "op1_license_scan": op1_license_scan, "op2_decontaminate": op2_decontaminate, "op3_warc_store": op3_warc_store,
     "op4_simhash_dedup": op4_simhash_dedup, "op5_backoff_lm": op5_backoff_lm, "op6_entropy_mix": op6_entropy_mix, "op7_gru_langid": op7_gru_langid, "op8_repair_tokens": op8_repair_tokens,
-    "op10_quality_rules": op10_quality_rules,
+    "op9_rindex_dedup": op9_rindex_dedup, "op10_quality_rules": op10_quality_rules,
 }
 ORACLE_SQL = {"op3_warc_store": OP3_SQL, "op10_quality_rules": OP10_SQL}

@@ -163,23 +163,24 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, most: int = MOST, s
     """doc_id, fp and component_id (smallest id that links of fingerprints reach) of every row of docs (doc_id, text)."""
     prints = written(fingerprints(docs, shingle), "simhash-prints")
     # one row for each fingerprint, with its smallest document: a group of copies of any size is one row from here on
-    groups = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    groups = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
     groups = written(groups, "simhash-groups")
     roots = components(links(groups.select("fp"), most, segments))
-    rooted = groups.join(roots, groups["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    labels = rooted.join(smallest, "root").select(F.col("fp").alias("_fp"), "component_id", "first_id")
-    # only fingerprints of several documents, or linked ones, need the join; and those of one crowd are spread by salt
+    rooted = groups.join(roots, groups["fp"] == roots["node"], "left").select("fp", "first_id", "n", F.coalesce("root", "fp").alias("root"))
+    smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"), F.sum("n").alias("size"))
+    # a document alone in its component is its own label; the others are looked up, a crowd's label once for each salt
     salts = 16
-    salted = labels.select("*", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
-    dealt = prints.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
-    return dealt.join(salted, (F.col("fp") == F.col("_fp")) & (dealt["_salt"] == salted["_salt"])).select("doc_id", "fp", "component_id")
+    salt = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt")
+    labels = rooted.join(smallest.where("size > 1"), "root").select(F.col("fp").alias("_fp"), "component_id", salt)
+    dealt = prints.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
+    found = dealt.join(labels, (F.col("fp") == F.col("_fp")) & (F.col("salt") == F.col("_salt")), "left")
+    return found.select("doc_id", "fp", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_first(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """The rows of docs whose id is the smallest of its component, with their own columns."""
-    first = near_duplicates(docs, shingle).where("doc_id = component_id").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(first, docs["doc_id"] == first["_kept_id"], "left_semi")
+    """The rows of docs without those whose id is not the smallest of its component; a row without an id stays."""
+    spare = near_duplicates(docs, shingle).where("doc_id <> component_id").select(F.col("doc_id").alias("_spare_id")).distinct()
+    return docs.join(spare, docs["doc_id"] == spare["_spare_id"], "left_anti")
 
 
 def hexadecimal(fp: Column) -> Column:
