@@ -10,19 +10,29 @@ INVERSE = pow(BASE, -1, 1 << 64)
 #: fixed values: the finalizer of SplitMix64
 MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
+#: Prefix sums are made block by block, so that temporaries stay small.
+BLOCK = 1 << 16
+
 _POWERS: dict[int, np.ndarray] = {}
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    """base^0 .. base^(n-1) modulo 2^64; kept by the worker for its next batches."""
-    have = _POWERS.get(base)
-    if have is None or len(have) < n:
-        have = np.empty(max(n, 1 << 16), np.uint64)
-        have[0] = 1
-        have[1:] = np.uint64(base)
-        np.cumprod(have, out=have)
-        _POWERS[base] = have
-    return have[:n]
+def _block_powers(base: int) -> np.ndarray:
+    if base not in _POWERS:
+        table = np.full(BLOCK, base, np.uint64)
+        table[0] = 1
+        _POWERS[base] = np.cumprod(table, dtype=np.uint64)
+    return _POWERS[base]
+
+
+def powers_at(base: int, at: np.ndarray) -> np.ndarray:
+    """base^at modulo 2^64, from a table for the places inside a block and one for the blocks."""
+    if not len(at):
+        return np.empty(0, np.uint64)
+    step = pow(base, BLOCK, 1 << 64)
+    blocks = np.full(int(at.max()) // BLOCK + 1, step, np.uint64)
+    blocks[0] = 1
+    np.cumprod(blocks, out=blocks)
+    return blocks[at >> 16] * _block_powers(base)[at & (BLOCK - 1)]
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -37,18 +47,30 @@ class Rolling:
     def __init__(self, symbols: np.ndarray) -> None:
         n = len(symbols)
         self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum((symbols.astype(np.uint64) + np.uint64(1)) * powers(BASE, n), out=self.sums[1:])
+        table, scale, step = _block_powers(BASE), np.uint64(1), np.uint64(pow(BASE, BLOCK, 1 << 64))
+        with np.errstate(over="ignore"):
+            for i in range(0, n, BLOCK):
+                part = symbols[i : i + BLOCK].astype(np.uint64) + np.uint64(1)
+                np.cumsum(part * table[: len(part)], out=part)
+                self.sums[i + 1 : i + 1 + len(part)] = part * scale + self.sums[i]
+                scale = scale * step
 
     def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        n = len(self.sums)
-        return mixed((self.sums[end] - self.sums[start]) * powers(INVERSE, n)[start] + (end - start).astype(np.uint64))
+        return mixed((self.sums[end] - self.sums[start]) * powers_at(INVERSE, start) + (end - start).astype(np.uint64))
 
     def grams(self, k: int) -> np.ndarray:
         """Of every k symbols in a row."""
         n = len(self.sums) - k
         if n <= 0:
             return np.empty(0, np.uint64)
-        return mixed((self.sums[k:] - self.sums[:-k]) * powers(INVERSE, n))
+        out = np.empty(n, np.uint64)
+        table, scale, step = _block_powers(INVERSE), np.uint64(1), np.uint64(pow(INVERSE, BLOCK, 1 << 64))
+        with np.errstate(over="ignore"):
+            for i in range(0, n, BLOCK):
+                j = min(n, i + BLOCK)
+                out[i:j] = mixed((self.sums[i + k : j + k] - self.sums[i:j]) * table[: j - i] * scale)
+                scale = scale * step
+        return out
 
 
 def joined(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from granary.llm.common import scratch_path
 
-CHUNK_BYTES = 12_000_000
+CHUNK_BYTES = 4_000_000
 MOST_CHUNK_BYTES = 256_000_000
 #: Bit of a document's flags: its id is null.
 NO_ID = 128
@@ -37,7 +37,7 @@ _SCHEMA = "chunk_id long, n_docs int, n_bytes long, doc_ids binary, flags binary
 
 def chunk_size(docs: DataFrame) -> int:
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return int(min(MOST_CHUNK_BYTES, max(CHUNK_BYTES, 400 * size**0.5)))
+    return int(min(MOST_CHUNK_BYTES, max(CHUNK_BYTES, 250 * size**0.5)))
 
 
 def pack(docs: DataFrame, flag=None, chunk_bytes: int | None = None) -> DataFrame:
