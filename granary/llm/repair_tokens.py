@@ -23,6 +23,7 @@ first; other columns are left alone; an empty table gives an empty container.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +34,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from granary.llm.bytes_np import ranges
 from granary.llm.chunks import restored, squeezed
 from granary.llm.common import range_buckets, scratch_path
 
@@ -43,7 +45,15 @@ LEAST = 64
 ROUNDS = 5
 ROWS_PER_SHARD = 1_500
 #: Words that a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 800_000
+#: Marks that may end a word.
+MARKS = ".,;:!?)]}*#$%&|\""
+
+# the byte-level form of text: printable bytes stand for themselves, the others for the letters from U+0100 on
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_FORM = {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if b not in _SHOWN)}
+#: Remembered for parts with white space at an edge; no encoding has one byte.
+UNSAFE = b"?"
 
 _WORKER: dict[str, object] = {}
 
@@ -53,38 +63,80 @@ class Encoder:
 
     Its pre-tokenizer never joins a letter with the blank before the next word's blank, so the parts of a text between
     single blanks can be encoded one by one, each with its blank before it.  That fails only where white space stands at
-    a part's edge; such a text is encoded whole.
+    a part's edge; such a text is encoded whole.  New parts are encoded as one line: each has exactly one blank, in its
+    first token, so the tokens that begin with a blank show where the next part begins.
     """
 
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.memory: dict[str, bytes | None] = {}
+        self.model = self.tokenizer.model
+        self.memory: dict[str, bytes] = {}
+        self.openings: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.begins[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True  # the byte-level form of a blank
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, parts: list[str]) -> None:
-        new = [p for p in dict.fromkeys(parts) if p not in self.memory]
+    def opening(self, text: str) -> bytes:
+        """The first part of a text, which has no blank before it."""
+        found = self.openings.get(text)
+        if found is None:
+            if len(self.openings) >= REMEMBERED // 4:
+                self.openings.clear()
+            found = self.openings[text] = self.whole(text)
+        return found
+
+    def learn(self, new: set[str]) -> None:
         if len(self.memory) + len(new) > REMEMBERED:
             self.memory.clear()
-            new = list(dict.fromkeys(parts))
-        found = self.tokenizer.encode_batch_fast([" " + p for p in new], add_special_tokens=False)
-        for part, x in zip(new, found, strict=True):
-            self.memory[part] = None if not part or part[0].isspace() or part[-1].isspace() else np.array(x.ids, "<u4").tobytes()
+        plain, ended = set(), []
+        for part in new:
+            if not part or part[0].isspace() or part[-1].isspace():
+                self.memory[part] = UNSAFE
+                continue
+            # marks after a letter or digit are a token run of their own, so the word is known without them too
+            word = part.rstrip(MARKS)
+            if len(word) < len(part) and word and word[-1].isalnum():
+                ended.append((part, word, part[len(word) :]))
+                if word not in self.memory:
+                    plain.add(word)
+            else:
+                plain.add(part)
+        letters = [x for x in plain if x.isalpha()]
+        for word in letters:  # letters alone are one pre-token: the model can take them as they are
+            self.memory[word] = array("I", [t.id for t in self.model.tokenize((" " + word).encode().decode("latin-1").translate(BYTE_FORM))]).tobytes()
+        plain = [x for x in plain if not x.isalpha()]
+        lines = [plain[i : i + 1000] for i in range(0, len(plain), 1000)]
+        encoded = self.tokenizer.encode_batch_fast([" " + " ".join(line) for line in lines], add_special_tokens=False)
+        for line, x in zip(lines, encoded, strict=True):
+            ids = np.array(x.ids, "<u4")
+            at = np.flatnonzero(self.begins[ids])
+            if len(at) != len(line):
+                raise ValueError("the tokenizer joins words")
+            raw, ends = ids.tobytes(), (4 * np.append(at, len(ids))).tolist()
+            self.memory.update(zip(line, (raw[a:b] for a, b in zip(ends, ends[1:], strict=False)), strict=True))
+        for part, word, marks in ended:
+            self.memory[part] = self.memory[word] + self.opening(marks)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         split = [(t or "").split(" ") for t in texts]
-        self.learn([p for parts in split for p in parts[1:]])
+        firsts = [parts.pop(0) for parts in split]
+        known = [list(map(self.memory.get, parts)) for parts in split]
+        gaps = [[i for i, x in enumerate(own) if x is None] for own in known]
+        self.learn({parts[i] for parts, at in zip(split, gaps, strict=True) for i in at})
         out = []
-        for text, parts in zip(texts, split, strict=True):
-            own = [self.memory[p] for p in parts[1:]]
+        for text, first, parts, own, at in zip(texts, firsts, split, known, gaps, strict=True):
+            for i in at:
+                own[i] = self.memory[parts[i]]
             if not text:
                 out.append(b"")
-            elif None in own or not parts[0] or parts[0][0].isspace() or parts[0][-1].isspace():
+            elif UNSAFE in own or not first or first[0].isspace() or first[-1].isspace():
                 out.append(self.whole(text))
             else:
-                out.append(self.whole(parts[0]) + b"".join(own))
+                out.append(self.opening(first) + b"".join(own))
         return out
 
 
@@ -106,20 +158,20 @@ def repair(ids: np.ndarray, first: int = FIRST, least: int = LEAST, rounds: int
         ok = np.ones(len(key), bool) if separator is None else (seq[:-1] != separator) & (seq[1:] != separator)
         # the second of three equal symbols begins no pair of its own
         ok[1:] &= ~((seq[:-2] == seq[1:-1]) & (seq[1:-1] == seq[2:]))
-        # bins that are too small hold no frequent pair: only the others are sorted
-        bins = ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
-        ok &= np.bincount(bins[ok], minlength=1 << 20)[bins] >= least
-        pairs, inverse, counts = np.unique(key[ok], return_inverse=True, return_counts=True)
-        if not len(pairs) or counts.max() < least:
-            break
+        # bins that are too small hold no frequent pair: only the places of others are sorted
+        bins = ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(43)).astype(np.int32)
+        often = np.bincount(bins[ok], minlength=1 << 21) >= least
+        places = np.flatnonzero(ok & often[bins])
         # an occurrence is replaced if its pair is more frequent than those it overlaps with (ties: the earlier place)
-        count = np.zeros(len(key), np.int64)
-        count[ok] = counts[inverse]
+        count = np.zeros(len(key), np.int32)
+        count[places] = _counts(key[places], bins[places])
         count[count < least] = 0
-        left = np.concatenate([[0], count[:-1]])
-        right = np.concatenate([count[1:], [0]])
-        take = (count > 0) & (count > left) & (count >= right)
-        at = np.flatnonzero(take)
+        if not count.any():
+            break
+        places = places[count[places] > 0]
+        left, here = np.where(places > 0, count[places - 1], 0), count[places]
+        right = np.where(places + 1 < len(count), count[np.minimum(places + 1, len(count) - 1)], 0)
+        at = places[(here > left) & (here >= right)]
         chosen, which, n = np.unique(key[at], return_inverse=True, return_counts=True)
         worth = n >= max(2, least // 4)
         if not worth.any():
@@ -140,18 +192,30 @@ def repair(ids: np.ndarray, first: int = FIRST, least: int = LEAST, rounds: int
     return rules, lengths, seq
 
 
+def _counts(key: np.ndarray, bins: np.ndarray) -> np.ndarray:
+    """How often each key occurs.  Bins that hold one key are counted directly, keys that share a bin are sorted."""
+    kept = np.zeros(1 << 21, np.uint64)
+    kept[bins] = key
+    alone = kept[bins] == key
+    out = np.bincount(bins[alone], minlength=1 << 21)[bins]
+    rest = np.flatnonzero(~alone)
+    if len(rest):
+        _, inverse, n = np.unique(key[rest], return_inverse=True, return_counts=True)
+        out[rest] = n[inverse]
+    return out
+
+
 def expand(seq: np.ndarray, rules: np.ndarray, first: int = FIRST) -> np.ndarray:
-    """The ids of a sequence; rules only refer to earlier symbols, so each pass opens one level."""
-    seq = np.asarray(seq, np.uint32)
-    while len(seq) and (big := seq >= first).any():
-        size = np.where(big, 2, 1)
-        at = np.cumsum(size) - size
-        out = np.empty(int(size.sum()), np.uint32)
-        out[at[~big]] = seq[~big]
-        pair = rules[seq[big].astype(np.int64) - first]
-        out[at[big]], out[at[big] + 1] = pair[:, 0], pair[:, 1]
-        seq = out
-    return seq
+    """The ids of a sequence: every symbol's expansion stands once in a table, from which the sequence is gathered."""
+    seq = np.asarray(seq, np.int64)
+    parts: list[np.ndarray] = []
+    one = np.arange(first, dtype=np.uint32)
+    for a, b in rules.tolist():
+        parts.append(np.concatenate([parts[x - first] if x >= first else one[x : x + 1] for x in (a, b)]))
+    lengths = np.concatenate([np.ones(first, np.int64), np.fromiter(map(len, parts), np.int64, len(parts))])
+    starts = np.cumsum(lengths) - lengths
+    table = np.concatenate([one, *parts])
+    return table[ranges(starts[seq], lengths[seq])]
 
 
 def expansion_lengths(seq: np.ndarray, lengths: np.ndarray, first: int = FIRST) -> np.ndarray:
