@@ -14,7 +14,7 @@ and a bucket stays within a task's memory.
 
 from __future__ import annotations
 
-import hashlib
+import itertools
 import uuid
 from collections.abc import Iterator
 
@@ -22,6 +22,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,12 +50,13 @@ def pack(docs: DataFrame, flag=None, chunk_bytes: int | None = None) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, flags, texts, size = [], [], [], 0
+        number = itertools.count()
 
         def emit() -> pa.RecordBatch:
             key = np.array(ids, np.int64).tobytes()
             lengths = np.array([len(t) for t in texts], np.int64)
-            # named by its documents, so a task that runs twice names its chunks alike
-            chunk = int.from_bytes(hashlib.blake2b(key + lengths.tobytes(), digest_size=8).digest(), "little", signed=True)
+            # named by its task and its number there: equal documents in two tasks are still two chunks
+            chunk = (TaskContext.get().partitionId() << 32) + next(number)
             data = zstandard.ZstdCompressor(level=1).compress(b"".join(texts))
             return pa.RecordBatch.from_pylist([{"chunk_id": chunk, "n_docs": len(ids), "n_bytes": size, "doc_ids": key, "flags": np.array(flags, np.uint8).tobytes(), "lengths": lengths.tobytes(), "data": data}], schema=_arrow())
 
