@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from granary.llm.bytes_np import Rolling, ranges, sliding_min
-from granary.llm.chunks import Chunk, Merged, answered, bucket_of, ids_of, n_buckets, opened, pack, restored, sent, squeezed
+from granary.llm.chunks import Chunk, Merged, answered, bucket_of, chunk_size, ids_of, n_buckets, opened, pack, restored, sent, squeezed
 from granary.llm.common import written
 
 LENGTH = 50
@@ -74,7 +74,8 @@ class RunLengthIndex:
         self.run_length = np.diff(np.append(self.run_start, n))
         self.run_end_sample = suffixes[np.append(self.run_start[1:], n) - 1]
         # where the rows of a run go under the mapping: ends keep their rows, bytes follow in the order of their symbols
-        order = np.lexsort((self.run_start, self.run_symbol))
+        # in the order of symbols, and of rows for one symbol; ends come first, their order does not matter
+        order = np.argsort(np.maximum(self.run_symbol, -1).astype(np.int16), kind="stable")
         mapped = np.empty(len(order), np.int64)
         sizes_in_order = self.run_length[order]
         is_end = self.run_symbol[order] < 0
@@ -82,17 +83,19 @@ class RunLengthIndex:
         at = np.cumsum(np.where(is_end, 0, sizes_in_order)) - np.where(is_end, 0, sizes_in_order) + base
         mapped[order] = np.where(is_end, -1 - self.run_symbol[order], at)
         self.run_mapped = mapped
+        # for the walk: how far a run's rows move, and the run of each row
+        self.run_shift = mapped - self.run_start
+        self.run_of = np.repeat(np.arange(len(self.run_start), dtype=np.int32), self.run_length)
         # marks: rows that share LENGTH bytes with the row before lie in the same interval
         self.mark = np.cumsum(~shared) - 1
-        stretch_of = np.searchsorted(ends, suffixes)
+        stretch_of = np.repeat(np.arange(self.n_stretches), sizes + 1)[suffixes]
         heads = np.flatnonzero(~shared)
         self.smallest = np.minimum.reduceat(owners[stretch_of], heads) if n else np.empty(0, np.int64)
         self.sizes = sizes
 
     def before(self, rows: np.ndarray) -> np.ndarray:
         """The row of the suffix that is one symbol longer."""
-        run = np.searchsorted(self.run_start, rows, "right") - 1
-        return self.run_mapped[run] + rows - self.run_start[run]
+        return self.run_shift[self.run_of[rows]] + rows
 
     def smallest_owners(self, length: int = LENGTH) -> np.ndarray:
         """For each byte of each stretch in a row: the smallest owner of its next `length` bytes; -1 if it has fewer.
@@ -125,7 +128,7 @@ def _sorted_suffixes(symbol: np.ndarray, ends: np.ndarray, length: int) -> tuple
     key = np.zeros(n, np.uint64)
     for k in range(7):  # 9 bits a symbol
         key = (key << np.uint64(9)) | np.where(to_end > k, room[k : k + n], np.uint64(0))
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)  # ties are resolved below
     rank = np.empty(n, np.int64)
     sorted_key = key[order]
     new = np.concatenate([[True], sorted_key[1:] != sorted_key[:-1]])
@@ -154,11 +157,11 @@ def _sorted_suffixes(symbol: np.ndarray, ends: np.ndarray, length: int) -> tuple
         if short is None and width * 2 >= length:
             short, half = rank.copy(), width
         at = order[tied]
-        second = ahead(at, width)
-        sub = np.lexsort((second, rank[at]))
+        pair = (rank[at] << 32) | (ahead(at, width) + len(ends))  # places are far below 2^31
+        sub = np.argsort(pair)
         order[tied] = at[sub]
-        first_key, second = rank[at][sub], second[sub]
-        fresh = np.concatenate([[True], (first_key[1:] != first_key[:-1]) | (second[1:] != second[:-1])])
+        pair = pair[sub]
+        fresh = np.concatenate([[True], pair[1:] != pair[:-1]])
         new[tied] = fresh
         group = tied[np.flatnonzero(fresh)[np.cumsum(fresh) - 1]]
         rank[at[sub]] = group
@@ -176,20 +179,21 @@ class Anchored:
         n_windows = max(0, len(chunk.data) - length + 1)
         doc = np.repeat(np.arange(len(chunk.lengths), dtype=np.int32), chunk.lengths)
         if not n_windows:
-            self.window = self.place = np.empty(0, np.int64)
+            self.window = self.place = np.empty(0, np.int32)
             self.doc = np.empty(0, np.int32)
             self.keys = np.empty(0, np.uint64)
             return
         grams = Rolling(chunk.data).grams(k)
         # a gram's rank is the upper half of its hash; with its place below, minima are the first of the smallest
-        packed = (grams & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=np.uint64)
-        spot = (sliding_min(packed, length - k + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        packed = grams & np.uint64(0xFFFFFFFF00000000)
+        packed |= np.arange(len(grams), dtype=np.uint64)
+        packed = sliding_min(packed, length - k + 1)
+        spot = packed.astype(np.uint32).view(np.int32)  # the lower half
         del packed
-        hit = np.zeros(len(grams), bool)
-        inside = doc[:n_windows] == doc[length - 1 :]
-        self.window = np.flatnonzero(inside)
+        self.window = np.flatnonzero(doc[:n_windows] == doc[length - 1 :]).astype(np.int32)
         self.place = spot[self.window]
         self.doc = doc[self.window]
+        hit = np.zeros(len(grams), bool)
         hit[self.place] = True
         self.grams = grams
         places = np.flatnonzero(hit)
@@ -214,7 +218,7 @@ class Anchored:
         found = np.minimum(np.searchsorted(shared_keys, key), len(shared_keys) - 1)
         ok = shared_keys[found] == key
         at, count, key = at[ok], count[ok], key[ok]
-        return key, self.doc[at].astype(np.int64), self.window[at], count + self.length - 1
+        return key, self.doc[at].astype(np.int64), self.window[at].astype(np.int64), count + self.length - 1
 
 
 def _distinct(hashes: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -268,9 +272,8 @@ def index_bucket(data: np.ndarray, lengths: np.ndarray, owners: np.ndarray) -> n
 def mark(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and spans (pairs of 64-bit byte places) of every row of docs."""
     spark = docs.sparkSession
-    chunks = pack(docs)
+    chunks = pack(docs, chunk_bytes=chunk_size(docs) // 2)  # anchors take more memory for a byte than word counts
     buckets = n_buckets(spark, chunks)
-    fine = 4 * buckets  # an index takes some hundred bytes for each of its own
 
     def anchors(frame: pd.DataFrame) -> pd.DataFrame:
         rows = []
@@ -292,7 +295,7 @@ def mark(docs: DataFrame) -> DataFrame:
     def stretches(frame: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
         rows = []
         for chunk in opened(frame):
-            (start, length, owner, bucket), _ = _sent_stretches(chunk, got, fine)
+            (start, length, owner, bucket), _ = _sent_stretches(chunk, got, buckets)
             for b in np.unique(bucket).tolist():
                 own = bucket == b
                 rows.append({"bucket": b, "chunk_id": chunk.chunk_id, "lengths": squeezed(length[own].astype(np.uint32)), "owners": squeezed(owner[own]), "data": squeezed(chunk.data[ranges(start[own], length[own])])})
@@ -315,7 +318,7 @@ def mark(docs: DataFrame) -> DataFrame:
     def cut(frame: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
         out = [pd.DataFrame(columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])]
         for chunk in opened(frame):
-            (_, sent_length, _, _), (doc, start, length, sent_as) = _sent_stretches(chunk, got[got["kind"] == 0], fine)
+            (_, sent_length, _, _), (doc, start, length, sent_as) = _sent_stretches(chunk, got[got["kind"] == 0], buckets)
             smallest = answered(got[got["kind"] == 1], np.int64)
             out.append(_cut(chunk, doc, start, length, sent_as, sent_length, smallest))
         return pd.concat(out[1:] or out)

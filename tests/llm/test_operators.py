@@ -287,7 +287,7 @@ def test_repeats(spark, make, odd, monkeypatch):
         for p in range(len(t) - 49):
             first.setdefault(t[p : p + 50], i)
     pack = chunks.pack
-    monkeypatch.setattr(rindex_dedup, "pack", lambda d: pack(d, chunk_bytes=5000))
+    monkeypatch.setattr(rindex_dedup, "pack", lambda d, **k: pack(d, chunk_bytes=5000))
     got = {x.doc_id: x for x in rindex_dedup.mark(make(texts)).collect()}
     for i, t in docs:
         gone = np.zeros(len(t), bool)
