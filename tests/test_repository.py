@@ -178,3 +178,60 @@ def test_stream(spark, tmp_path):
     q = audit_stream.append(audit_stream.read(spark, str(tmp_path / "in"), "audit_id string, timestamp timestamp"), str(tmp_path / "out"), str(tmp_path / "state"))
     q.awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+PROGRAM = """000100 IDENTIFICATION DIVISION.
+000200 PROGRAM-ID. DEMO.
+000300 ENVIRONMENT DIVISION.
+000400 INPUT-OUTPUT SECTION.
+000500 FILE-CONTROL.
+000600     SELECT ACCT-FILE ASSIGN TO ACCTFILE
+000700            ORGANIZATION IS INDEXED
+000800            RECORD KEY IS ACCT-ID.
+000900 DATA DIVISION.
+001000 FILE SECTION.
+001100 FD  ACCT-FILE.
+001200     COPY CVACT01Y.
+001300 WORKING-STORAGE SECTION.
+001400 01 WS-COUNT PIC 9(4).
+001500 PROCEDURE DIVISION.
+001600 MAIN-PARA.
+001700     MOVE 1 TO WS-COUNT.
+001800     CALL 'SUBPGM' USING WS-COUNT.
+"""
+
+
+def test_program_tree(spark):
+    from granary.operators import program
+
+    lines = lines_of(spark, PROGRAM, "DEMO.cbl")
+    marks = program.owned(program.markers(lines))
+    got = {(r.kind, r.name, r.owner) for r in marks.collect()}
+    assert ("copy", "CVACT01Y", "ACCT-FILE") in got and ("operation", "MOVE", "MAIN-PARA") in got and ("file_control", "FILE-CONTROL", "INPUT-OUTPUT") in got
+    facts = program.facts(marks).first()
+    assert facts.divisions == ["IDENTIFICATION", "ENVIRONMENT", "DATA", "PROCEDURE"] and facts.called_programs == ["SUBPGM"] and facts.copybooks == ["CVACT01Y"]
+    items = spark.createDataFrame([("DEMO.cbl", 14, "WS-COUNT")], "path string, line_no int, name string")
+    r = program.item_owners(marks, items).first()
+    assert (r.section, r.fd) == ("WORKING-STORAGE", None)
+    files = spark.createDataFrame([("DEMO.cbl", PROGRAM)], "path string, content string")
+    selects = evidence.select_clauses(files)
+    s = selects.first()
+    assert (s.name, s.assign_to, s.organization, s.record_key) == ("ACCT-FILE", "ACCTFILE", "INDEXED", "ACCT-ID")
+    found = program.locate_layouts(spark.createDataFrame([("AWS.CARDDEMO.ACCTFILE",)], "dataset string"), marks, selects, spark.createDataFrame([("cpy/CVACT01Y.cpy",)], "path string")).first()
+    assert found.copybook_path == "cpy/CVACT01Y.cpy"
+
+
+def test_schema(spark):
+    from granary.operators import schema
+
+    rows = ("01 CUST.", " 05 ID PIC 9(9).", " 05 FILLER PIC X.", " 05 TAGS PIC X(4) OCCURS 3 TIMES.", " 05 ADDR OCCURS 2 TIMES.", "  10 LINE-X PIC X(30).", " 05 NOTES PIC X(2) OCCURS 50 TIMES.", " 05 ODO OCCURS 1 TO 5 TIMES DEPENDING ON N.", "  10 V PIC X.", " 05 SUB.", "  10 ID PIC X(3).")
+    nodes = layout.layout(lines_of(spark, "\n".join(rows), "CUST.cpy"))
+    s = schema.generate(nodes)
+    assert {(r.table_name, r.parent_table) for r in s.tables.collect()} == {("CUST", None), ("CUST_CUST_ADDR", "CUST"), ("CUST_CUST_NOTES", "CUST")}
+    columns = {(r.table_name, r.column_name): r.sql_type for r in s.columns.collect()}
+    assert columns[("CUST", "TAGS")] == "VARCHAR(4)[]" and columns[("CUST", "CUST_SUB_ID")] == "VARCHAR(3)" and columns[("CUST", "RECORD_ID")] == "BIGSERIAL"
+    assert columns[("CUST_CUST_ADDR", "LINE_X")] == "VARCHAR(30)" and columns[("CUST_CUST_NOTES", "NOTES")] == "VARCHAR(2)" and ("CUST", "V") not in columns
+    assert [r.source_path for r in s.reviews.collect()] == ["CUST.ODO"]
+    assert relational.preflight(s.tables, s.columns, s.foreign_keys).count() == 0
+    ddl = {r.table_name: r.ddl for r in relational.emit(s.tables, s.columns, s.foreign_keys).collect()}
+    assert ddl["CUST_CUST_ADDR"].endswith('FOREIGN KEY ("parent_record_id") REFERENCES "cust" ("record_id")\n);')
