@@ -67,9 +67,9 @@ def descendants(nodes: DataFrame, most: int = 50) -> DataFrame:
     return out
 
 
-def structure(nodes: DataFrame) -> DataFrame:
+def structure(nodes: DataFrame, below: DataFrame | None = None) -> DataFrame:
     """For every node: leaves, repetitions and overlays below it (its own left out), safe named leaves, length."""
-    below = descendants(nodes).join(nodes.select("node_id", "pic", "occurs_min", "redefines_target", "is_filler", "byte_length"), "node_id")
+    below = (below or descendants(nodes)).join(nodes.select("node_id", "pic", "occurs_min", "redefines_target", "is_filler", "byte_length"), "node_id")
     inner = F.col("distance") > 0
     stats = below.groupBy("root").agg(
         F.count_if(F.col("pic").isNotNull()).alias("leaves"),
@@ -81,9 +81,9 @@ def structure(nodes: DataFrame) -> DataFrame:
     return nodes.join(stats, nodes["node_id"] == stats["root"]).drop("root")
 
 
-def overlays(nodes: DataFrame) -> DataFrame:
+def overlays(nodes: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """node_id, target_id, strategy, confidence of every overlay; its target is the last earlier sibling of that name."""
-    known = structure(nodes)
+    known = known or structure(nodes)
     facts = F.struct(F.col("byte_length").alias("length"), "leaves", "occurs", "redefines", "safe", "is_group")
     one = known.where("redefines_target IS NOT NULL").select("path", "node_id", "parent_id", "seq", "redefines_target", facts.alias("alternate"))
     other = known.select(F.col("path").alias("_path"), F.col("parent_id").alias("_parent"), F.col("seq").alias("_seq"), F.col("name").alias("_name"), F.col("node_id").alias("target_id"), facts.alias("original"))
@@ -92,9 +92,9 @@ def overlays(nodes: DataFrame) -> DataFrame:
     return last.select("node_id", "target_id", redefines_strategy(original=F.col("original"), alternate=F.col("alternate"), parsed=F.lit(True)).alias("r")).select("node_id", "target_id", "r.*")
 
 
-def repetitions(nodes: DataFrame) -> DataFrame:
+def repetitions(nodes: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """node_id, strategy, confidence, element_type of every repeating item."""
-    known = structure(nodes).where("occurs_min IS NOT NULL")
+    known = (known or structure(nodes)).where("occurs_min IS NOT NULL")
     element = sql_type(F.col("pic_category"), F.col("precision"), F.col("scale"), F.col("logical_length"), F.col("usage"))["sql_type"]
     found = occurs_strategy(
         variable=F.col("occurs_depending_on").isNotNull(), unknown=F.lit(False), count=F.coalesce("occurs_max", "occurs_min"), is_group=F.col("is_group"),

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from granary.functions.picture import sql_type
 from granary.functions.text import schema_identifier, stem
-from granary.operators.resolve import descendants, overlays, repetitions
+from granary.operators.resolve import descendants, overlays, repetitions, structure
+from granary.sources.repository import cut
 
 
 @dataclass(frozen=True)
@@ -26,26 +27,27 @@ class Schema:
     reviews: DataFrame
 
 
-def name_paths(nodes: DataFrame) -> DataFrame:
+def name_paths(nodes: DataFrame, below: DataFrame) -> DataFrame:
     """node_id, names (of all ancestors and the item, from the root)."""
-    up = descendants(nodes).join(nodes.select(F.col("node_id").alias("root"), F.col("name").alias("_name")), "root")
+    up = below.join(nodes.select(F.col("node_id").alias("root"), F.col("name").alias("_name")), "root")
     return up.groupBy("node_id").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("distance")).alias("d"), F.col("_name").alias("n")))), lambda x: x["n"]).alias("names"))
 
 
-def decisions(nodes: DataFrame) -> DataFrame:
+def decisions(nodes: DataFrame, known: DataFrame) -> DataFrame:
     """node_id, kind (filler, overlay, repetition), strategy, confidence, element_type."""
     filler = nodes.where("is_filler").select("node_id", F.lit("filler").alias("kind"), F.lit("EXCLUDE_FILLER").alias("strategy"), F.lit("HIGH").alias("confidence"), F.lit(None).cast("string").alias("element_type"))
-    over = overlays(nodes.where("NOT is_filler OR redefines_target IS NULL")).select("node_id", F.lit("overlay").alias("kind"), "strategy", "confidence", F.lit(None).cast("string").alias("element_type"))
-    again = repetitions(nodes).join(over.select("node_id"), "node_id", "left_anti").join(filler.select("node_id"), "node_id", "left_anti")
+    over = overlays(nodes, known).select("node_id", F.lit("overlay").alias("kind"), "strategy", "confidence", F.lit(None).cast("string").alias("element_type"))
+    again = repetitions(nodes, known).join(over.select("node_id"), "node_id", "left_anti").join(filler.select("node_id"), "node_id", "left_anti")
     return filler.unionByName(over.join(filler.select("node_id"), "node_id", "left_anti")).unionByName(again.select("node_id", F.lit("repetition").alias("kind"), "strategy", "confidence", "element_type"))
 
 
 def generate(nodes: DataFrame) -> Schema:
     """The schema of all layouts in nodes (as `layout.layout` gives them)."""
-    decided = decisions(nodes).persist()
-    below = descendants(nodes).persist()
-    paths = name_paths(nodes)
-    known = nodes.join(paths, "node_id").select("*", schema_identifier(stem("path")).alias("record"))
+    # each of these is used several times below
+    nodes = cut(nodes)
+    below = cut(descendants(nodes))
+    decided = cut(decisions(nodes, cut(structure(nodes, below))))
+    known = cut(nodes.join(name_paths(nodes, below), "node_id").select("*", schema_identifier(stem("path")).alias("record")))
     stops = decided.where("strategy NOT IN ('CHILD_TABLE', 'INLINE_ARRAY', 'ALTERNATE_REPRESENTATION')").select(F.col("node_id").alias("root"))
     gone = below.join(stops, "root", "left_semi").select("node_id").distinct()
     # the child table that an item belongs to: the nearest decided ancestor above it, or itself for a scalar
@@ -54,7 +56,7 @@ def generate(nodes: DataFrame) -> Schema:
     above = below.join(children, "root").where("distance > 0").groupBy("node_id").agg(F.min_by("root", "distance").alias("outer"))
     named = known.select(F.col("node_id").alias("child"), F.concat_ws("_", "record", schema_identifier(F.array_join("names", "_"))).alias("child_name"))
     items = known.join(gone, "node_id", "left_anti").join(nearest, "node_id", "left").join(named, "child", "left")
-    items = items.withColumn("table_name", F.coalesce("child_name", "record"))
+    items = cut(items.withColumn("table_name", F.coalesce("child_name", "record")))
     arrays = decided.where("kind = 'repetition'").select("node_id", "strategy", "element_type")
     leaves = items.where("pic IS NOT NULL AND NOT is_filler").join(arrays, "node_id", "left")
     mapped = sql_type(F.col("pic_category"), F.col("precision"), F.col("scale"), F.col("logical_length"), F.col("usage"))
