@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from granary.functions import picture, text
-from granary.operators import audit, classify, graph, layout, lookup, relational, resolve
+from granary.operators import audit, classify, evidence, graph, layout, lookup, program, relational, resolve, schema
 from granary.plans.registry import register, table
 from granary.sources import repository
 
@@ -388,3 +388,41 @@ SELECT n_name, count(DISTINCT c_custkey) AS customers, string_agg(DISTINCT c_mkt
 def q40(spark, sf_dir):
     rows = table(spark, sf_dir, "customer").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))  # 25 nations at every size
     return rows.groupBy("n_name").agg(F.countDistinct("c_custkey").alias("customers"), F.array_join(F.array_sort(F.collect_set("c_mktsegment")), ",").alias("segments"))
+
+
+# ------------------------------------------------------------------ programs and jobs, on stated rows
+
+PROGRAM = (
+    "000100 IDENTIFICATION DIVISION.", "000200 PROGRAM-ID. DEMO.", "000300 ENVIRONMENT DIVISION.", "000400 INPUT-OUTPUT SECTION.", "000500 FILE-CONTROL.", "000600     SELECT ACCT-FILE ASSIGN TO ACCTFILE.", "000700 DATA DIVISION.",
+    "000800 FILE SECTION.", "000900 FD  ACCT-FILE.", "001000     COPY CVACT01Y.", "001100 PROCEDURE DIVISION.", "001200 MAIN-PARA.", "001300     MOVE 1 TO WS-COUNT.", "001400     CALL 'SUBPGM' USING WS-COUNT.", "001500     IF WS-COUNT > 0", "001600     END-IF.",
+)
+JOB = (
+    "//TESTJOB JOB CLASS=A", "//JOBLIB DD DSN=A,DISP=SHR", "//       DD DSN=B,DISP=SHR", "//* a comment", "//STEP1 EXEC PGM=AAA", "//STEPLIB DD DSN=C,DISP=SHR", "//        DD DSN=D,", "//        DISP=(NEW,CATLG)", "//SYSPRINT DD SYSOUT=*",
+    "//STEP2 EXEC PROC=MYPROC", "//IN DD *", "data", "//OUT DD DUMMY", "//TMP DD DSN=&&WORK,DISP=OLD",
+)
+
+
+def _stated(spark: SparkSession, path: str, rows: tuple[str, ...]) -> DataFrame:
+    return spark.createDataFrame([(path, i, s) for i, s in enumerate(rows, 1)], "path string, line_no int, text string")
+
+
+@register("q41_program_tree", """SELECT * FROM (VALUES (1, 'division', 'IDENTIFICATION', NULL), (2, 'program_id', 'DEMO', 'IDENTIFICATION'), (3, 'division', 'ENVIRONMENT', NULL), (4, 'section', 'INPUT-OUTPUT', 'ENVIRONMENT'),
+ (5, 'file_control', 'FILE-CONTROL', 'INPUT-OUTPUT'), (7, 'division', 'DATA', NULL), (8, 'section', 'FILE', 'DATA'), (9, 'fd', 'ACCT-FILE', 'FILE'), (10, 'copy', 'CVACT01Y', 'ACCT-FILE'), (11, 'division', 'PROCEDURE', NULL),
+ (12, 'paragraph', 'MAIN-PARA', 'PROCEDURE'), (13, 'operation', 'MOVE', 'MAIN-PARA'), (14, 'operation', 'CALL', 'MAIN-PARA'), (15, 'operation', 'IF', 'MAIN-PARA')) v(line_no, kind, name, owner)""")
+def q41(spark, sf_dir):
+    return program.owned(program.markers(_stated(spark, "DEMO.cbl", PROGRAM))).select("line_no", "kind", "name", "owner")
+
+
+@register("q42_job_allocations", """SELECT * FROM (VALUES (2, 'JOBLIB', 'A', 'job', 0), (3, 'JOBLIB', 'B', 'job', 1), (6, 'STEPLIB', 'C', 'STEP1', 0), (7, 'STEPLIB', 'D', 'STEP1', 1), (9, 'SYSPRINT', '*', 'STEP1', 0),
+ (11, 'IN', 'INSTREAM', 'STEP2', 0), (13, 'OUT', 'DUMMY', 'STEP2', 0), (14, 'TMP', '&&WORK', 'STEP2', 0)) v(source_line, dd, value, scope, position)""")
+def q42(spark, sf_dir):
+    p = F.col("properties")
+    return evidence.data_definitions(_stated(spark, "JOB.jcl", JOB)).select("source_line", F.col("entity_name").alias("dd"), "value", F.coalesce(p["step_name"], F.lit("job")).alias("scope"), p["position"].cast("int").alias("position"))
+
+
+@register("q43_schema_columns", """SELECT * FROM (VALUES ('CUSTOMER', 'RECORD_ID', 'BIGSERIAL'), ('CUSTOMER', 'CUSTOMER_ID', 'VARCHAR(10)'), ('CUSTOMER', 'BIRTHDATE', 'VARCHAR(10)'), ('CUSTOMER', 'B_M', 'SMALLINT'), ('CUSTOMER', 'B_D', 'SMALLINT'), ('CUSTOMER', 'B_Y', 'SMALLINT'),
+ ('CUSTOMER', 'FLAG', 'VARCHAR(1)'), ('CUSTOMER', 'PHONE', 'VARCHAR(10)[]'), ('CUSTOMER', 'BALANCE', 'NUMERIC(12,2)'), ('CUSTOMER', 'COUNTER', 'INTEGER'),
+ ('CUSTOMER_CUSTOMER_LINES', 'PARENT_RECORD_ID', 'BIGINT'), ('CUSTOMER_CUSTOMER_LINES', 'OCCURRENCE_INDEX', 'INTEGER'), ('CUSTOMER_CUSTOMER_LINES', 'LINE_NO', 'SMALLINT'), ('CUSTOMER_CUSTOMER_LINES', 'LINE_TEXT', 'VARCHAR(20)')) v(table_name, column_name, sql_type)""")
+def q43(spark, sf_dir):
+    nodes = layout.layout(_stated(spark, "CUSTOMER.cpy", COPYBOOK))
+    return schema.generate(nodes).columns.select("table_name", "column_name", "sql_type")
