@@ -28,7 +28,7 @@ from granary.llm.bytes_np import LOWER_TABLE, Rolling, joined, mixed, word_spans
 MASKS = ("11101100101", "11010011011", "11111111")
 LEAST = 13
 AGREE = 80
-#: Seeds of the benchmark that may be broadcast: 16 bytes each.
+#: Seeds of the benchmark that may be broadcast: some 30 bytes each.
 SMALL = 2_000_000
 
 _STRIP = bytes(range(33, 48)) + bytes(range(58, 65)) + bytes(range(91, 97)) + bytes(range(123, 127))
@@ -91,20 +91,34 @@ def overlap(a: np.ndarray, b: np.ndarray, at_a: int, at_b: int, least: int = LEA
     return j + begin, stop - begin, found
 
 
-def _benchmark(bench: DataFrame) -> DataFrame:
-    """One row for each seed: seed, item_id, place, and the item's token hashes as bytes."""
+def _items(bench: DataFrame) -> DataFrame:
+    """item_key, item_id, item (token hashes as bytes): each distinct item once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            toks, first = tokens(batch.column(1).to_pylist())
-            item_of = np.repeat(np.arange(len(first) - 1), np.diff(first))
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            toks, first = tokens(batch.column(2).to_pylist())
+            own = [toks[a:b].tobytes() for a, b in zip(first, first[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own, pa.binary())], ["item_key", "item_id", "item"])
+
+    keyed = bench.where("item_id IS NOT NULL").select(F.xxhash64("item_id", "text").alias("item_key"), "item_id", "text").distinct()
+    return keyed.mapInArrow(run, "item_key long, item_id long, item binary")
+
+
+def _seeds(items: DataFrame) -> DataFrame:
+    """seed, item_key, place: one row for each seed of each item."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [np.frombuffer(x, np.uint64) for x in batch.column(1).to_pylist()]
+            first = np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int64)
+            toks = np.concatenate([*own, np.empty(0, np.uint64)])
+            item_of = np.repeat(np.arange(len(own)), np.diff(first))
+            keys = batch.column(0).to_numpy(zero_copy_only=False)
             for h, at in seeds(toks, first):
                 item = item_of[at]
-                own = [toks[first[i] : first[i + 1]].tobytes() for i in range(len(first) - 1)]
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids[item], pa.int64()), pa.array(at - first[item], pa.int32()), pa.array([own[i] for i in item], pa.binary())], ["seed", "item_id", "place", "item"])
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(keys[item], pa.int64()), pa.array(at - first[item], pa.int32())], ["seed", "item_key", "place"])
 
-    return bench.where("item_id IS NOT NULL").select("item_id", "text").mapInArrow(run, "seed long, item_id long, place int, item binary")
+    return items.select("item_key", "item").mapInArrow(run, "seed long, item_key long, place int")
 
 
 _OUT = "doc_id long, item_id long, first_token long, n_tokens long, n_equal long"
@@ -127,22 +141,22 @@ def _compare(doc_ids, toks, first, doc_of, place, item_id, item_place, item) ->
 
 def overlaps(docs: DataFrame, bench: DataFrame, small: int = SMALL) -> DataFrame:
     """doc_id, item_id, first_token, n_tokens, n_equal: the longest verified overlap of each document with each item."""
-    seeded = _benchmark(bench)
-    count = seeded.count()
-    found = _broadcast_hits(docs, seeded) if count <= small else _joined_hits(docs, seeded)
+    items = _items(bench)
+    seeded = _seeds(items)
+    found = _broadcast_hits(docs, items, seeded) if seeded.count() <= small else _joined_hits(docs, items, seeded)
     best = F.max_by(F.struct("first_token", "n_tokens", "n_equal"), F.struct("n_equal", "n_tokens", -F.col("first_token"))).alias("x")
     return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "x.*")
 
 
-def _broadcast_hits(docs: DataFrame, seeded: DataFrame) -> DataFrame:
-    rows = seeded.toPandas()  # at most SMALL seeds, counted above
+def _broadcast_hits(docs: DataFrame, items: DataFrame, seeded: DataFrame) -> DataFrame:
+    rows, whole = seeded.toPandas(), items.toPandas()  # at most SMALL seeds, counted above; an item has no more tokens than seeds and LEAST
+    rows["seed"] = rows["seed"].to_numpy(np.int64).view(np.uint64)
     rows = rows.sort_values("seed", kind="stable")
-    table = docs.sparkSession.sparkContext.broadcast((rows["seed"].to_numpy(np.int64).view(np.uint64), rows["item_id"].to_numpy(np.int64), rows["place"].to_numpy(np.int64), rows["item"].to_numpy()))
+    number = whole.reset_index().set_index("item_key")["index"]
+    table = docs.sparkSession.sparkContext.broadcast((rows["seed"].to_numpy(np.uint64), number.reindex(rows["item_key"]).to_numpy(np.int64), rows["place"].to_numpy(np.int64), whole["item_id"].to_numpy(np.int64), whole["item"].to_numpy()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        signed, item_ids, places, items = table.value
-        order = np.argsort(signed)
-        known, item_ids, places, items = signed[order], item_ids[order], places[order], items[order]
+        known, item, places, item_ids, tokens_of = table.value
         # a quick test by 20 bits of the seed, before the search among all seeds
         quick = np.zeros(1 << 20, bool)
         quick[(known >> np.uint64(44)).astype(np.int64)] = True
@@ -160,12 +174,12 @@ def _broadcast_hits(docs: DataFrame, seeded: DataFrame) -> DataFrame:
                 which = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 hits.append((np.repeat(at, n), which))
             place, which = (np.concatenate(x) for x in zip(*hits, strict=True))
-            yield _compare(ids, toks, first, doc_of[place], place, item_ids[which], places[which], items[which])
+            yield _compare(ids, toks, first, doc_of[place], place, item_ids[item[which]], places[which], tokens_of[item[which]])
 
     return docs.select("doc_id", "text").mapInArrow(run, _OUT)
 
 
-def _joined_hits(docs: DataFrame, seeded: DataFrame) -> DataFrame:
+def _joined_hits(docs: DataFrame, items: DataFrame, seeded: DataFrame) -> DataFrame:
     """The same by a shuffle of the documents' seeds: for benchmarks of any size.  Needs unique ids."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,7 +193,7 @@ def _joined_hits(docs: DataFrame, seeded: DataFrame) -> DataFrame:
 
     rows = docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(emit, "seed long, doc_id long, at long")
     # each diagonal of a document and an item once, with the item's tokens
-    hits = rows.join(seeded, "seed").groupBy("doc_id", "item_id", (F.col("at") - F.col("place")).alias("shift")).agg(F.first("item").alias("item"))
+    hits = rows.join(seeded, "seed").select("doc_id", "item_key", (F.col("at") - F.col("place")).alias("shift")).distinct().join(items, "item_key")
     whole = docs.select(F.col("doc_id").alias("_id"), "text").join(hits.select("doc_id").distinct(), F.col("_id") == F.col("doc_id"), "left_semi")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
