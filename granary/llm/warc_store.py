@@ -8,11 +8,12 @@ files.
 Of records with equal payloads of at least LEAST bytes the one with the largest id is a response and the others revisit
 it; shorter payloads are cheaper to repeat and are all responses.
 
-Payload bytes are only moved by joins with one response for each payload; what a third of all pages share is stored and
-moved once.  Short payloads, which may belong to any number of responses, are dealt with a salt.
+Payloads are told apart by their SHA-256 alone, whatever their rows' ids: each task hands on every payload once, and one
+of the equal ones is stored.  Short payloads, which may belong to any number of responses, are dealt with a salt.
 
 Defined results: a null html is an empty payload; a null url gives no WARC-Target-URI; line ends inside a url are
-percent-encoded; rows that repeat the id of a response are responses too; a null id is written as `null` and comes last;
+percent-encoded; rows that repeat the id of a response are responses too, and so are rows with a null id, which is written
+as `null`; they share the one stored payload;
 other columns are left alone; an empty table gives an empty archive.
 """
 
@@ -80,13 +81,12 @@ def store(pages: DataFrame, path: str, least: int = LEAST) -> Archive:
     salted = shared.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
     dealt = found.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
     joined = dealt.drop("payload").join(salted, (F.col("sha256") == F.col("_sha256")) & (F.col("salt") == F.col("_salt")), "left")
-    again = F.col("owner").isNotNull() & (F.col("n_bytes") >= least) & ~F.col("page_id").eqNullSafe(F.col("owner"))
+    again = (F.col("n_bytes") >= least) & (F.col("page_id") != F.col("owner"))  # null, so a response, without an id or an owner
     kind = F.when(again, "revisit").otherwise("response")
     records = joined.select("page_id", _header(kind, F.col("owner")).cast("binary").alias("header"), "sha256", kind.alias("kind"), "n_bytes", "owner")
     records.select("header", "sha256").write.option("compression", "zstd").parquet(f"{path}/records")
-    # a payload is stored by its owner; the ids of the others are what the join carries, not payloads
-    spare = joined.where(F.col("owner").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("owner"))).select(F.col("page_id").alias("_spare")).distinct()
-    kept = found.join(spare, F.col("page_id").eqNullSafe(F.col("_spare")), "left_anti").select("sha256", "payload")
+    # equal digests are equal payloads: any of them will do, and a task hands on one of each
+    kept = found.groupBy("sha256").agg(F.first("payload").alias("payload"))
     kept.write.option("compression", "zstd").parquet(f"{path}/payloads")
     return open_archive(spark, path)
 

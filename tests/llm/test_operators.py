@@ -170,6 +170,24 @@ def test_warc(spark, tmp_path):
     assert found[7] == big.encode() and found[1] == b"" and found[9] == pages[5][2].encode() and len(found) == 7
 
 
+def test_warc_repeated_and_null_ids(spark, tmp_path):
+    big, other, third, small = "<p>H</p>" * 300, "<p>K</p>" * 300, "<p>L</p>" * 300, "<p>s</p>"
+    pages = [(5, "u", big), (5, "u", big), (4, "r", big), (None, "n", other), (None, "m", other), (None, "o", big), (None, "p", third), (8, "v", third), (5, "w", other), (6, "x", small), (6, "x", small), (None, "y", None)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)
+    archive = warc_store.store(df, f"file://{tmp_path}/a")
+    assert archive.payloads.count() == archive.payloads.select("sha256").distinct().count() == len({h or "" for _, _, h in pages})
+    whole = Counter((r.page_id, bytes(r.payload).decode()) for r in warc_store.reconstruct(archive).collect())
+    assert whole == Counter((i, h or "") for i, _, h in pages)
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?, ?)", pages)
+    want = con.execute(queries.OP3_SQL)
+    columns = [c[0] for c in want.description]
+    assert Counter(tuple(r[c] for c in columns) for r in warc_store.read_back(archive).collect()) == Counter(want.fetchall())
+
+
 # ---------------------------------------------------------------- 5
 
 def test_scores(spark, make, odd):
