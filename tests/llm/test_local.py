@@ -1,6 +1,7 @@
 """Parts that need no Spark: index, grammar, automaton, network, hashes."""
 
 import random
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -10,7 +11,7 @@ from hypothesis import strategies as st
 from granary.llm import gru_langid
 from granary.llm.backoff_lm import BackoffAutomaton
 from granary.llm.bytes_np import Rolling, ranges, sliding_min
-from granary.llm.decontaminate import overlap
+from granary.llm.decontaminate import AGREE, LEAST, MASKS, overlap, short_masks
 from granary.llm.license_scan import TEMPLATES, Scanner, bigrams, dice
 from granary.llm.repair_tokens import decode_slice, expand, repair
 from granary.llm.rindex_dedup import RunLengthIndex, index_bucket
@@ -152,3 +153,16 @@ def test_license_bounds_lose_nothing():
     every = [dice(own, t) for _, t in s.templates]
     assert all(v < s.least or i in s.fitting(own.total()) for i, v in enumerate(every))
     assert s.scan(None) == (None, None, 0, 0)
+
+
+@pytest.mark.parametrize("n", range(1, 27))
+def test_masks_cover_every_pattern(n):
+    """Some mask at some place avoids the differing tokens, for every way in which a fifth of n tokens can differ."""
+    short = n < LEAST
+    places = range(1, n - 1) if short else range(n)  # the ends of a whole item agree
+    patterns = np.array([sum(1 << i for i in c) for c in combinations(places, n * (100 - AGREE) // 100)], np.int64)
+    for mask in short_masks(n) if short else MASKS:
+        shape = int(mask[::-1], 2)
+        for at in range(n - len(mask) + 1):
+            patterns = patterns[patterns & (shape << at) != 0]
+    assert not len(patterns)

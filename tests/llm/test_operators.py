@@ -143,6 +143,27 @@ def test_decontamination(spark, make):
     assert sorted(x.doc_id for x in kept.collect()) == [0, 4, 5, 6] and "item_id" in kept.columns
 
 
+def test_short_items_null_and_repeated_ids(spark):
+    r = np.random.default_rng(3)
+    made = lambda n: [f"w{x}" for x in r.integers(0, 10**6, n)]
+    items, rows = [], []
+    for n in (1, 3, 5, 7, 9, 10, 12, 13, 15, 20):
+        item = made(n)
+        items.append(" ".join(item))
+        copy = list(item)
+        for k in r.choice(np.arange(1, max(2, n - 1)), n // 5, replace=False):
+            copy[int(k)] = "other"
+        rows.append((len(rows), " ".join(made(20) + copy + made(20))))
+    hit = rows[-1][1]
+    rows += [(None, hit), (50, hit), (50, "clean text of the same id"), (50, "more " * 3), (None, "clean too")]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    want = {(i, i) for i in range(len(items))} | {(None, len(items) - 1), (50, len(items) - 1)}
+    found = [sorted(map(str, decontaminate.overlaps(docs, bench, small=small).collect())) for small in (10**6, 0)]
+    assert found[0] == found[1]
+    assert {(x.doc_id, x.item_id) for x in decontaminate.overlaps(docs, bench).collect()} == want
+    assert sorted((x.doc_id or -1, x.text) for x in decontaminate.clean(docs, bench).collect()) == [(-1, "clean too"), (50, "clean text of the same id"), (50, "more " * 3)]
+
+
 # ---------------------------------------------------------------- 3
 
 def test_warc(spark, tmp_path):
