@@ -166,3 +166,20 @@ def test_masks_cover_every_pattern(n):
         for at in range(n - len(mask) + 1):
             patterns = patterns[patterns & (shape << at) != 0]
     assert not len(patterns)
+
+
+def test_licences_inside_texts():
+    from granary.llm.license_scan import FULL
+
+    scanner = Scanner()
+    r = random.Random(6)
+    prose = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(r.randint(2, 8))) for _ in range(n))
+    mit = next(t for name, t in TEMPLATES if name == "MIT" and len(t) > 500)
+    mit = mit.replace(" The above copyright", "\n\nThe above copyright").replace(" THE SOFTWARE IS PROVIDED", "\n\nTHE SOFTWARE IS PROVIDED")
+    cases = [("MIT", mit), *FULL, *((name, text.replace(". ", ".\n\n")) for name, text in FULL[:4])]
+    for name, text in cases:
+        got = scanner.scan(f"{prose(150)}\n\n{text}\n\n{prose(200)}")
+        assert got[0] == name and got[1] > 0.95, (name, got)
+    assert scanner.scan("Great stuff here. Released under the MIT License. Enjoy it a lot")[0] == "MIT"
+    assert scanner.scan("Here. Licensed under the MIT License. And " * 3000)[0] == "MIT"
+    assert scanner.scan(prose(2000))[0] is None
