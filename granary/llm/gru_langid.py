@@ -10,7 +10,7 @@ Texts are read whole: they are cut into windows of WINDOW bytes with MARGIN byte
 context, all windows of a batch run side by side, and only a window's own bytes count.
 
 Bound of the sample: PER_LANGUAGE rows a language, those with the smallest hash of their id, and WINDOWS_PER_ROW windows
-from each.  Languages are what the labelled rows have; at most MOST_LANGUAGES of them, the most frequent.
+from each, at hashed places over its whole text.  Languages are all that the labelled rows have.
 
 Defined results: a null text, or one without a letter, gets `und` with score 0; rows with a null label are predicted but
 not learned from; without any labelled row every text gets `und`; repeated rows get equal results; other columns are
@@ -25,6 +25,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -34,7 +35,6 @@ WINDOW = 96
 MARGIN = 16
 PER_LANGUAGE = 400
 WINDOWS_PER_ROW = 4
-MOST_LANGUAGES = 200
 EPOCHS = 6
 BATCH = 128
 RATE = 0.01
@@ -196,28 +196,41 @@ def predict(net: Network, texts: list[bytes]) -> np.ndarray:
     return total / np.maximum(count, 1)[:, None]
 
 
+def picked(text: str, most: int = WINDOWS_PER_ROW) -> np.ndarray:
+    """At most so many of the windows of a whole text: those whose number has the smallest hash with the text's."""
+    raw = text.encode("utf-8", "surrogatepass")
+    found, _, _ = windows([raw])
+    own = xxhash.xxh64_intdigest(raw)
+    order = sorted(range(len(found)), key=lambda k: xxhash.xxh64_intdigest(k.to_bytes(8, "little"), own))
+    return found[sorted(order[:most])]
+
+
 def sample(docs: DataFrame, learnable: Column, per_language: int = PER_LANGUAGE) -> DataFrame:
-    """(lang, text): at most per_language labelled rows of each language, those with the smallest hash of their id."""
+    """doc_id, lang, windows (bytes): at most per_language labelled rows of each language, those with the smallest hash of their id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [picked(t).astype(np.int16).tobytes() for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own, pa.binary())], ["doc_id", "lang", "windows"])
+
     labelled = docs.where(learnable & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("doc_id", "lang", "text")
-    common = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES)
     # the cut is taken in hashed parts of a language first, so that a language of most rows is not one task's
-    keyed = labelled.select("doc_id", "lang", F.xxhash64("doc_id").alias("key")).join(F.broadcast(common.select("lang")), "lang", "left_semi")
+    keyed = labelled.select("doc_id", "lang", F.xxhash64("doc_id").alias("key"))
     part = W.partitionBy("lang", F.pmod("key", F.lit(64))).orderBy("key", "doc_id")
     few = keyed.withColumn("n", F.row_number().over(part)).where(F.col("n") <= per_language)
     few = few.withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy("key", "doc_id"))).where(F.col("n") <= per_language).select("doc_id", "key")
-    return labelled.join(F.broadcast(few.select("doc_id")), "doc_id", "left_semi").select("doc_id", "lang", F.substring("text", 1, 4 * WINDOW * WINDOWS_PER_ROW).alias("text"))
+    return labelled.join(F.broadcast(few.select("doc_id")), "doc_id", "left_semi").select("doc_id", "lang", "text").mapInArrow(run, "doc_id long, lang string, windows binary")
 
 
 def learn(docs: DataFrame, learnable: Column, per_language: int = PER_LANGUAGE, epochs: int = EPOCHS) -> Network | None:
     """Trains on the driver, from a sample of at most per_language rows a language."""
-    rows = sorted((r.lang, r.doc_id, r.text) for r in sample(docs, learnable, per_language).collect())
+    rows = sorted((r.lang, -1 if r.doc_id is None else r.doc_id, bytes(r.windows)) for r in sample(docs, learnable, per_language).collect())
     languages = sorted({lang for lang, _, _ in rows})
     if not languages:
         return None
     data, label = [], []
-    for lang, _, text in rows:
-        w, _, _ = windows([text.encode("utf-8", "surrogatepass")])
-        data.append(w[:WINDOWS_PER_ROW])
+    for lang, _, own in rows:
+        data.append(np.frombuffer(own, np.int16).reshape(-1, WINDOW + 2 * MARGIN))
         label += [languages.index(lang)] * len(data[-1])
     return train(languages, np.concatenate(data), np.array(label), epochs)
 

@@ -290,6 +290,18 @@ def test_language(spark):
     assert gru_langid.identify(docs.limit(3), F.lit(False)).select("lang_pred").distinct().collect()[0][0] == "und"
 
 
+def test_language_samples_whole_texts(spark, make):
+    header = "shared header of every text " * 40
+    texts = [header + f"{'abc' if i % 2 else 'xyz'} " * 3000 for i in range(40)]
+    rows = gru_langid.sample(make(texts, langs=["ab" if i % 2 else "xy" for i in range(40)]), F.lit(True)).collect()
+    seen = [np.frombuffer(bytes(r.windows), np.int16).reshape(-1, gru_langid.WINDOW + 2 * gru_langid.MARGIN) for r in rows]
+    assert len(rows) == 40 and all(len(w) == gru_langid.WINDOWS_PER_ROW for w in seen)
+    body = [any(ord("b" if r.lang == "ab" else "y") in x and ord("h") not in x for x in w) for r, w in zip(rows, seen, strict=True)]
+    assert all(body)
+    many = make(["some words"] * 230, langs=[f"l{i}" for i in range(230)])
+    assert gru_langid.sample(many, F.lit(True)).select("lang").distinct().count() == 230
+
+
 # ---------------------------------------------------------------- 8
 
 def test_tokens(spark, make, odd):
