@@ -131,8 +131,7 @@ _OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens
 def score(docs: DataFrame, held_out: Column, mu: float = MU) -> DataFrame:
     """Scores every row of docs (doc_id, text) with a model learned from those where held_out is not true."""
     spark = docs.sparkSession
-    # the flag is computed on the caller's columns, before they are narrowed
-    chunks = pack(docs.select("doc_id", "text"), held_out)
+    chunks = pack(docs, held_out)
     buckets = n_buckets(spark, chunks)
 
     def count(frame: pd.DataFrame) -> pd.DataFrame:

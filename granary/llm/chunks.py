@@ -23,13 +23,13 @@ import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.llm.common import scratch_path
 
 CHUNK_BYTES = 4_000_000
-MOST_CHUNK_BYTES = 256_000_000
+MOST_CHUNK_BYTES = 64_000_000
 #: Bit of a document's flags: its id is null.
 NO_ID = 128
 
@@ -37,13 +37,13 @@ _SCHEMA = "chunk_id long, n_docs int, n_bytes long, doc_ids binary, flags binary
 
 
 def chunk_size(docs: DataFrame) -> int:
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """From the bytes that the texts have, which are counted."""
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
     return int(min(MOST_CHUNK_BYTES, max(CHUNK_BYTES, 250 * size**0.5)))
 
 
-def pack(docs: DataFrame, flag=None, chunk_bytes: int | None = None) -> DataFrame:
+def pack(docs: DataFrame, flag: Column | None = None, chunk_bytes: int | None = None) -> DataFrame:
     """The chunk table of docs (doc_id, text): ids, flags (bit 0: flag, NO_ID), byte lengths and all texts in a row."""
-    docs = docs.select("doc_id", "text")
     chunk_bytes = chunk_bytes or chunk_size(docs)
     one = (F.lit(False) if flag is None else F.coalesce(flag, F.lit(False))).cast("int")
     flagged = docs.select(F.coalesce("doc_id", F.lit(0)).cast("long").alias("doc_id"), "text", (one + F.when(F.col("doc_id").isNull(), NO_ID).otherwise(0)).alias("flag"))
@@ -112,7 +112,7 @@ def opened(frame: pd.DataFrame) -> Iterator[Chunk]:
 
 def n_buckets(spark: SparkSession, chunks: DataFrame) -> int:
     """About as many buckets as chunks: each then gets about what one chunk sends."""
-    return max(1, min(chunks.count(), 1 << 16))
+    return max(1, chunks.count())
 
 
 def bucket_of(keys: np.ndarray, n: int) -> np.ndarray:

@@ -14,7 +14,7 @@ from granary.llm.bytes_np import Rolling, ranges, sliding_min
 from granary.llm.decontaminate import AGREE, LEAST, MASKS, overlap, short_masks
 from granary.llm.license_scan import TEMPLATES, Scanner, bigrams, dice
 from granary.llm.repair_tokens import decode_slice, expand, repair
-from granary.llm.rindex_dedup import RunLengthIndex, index_bucket
+from granary.llm.rindex_dedup import RunLengthIndex, repeated
 
 
 @given(st.binary(max_size=300), st.integers(1, 9))
@@ -64,32 +64,68 @@ def test_repair_finds_repeats():
     assert len(repair(ids, first=10, least=8)[2]) < 300
 
 
-@pytest.mark.parametrize("seed", range(25))
-def test_index(seed):
-    r = random.Random(seed)
-    alphabet = r.choice([b"ab", b"abc", bytes(range(256)), b"a"])
+def laid(texts):
+    """Texts in a row and where each begins."""
+    return np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+
+
+def some_texts(r):
+    alphabet = r.choice([b"ab", b"abc", bytes(range(255)), b"a"])
     base = [bytes(r.choice(alphabet) for _ in range(r.randint(1, 90))) for _ in range(6)]
     texts = [(r.choice(base) + r.choice(base))[r.randint(0, 3) :][: r.randint(1, 140)] or b"x" for _ in range(r.randint(1, 25))]
-    owners = [r.randint(0, 30) for _ in texts]
-    first = {}
-    for t, o in zip(texts, owners, strict=True):
-        for p in range(len(t) - 49):
-            first[t[p : p + 50]] = min(first.get(t[p : p + 50], 99), o)
-    got = index_bucket(np.frombuffer(b"".join(texts), np.uint8), np.array([len(t) for t in texts]), np.array(owners)).tolist()
-    want = [first[t[p : p + 50]] if p + 50 <= len(t) else -1 for t in texts for p in range(len(t))]
-    assert got == want
+    return alphabet, texts
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_matching_statistics(seed):
+    """Of texts that the index has and has not: lengths, places and smallest owners against plain search."""
+    r = random.Random(seed)
+    alphabet, texts = some_texts(r)
+    owners = np.array([r.randint(-9, 30) for _ in texts])
+    length = r.choice([8, 9, 13, 50])
+    index = RunLengthIndex(*laid(texts), owners, length)
+    asked = [bytes(r.choice(alphabet) for _ in range(r.randint(0, 60))) + r.choice(texts)[r.randint(0, 9) :] for _ in range(10)] + [b"\xfe\xfe", b""]
+    data, starts = laid(asked)
+    rows, places, lengths = index.match(data, starts)
+    line = b"\xff".join(texts) + b"\xff"
+    for j, t in enumerate(asked):
+        for p in range(len(t)):
+            n = 0
+            while p + n < len(t) and any(t[p : p + n + 1] in x for x in texts):
+                n += 1
+            at = int(starts[j]) + p
+            assert lengths[at] == n and (not n or line[places[at] : places[at] + n] == t[p : p + n])
+            if n >= length:
+                assert index.smallest_owners(rows[[at]])[0] == min(o for o, x in zip(owners, texts, strict=True) if t[p : p + length] in x)
+
+
+@pytest.mark.parametrize("seed", range(25))
+def test_repeated(seed):
+    r = random.Random(seed)
+    _, texts = some_texts(r)
+    texts = [t + b"z" * (50 - len(t)) for t in texts]
+    owners = [r.choice([-5, -1, 0, 7, 2**63 - 1]) for _ in texts]
+    want = [any(o < own and t[p : p + 50] in x for o, x in zip(owners, texts, strict=True)) for t, own in zip(texts, owners, strict=True) for p in range(len(t) - 49)]
+    got = repeated(laid(texts)[0], np.array([len(t) - 49 for t in texts]), np.array(owners))
+    assert got.tolist() == want
 
 
-def test_index_runs_and_samples():
+def test_index_needs_its_runs_and_samples():
     text = b"abcabcabcabcabc" * 10
-    index = RunLengthIndex(np.frombuffer(text, np.uint8), np.array([0, len(text)]), np.array([3]))
-    assert len(index.run_start) < 12 and len(index.run_end_sample) == len(index.run_start)
-    row, out = np.array([0]), []
-    for _ in text:  # the runs give the text back
-        run = np.searchsorted(index.run_start, row, "right") - 1
-        out.append(int(index.run_symbol[run[0]]) - 1)
-        row = index.before(row)
-    assert bytes(out[::-1]) == text
+    index = RunLengthIndex(*laid([text]), np.array([3]))
+    assert len(index.run_start) < 12 and len(index.end_sample) == len(index.start_sample) == len(index.run_start)
+    r = random.Random(1)
+    base = bytes(r.choice(b"abcd") for _ in range(300))
+    texts = [base[:200] + base[100:] for _ in range(3)] + [base[50:]]
+    data, starts = laid(texts)
+    owners = np.array([5, 2, 9, 1])
+    asked = [bytes(c if r.random() < 0.95 else r.choice(b"abcd") for c in base) for _ in range(20)]
+    for samples in ("end_sample", "start_sample"):
+        index = RunLengthIndex(data, starts, owners)
+        sound = index.match(*laid(asked))
+        assert len(index.run_start) < len(data) // 2 and (sound[2] >= 50).any()
+        setattr(index, samples, np.zeros_like(getattr(index, samples)))
+        assert (index.match(*laid(asked))[2] != sound[2]).any()
 
 
 def test_automaton_sums_to_one():
