@@ -3,7 +3,10 @@
 Two tables make an archive.  `payloads` keeps the bytes of every distinct payload once, under their SHA-256; `records`
 keeps the exact header block of every record and the SHA-256 of its payload.  Joining them gives the original records
 back, byte for byte; reading checks every payload against its own digest.  `export` writes the records as ordinary WARC
-files.
+files, `import_files` makes an archive of such files again.
+
+Where only measures of payloads are asked for, each stored payload is measured once and the narrow measures are joined
+with the records, so payloads move only once, when they are stored.
 
 Of records with equal payloads of at least LEAST bytes the one with the largest id is a response and the others revisit
 it; shorter payloads are cheaper to repeat and are all responses.
@@ -132,21 +135,24 @@ def reconstruct(archive: Archive, every: bool = True) -> DataFrame:
 
 
 def read_back(archive: Archive) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to of every record, measured on restored payloads.
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of every record, measured on the stored payloads.
 
-    A response is measured on its restored bytes.  A revisit takes what its response was measured to have.
+    The payload of a record is the one that its digest names; a header that states another size or digest stops the job.
+    Digests that many records may share (short payloads, revisits, records without an id) are dealt with a salt.
     """
-    responses = reconstruct(archive, every=False).select("page_id", "record_type", "refers_to", "sha256", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"))
-    revisits = parsed(archive).where("record_type = 'revisit'").select("page_id", "record_type", "refers_to", "sha256")
-    # only responses that are revisited: one row each, repeated for each salt
-    salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
-    measured = verified(archive).where(F.octet_length("payload") >= LEAST).select("key", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"))
-    called = revisits.select(F.col("sha256").alias("_called")).distinct()
-    measured = measured.join(called, F.col("key") == F.col("_called"), "left_semi").select("*", salt)
-    dealt = revisits.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
-    followed = dealt.join(measured, (F.col("sha256") == F.col("key")) & (F.col("salt") == F.col("_salt")))
-    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
-    return responses.select(*columns).unionByName(followed.select(*columns))
+    salts = F.sequence(F.lit(0), F.lit(SALTS - 1))
+    many = (F.col("record_type") == "revisit") | (F.col("stated_bytes") < LEAST) | F.col("page_id").isNull()
+    salt = F.when(F.col("many"), F.pmod(F.xxhash64("header"), F.lit(SALTS)).cast("int")).otherwise(0)
+    records = parsed(archive).withColumn("many", many).withColumn("salt", salt).drop("header")
+    measures = verified(archive).select("key", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"))
+    called = records.where(F.col("many") & (F.col("stated_bytes") >= LEAST)).select(F.col("sha256").alias("_called")).distinct()
+    told = measures.join(called, F.col("key") == F.col("_called"), "left")
+    spread = F.when((F.col("payload_bytes") < LEAST) | F.col("_called").isNotNull(), salts).otherwise(F.array(F.lit(0)))
+    told = told.select("key", "payload_bytes", "payload_digest", F.explode(spread).alias("_salt"))
+    found = records.join(told, (F.col("sha256") == F.col("key")) & (F.col("salt") == F.col("_salt")), "left")
+    sound = (F.col("payload_digest") == F.col("stated_digest")) & (F.col("payload_bytes") == F.col("stated_bytes"))
+    damage = F.raise_error(F.concat(F.lit("record without its payload "), F.col("stated_digest")))
+    return found.select("page_id", "payload_bytes", F.when(sound, F.col("payload_digest")).otherwise(damage).alias("payload_digest"), "record_type", "refers_to")
 
 
 def export(archive: Archive, path: str, records_per_file: int = 10_000) -> None:
@@ -156,6 +162,39 @@ def export(archive: Archive, path: str, records_per_file: int = 10_000) -> None:
     reconstruct(archive).select(block.cast("string").alias("value")).write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", records_per_file).text(path)
 
 
+def import_files(spark, files: str, path: str) -> Archive:
+    """An archive below path of the records in exported WARC files: a record ends where its stated length does.
+
+    A file is one row, read by one task, so files should stay as small as `export` makes them.  Revisits name their payload
+    by the SHA-1 of the response that they refer to.
+    """
+    import pyarrow as pa
+
+    columns = "page_id long, record_type string, header binary, payload binary"
+
+    def run(batches):
+        for batch in batches:
+            for raw in batch.column("content").to_pylist():
+                rows, at = [], 0
+                while at < len(raw):
+                    head = raw.index(b"\r\n\r\n", at) + 4
+                    fields = dict(line.split(b": ", 1) for line in raw[at:head].split(b"\r\n")[1:] if line)
+                    stop = head + int(fields[b"Content-Length"])
+                    body = raw.index(b"\r\n\r\n", head) + 4
+                    name = fields[b"WARC-Record-ID"][len(b"<urn:page:") : -1]
+                    rows.append({"page_id": None if name == b"null" else int(name), "record_type": fields[b"WARC-Type"].decode(), "header": raw[at:body], "payload": raw[body:stop], "sha1": fields[b"WARC-Payload-Digest"][5:].decode()})
+                    at = stop + 4
+                yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("page_id", pa.int64()), ("record_type", pa.string()), ("header", pa.binary()), ("payload", pa.binary()), ("sha1", pa.string())]))
+
+    rows = spark.read.format("binaryFile").load(files).select("content").mapInArrow(run, f"{columns}, sha1 string")
+    responses = rows.where("record_type = 'response'").select("header", "payload", "sha1", F.unhex(F.sha2("payload", 256)).alias("sha256"))
+    responses.groupBy("sha256").agg(F.first("payload").alias("payload")).write.option("compression", "zstd").parquet(f"{path}/payloads")
+    named = responses.groupBy("sha1").agg(F.first("sha256").alias("sha256"))
+    revisits = rows.where("record_type = 'revisit'").select("header", "sha1").join(named, "sha1", "left")
+    responses.select("header", "sha256").unionByName(revisits.select("header", "sha256")).write.option("compression", "zstd").parquet(f"{path}/records")
+    return open_archive(spark, path)
+
+
 def round_trip(pages: DataFrame) -> DataFrame:
     """Archives the pages in the shared folder and reads them back."""
     return read_back(store(pages, scratch_path(pages.sparkSession, "warc")))
