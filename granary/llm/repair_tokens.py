@@ -1,34 +1,39 @@
 """Token ids in a grammar-compressed container (Re-Pair).
 
-Texts are encoded with a public tokenizer and each document ends with the id END.  The documents of a range of ids form a
-shard.  In a shard the most frequent pairs of neighbouring symbols are replaced by new symbols, again and again, until no
-pair occurs LEAST times (or ROUNDS rounds are over): a round takes all pairs that are frequent enough and do not overlap
-with a more frequent one, so a shard needs rounds, not one pass for each rule.  A shard's row in the container has
+Texts are encoded with a public tokenizer and each document ends with the id END.  Documents are dealt by ranges of their
+ids; the tasks read their range in order and close a shard every SHARD_IDS ids.  In a shard the most frequent pairs of
+neighbouring symbols are replaced by new symbols, again and again, until no pair occurs LEAST times: a round takes all
+pairs that are frequent enough and do not overlap with a more frequent one, so a shard needs rounds, not one pass for each
+rule.  Pairs of old symbols only become rarer, so a later round looks only at those that were frequent and at the
+neighbours of new symbols.  A shard's row in the container has
 
 * rules: pairs of symbols, little-endian unsigned 32-bit; rule k defines symbol FIRST + k from earlier symbols,
 * lengths: for every rule, into how many ids it expands,
 * sequence: the remaining symbols, little-endian unsigned 32-bit,
 * doc_ids and ends: the documents in ascending order and where each ends, counted in ids.
 
-`decode_shard` expands a whole shard level by level; `decode_slice` uses the expansion lengths to decode only the symbols
-that cover one document.
+`expand` decodes a whole shard; `decode_slice` uses the expansion lengths to decode only the symbols that cover one
+document, and `fetch` does so for a document of the container.
 
-Shards are ranges of doc_id from approximate quantiles, so that a shard has a bounded number of rows wherever ids lie;
-equal ids share a shard.  The starts of shards are sums over the table of shards.
+Ranges follow from the counted bytes of the texts; ids that repeat are dealt by a hash of their texts too, so a hot id is
+many tasks' work.  The starts of shards are sums over the shards of a range and over the table of ranges.
 
-Defined results: a null or empty text has only its END; equal ids stay in the order of their texts; a null id comes
-first; other columns are left alone; an empty table gives an empty container.
+Defined results: a null or empty text has only its END; rows with equal ids stand in the order of their texts' hashes; a
+null id comes first; a text with one of the tokenizer's added tokens is encoded whole, as the library does; other columns
+are left alone; an empty table gives an empty container.
 """
 
 from __future__ import annotations
 
+import gc
 import zlib
 from array import array
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import public_tokenizers
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -36,14 +41,16 @@ from tokenizers import Tokenizer
 
 from granary.llm.bytes_np import ranges
 from granary.llm.chunks import restored, squeezed
-from granary.llm.common import range_buckets, scratch_path
+from granary.llm.common import scratch_path
 
 END = 0
 #: fixed value: size of the vocabulary; symbols from here on are rules
 FIRST = 50_257
 LEAST = 64
-ROUNDS = 5
-ROWS_PER_SHARD = 1_500
+#: Ids after which a shard is closed: some 60 bytes of memory each.
+SHARD_IDS = 1 << 21
+#: Bytes of text in a range: at least, at most; in between a range grows with the root of the input.
+RANGE_BYTES = (16_000_000, 256_000_000)
 #: Words that a worker remembers.
 REMEMBERED = 800_000
 #: Marks that may end a word.
@@ -69,8 +76,9 @@ class Encoder:
 
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model
+        self.model._resize_cache(0)  # the memory below takes its place
         self.memory: dict[str, bytes] = {}
         self.openings: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
@@ -106,8 +114,10 @@ class Encoder:
             else:
                 plain.add(part)
         letters = [x for x in plain if x.isalpha()]
+        tokenize, memory = self.model.tokenize, self.memory
         for word in letters:  # letters alone are one pre-token: the model can take them as they are
-            self.memory[word] = array("I", [t.id for t in self.model.tokenize((" " + word).encode().decode("latin-1").translate(BYTE_FORM))]).tobytes()
+            shown = "\u0120" + word if word.isascii() else (" " + word).encode().decode("latin-1").translate(BYTE_FORM)
+            memory[word] = array("I", [t.id for t in tokenize(shown)]).tobytes()
         plain = [x for x in plain if not x.isalpha()]
         lines = [plain[i : i + 1000] for i in range(0, len(plain), 1000)]
         encoded = self.tokenizer.encode_batch_fast([" " + " ".join(line) for line in lines], add_special_tokens=False)
@@ -122,10 +132,17 @@ class Encoder:
             self.memory[part] = self.memory[word] + self.opening(marks)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
+        gc.disable()  # nothing here is part of a cycle
+        try:
+            return self._encode(texts)
+        finally:
+            gc.enable()
+
+    def _encode(self, texts: list[str | None]) -> list[bytes]:
         split = [(t or "").split(" ") for t in texts]
         firsts = [parts.pop(0) for parts in split]
         known = [list(map(self.memory.get, parts)) for parts in split]
-        gaps = [[i for i, x in enumerate(own) if x is None] for own in known]
+        gaps = [[i for i, x in enumerate(own) if x is None] if None in own else [] for own in known]
         self.learn({parts[i] for parts, at in zip(split, gaps, strict=True) for i in at})
         out = []
         for text, first, parts, own, at in zip(texts, firsts, split, known, gaps, strict=True):
@@ -133,7 +150,7 @@ class Encoder:
                 own[i] = self.memory[parts[i]]
             if not text:
                 out.append(b"")
-            elif UNSAFE in own or not first or first[0].isspace() or first[-1].isspace():
+            elif UNSAFE in own or not first or first[0].isspace() or first[-1].isspace() or any(x in text for x in self.added):
                 out.append(self.whole(text))
             else:
                 out.append(self.opening(first) + b"".join(own))
@@ -146,62 +163,85 @@ def _encoder(path: str) -> Encoder:
     return _WORKER["encoder"]
 
 
-def repair(ids: np.ndarray, first: int = FIRST, least: int = LEAST, rounds: int = ROUNDS, separator: int | None = END) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def repair(ids: np.ndarray, first: int = FIRST, least: int = LEAST, separator: int | None = END) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """rules (n x 2), expansion lengths and the remaining sequence of one shard.  Pairs never hold the separator."""
-    seq = ids.astype(np.uint32)
-    rules = np.empty((0, 2), np.uint32)
-    lengths = np.empty(0, np.int64)
-    for _ in range(rounds):
-        if len(seq) < 2:
+    n = len(ids)
+    seq = np.append(ids, 0).astype(np.uint32)  # a place behind the last, which begins no pair
+    after, before = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
+    gone = np.zeros(n + 1, bool)
+    gone[n] = True
+    rules, lengths = [np.empty((0, 2), np.uint32)], np.ones(first, np.int64)
+    # places whose pair may be frequent: all of them at first
+    places, left, right = np.arange(n - 1, dtype=np.int32), seq[: max(n - 1, 0)], seq[1 : max(n, 1)]
+    while True:
+        if separator is not None:
+            inner = np.flatnonzero((left != separator) & (right != separator))
+            places, left, right = places[inner], left[inner], right[inner]
+        # in a run of equal symbols every second place begins a pair
+        equal = np.flatnonzero(left == right)
+        if len(equal):
+            follows = np.concatenate([[False], after[places[equal[:-1]]] == places[equal[1:]]])
+            nth = np.arange(len(equal))
+            drop = equal[(nth - np.maximum.accumulate(np.where(follows, 0, nth))) & 1 == 1]
+            places, left, right = np.delete(places, drop), np.delete(left, drop), np.delete(right, drop)
+        key = (left.astype(np.uint64) << np.uint64(32)) | right
+        here = _counts(key, least)
+        often = np.flatnonzero(here >= least)
+        places, key, here = places[often], key[often], here[often]
+        if not len(places):
             break
-        key = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
-        ok = np.ones(len(key), bool) if separator is None else (seq[:-1] != separator) & (seq[1:] != separator)
-        # the second of three equal symbols begins no pair of its own
-        ok[1:] &= ~((seq[:-2] == seq[1:-1]) & (seq[1:-1] == seq[2:]))
-        # bins that are too small hold no frequent pair: only the places of others are sorted
-        bins = ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(43)).astype(np.int32)
-        often = np.bincount(bins[ok], minlength=1 << 21) >= least
-        places = np.flatnonzero(ok & often[bins])
         # an occurrence is replaced if its pair is more frequent than those it overlaps with (ties: the earlier place)
-        count = np.zeros(len(key), np.int32)
-        count[places] = _counts(key[places], bins[places])
-        count[count < least] = 0
-        if not count.any():
-            break
-        places = places[count[places] > 0]
-        left, here = np.where(places > 0, count[places - 1], 0), count[places]
-        right = np.where(places + 1 < len(count), count[np.minimum(places + 1, len(count) - 1)], 0)
-        at = places[(here > left) & (here >= right)]
-        chosen, which, n = np.unique(key[at], return_inverse=True, return_counts=True)
-        worth = n >= max(2, least // 4)
+        near = after[places[:-1]] == places[1:]
+        wins = np.ones(len(places), bool)
+        wins[1:] &= ~near | (here[1:] > here[:-1])
+        wins[:-1] &= ~near | (here[:-1] >= here[1:])
+        chosen, which, times = np.unique(key[wins], return_inverse=True, return_counts=True)
+        worth = times >= max(2, least // 4)
+        if not worth.any():
+            worth = times >= 2
         if not worth.any():
             break
         number = np.cumsum(worth) - 1
-        at, which = at[worth[which]], number[which[worth[which]]]
+        kept = worth[which]
+        at, which = places[wins][kept], number[which[kept]]
         chosen = chosen[worth]
-        base = first + len(rules)
         new = np.stack([chosen >> np.uint64(32), chosen & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32)
-        size = lambda s: np.where(s >= first, lengths[np.minimum(np.maximum(s.astype(np.int64) - first, 0), max(len(lengths) - 1, 0))] if len(lengths) else 1, 1)  # noqa: E731, B023
-        grown = size(new[:, 0]) + size(new[:, 1])
-        seq = seq.copy()
-        seq[at] = base + which
-        keep = np.ones(len(seq), bool)
-        keep[at + 1] = False
-        seq = seq[keep]
-        rules, lengths = np.concatenate([rules, new]), np.concatenate([lengths, grown.astype(np.int64)])
-    return rules, lengths, seq
-
-
-def _counts(key: np.ndarray, bins: np.ndarray) -> np.ndarray:
-    """How often each key occurs.  Bins that hold one key are counted directly, keys that share a bin are sorted."""
+        seq[at] = len(lengths) + which
+        lengths = np.concatenate([lengths, lengths[new[:, 0]] + lengths[new[:, 1]]])
+        rules.append(new)
+        second = after[at]
+        gone[second] = True
+        after[at] = after[second]
+        before[after[second]] = at
+        # frequent pairs that were not touched, and the pairs beside new symbols
+        beside = before[at]
+        places = np.sort(np.concatenate([places[~gone[places]], beside[beside >= 0], at]))
+        places = places[np.concatenate([[True], places[1:] != places[:-1]]) & (after[places] < n)]
+        left, right = seq[places], seq[after[places]]
+    return np.concatenate(rules), lengths[first:], seq[~gone]
+
+
+def _counts(key: np.ndarray, least: int) -> np.ndarray:
+    """How often each key occurs; 0 for some that occur less than `least` times.
+
+    Keys fall into bins.  Bins that are too small hold no frequent key, bins of one key are its count, others are sorted.
+    """
+    if len(key) < 1 << 16:
+        _, inverse, n = np.unique(key, return_inverse=True, return_counts=True)
+        return n[inverse]
+    out = np.zeros(len(key), np.int64)
+    bins = ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(43)).astype(np.int32)
+    size = np.bincount(bins, minlength=1 << 21)
+    rest = np.flatnonzero((size >= least)[bins])
+    bins, key = bins[rest], key[rest]
     kept = np.zeros(1 << 21, np.uint64)
     kept[bins] = key
-    alone = kept[bins] == key
-    out = np.bincount(bins[alone], minlength=1 << 21)[bins]
-    rest = np.flatnonzero(~alone)
-    if len(rest):
-        _, inverse, n = np.unique(key[rest], return_inverse=True, return_counts=True)
-        out[rest] = n[inverse]
+    mixed = np.zeros(1 << 21, bool)
+    mixed[bins[kept[bins] != key]] = True
+    several = mixed[bins]
+    out[rest] = size[bins]
+    _, inverse, n = np.unique(key[several], return_inverse=True, return_counts=True)
+    out[rest[several]] = n[inverse]
     return out
 
 
@@ -233,61 +273,102 @@ def decode_slice(seq: np.ndarray, rules: np.ndarray, lengths: np.ndarray, start:
     return expand(seq[low:high], rules, first)[start - before : stop - before]
 
 
-_FILE = "shard long, part int, first_start long, n_ids long, rules binary, lengths binary, sequence binary, doc_ids binary, ends binary, no_id binary"
-_SHARD = "shard long, part int, n_ids long, rules binary, lengths binary, sequence binary, doc_ids binary, ends binary, no_id binary"
+_SHARD = pa.schema([("shard", pa.int64()), ("part", pa.int64()), ("n_ids", pa.int64()), ("rules", pa.binary()), ("lengths", pa.binary()), ("sequence", pa.binary()), ("doc_ids", pa.binary()), ("ends", pa.binary()), ("no_id", pa.binary()), ("first_id", pa.int64()), ("last_id", pa.int64())])
+_SHARD_SQL = "shard long, part long, n_ids long, rules binary, lengths binary, sequence binary, doc_ids binary, ends binary, no_id binary, first_id long, last_id long"
 
 
-def write(docs: DataFrame, path: str, tokenizer: str | None = None, rows_per_shard: int = ROWS_PER_SHARD) -> None:
+def _shard(part: int, ids: list[int | None], parts: list[bytes]) -> pa.RecordBatch:
+    line = np.frombuffer(b"".join(parts), "<u4")
+    rules, lengths, seq = repair(line)
+    known = [i for i in ids if i is not None]
+    row = {
+        "shard": TaskContext.get().partitionId(), "part": part, "n_ids": len(line),
+        "rules": squeezed(rules.astype("<u4")), "lengths": squeezed(lengths), "sequence": squeezed(seq.astype("<u4")),
+        "doc_ids": squeezed(np.array([i or 0 for i in ids], np.int64)), "ends": squeezed(np.cumsum([len(p) // 4 for p in parts], dtype=np.int64)),
+        "no_id": squeezed(np.array([i is None for i in ids])), "first_id": known[0] if known else None, "last_id": known[-1] if known else None,
+    }
+    return pa.RecordBatch.from_pylist([row], schema=_SHARD)
+
+
+def write(docs: DataFrame, path: str, tokenizer: str | None = None, shard_ids: int = SHARD_IDS, range_bytes: int | None = None) -> None:
     """Encodes docs (doc_id, text) and writes the container below path, one row a shard, in ascending doc_id order."""
     file = tokenizer or public_tokenizers.path("byte_bpe_50k.json")
-    ranged = range_buckets(docs.select("doc_id", "text"), "doc_id", rows_per_shard)
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["doc_id", "text"], kind="stable", na_position="first")
+    docs = docs.select("doc_id", "text")
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long") + 1), F.lit(0))).first()[0]
+    low, high = RANGE_BYTES
+    n = max(1, -(-size // (range_bytes or int(min(high, max(low, 500 * size**0.5))))))
+    order = [F.col("doc_id"), F.xxhash64("text")]
+    dealt = docs.repartitionByRange(n, *order).sortWithinPartitions(*order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(file)
         end = np.array([END], "<u4").tobytes()
-        texts = frame["text"].where(frame["text"].notna(), None).tolist()
-        parts = [x + end for i in range(0, len(texts), 500) for x in encoder.encode(texts[i : i + 500])]
-        ids = np.frombuffer(b"".join(parts), "<u4")
-        rules, lengths, seq = repair(ids)
-        ends = np.cumsum([len(p) // 4 for p in parts], dtype=np.int64)
-        none = frame["doc_id"].isna().to_numpy()
-        return pd.DataFrame([{
-            "shard": int(frame["bucket_no"].iloc[0]), "part": 0, "n_ids": len(ids), "rules": squeezed(rules.astype("<u4")), "lengths": squeezed(lengths), "sequence": squeezed(seq.astype("<u4")),
-            "doc_ids": squeezed(frame["doc_id"].fillna(0).to_numpy(np.int64)), "ends": squeezed(ends), "no_id": squeezed(none),
-        }])
-
-    ranged.groupBy("bucket_no").applyInPandas(run, _SHARD).write.option("compression", "none").parquet(path)
+        part, ids, parts, n_ids = 0, [], [], 0
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                batch = whole.slice(at, 500)
+                for i, x in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist()), strict=True):
+                    ids.append(i)
+                    parts.append(x + end)
+                    n_ids += len(x) // 4 + 1
+                    if n_ids >= shard_ids:
+                        yield _shard(part, ids, parts)
+                        part, ids, parts, n_ids = part + 1, [], [], 0
+        if ids:
+            yield _shard(part, ids, parts)
+
+    dealt.mapInArrow(run, _SHARD_SQL).write.option("compression", "none").parquet(path)
 
 
 def read(spark, path: str) -> DataFrame:
-    """The container's shards with first_start, the ids of all shards before: a sum over the table of shards."""
-    shards = spark.read.schema(_SHARD).parquet(path)
-    sizes = shards.select(F.col("shard").alias("_shard"), F.col("n_ids").alias("_n"))
-    starts = sizes.select("_shard", (F.sum("_n").over(W.orderBy("_shard")) - F.col("_n")).alias("first_start"))
-    return shards.join(F.broadcast(starts), F.col("shard") == F.col("_shard")).drop("_shard")  # 16 bytes a shard, at most 10,000 shards
+    """The container's shards with first_start, the ids of all shards before: sums in a range and over the table of ranges."""
+    shards = spark.read.schema(_SHARD_SQL).parquet(path)
+    sizes = shards.select("shard", "part", "n_ids")
+    ranges_ = sizes.groupBy("shard").agg(F.sum("n_ids").alias("_n"))
+    before = ranges_.select("shard", (F.sum("_n").over(W.orderBy("shard")) - F.col("_n")).alias("_before"))
+    # a range is RANGE_BYTES of text or more and its row some 20 bytes, so this is some megabytes for 100 TB
+    inner = F.sum("n_ids").over(W.partitionBy("shard").orderBy("part")) - F.col("n_ids")
+    starts = sizes.withColumn("_inner", inner).join(F.broadcast(before), "shard")
+    starts = starts.select(F.col("shard").alias("_shard"), F.col("part").alias("_part"), (F.col("_before") + F.col("_inner")).alias("first_start"))
+    return shards.join(F.broadcast(starts), (F.col("shard") == F.col("_shard")) & (F.col("part") == F.col("_part"))).drop("_shard", "_part")
+
+
+def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Of every shard its row, ids of documents (null where there is none), starts and ends, rules and sequence."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            r = {k: batch.column(k)[i].as_py() for k in batch.schema.names}
+            ends = restored(r["ends"], np.int64)
+            doc = pa.array(restored(r["doc_ids"], np.int64), mask=restored(r["no_id"], bool))
+            yield r, doc, np.concatenate([[0], ends[:-1]]), ends, restored(r["rules"], "<u4").reshape(-1, 2), restored(r["sequence"], "<u4")
 
 
 def documents(spark, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from the decoded container."""
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for r in frame.itertuples(index=False):
-            rules = restored(r.rules, "<u4").reshape(-1, 2)
-            ids = expand(restored(r.sequence, "<u4"), rules).astype("<u4")
-            if len(ids) != r.n_ids:
-                raise ValueError(f"shard {r.shard} has {len(ids)} ids instead of {r.n_ids}")
-            ends = restored(r.ends, np.int64)
-            starts = np.concatenate([[0], ends[:-1]])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r, doc, starts, ends, rules, seq in _opened(batches):
+            ids = expand(seq, rules).astype("<u4")
+            if len(ids) != r["n_ids"]:
+                raise ValueError(f"shard {r['shard']}.{r['part']} has {len(ids)} ids instead of {r['n_ids']}")
             raw = memoryview(ids.tobytes())
             crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-            doc = pd.Series(restored(r.doc_ids, np.int64)).astype("Int64").mask(restored(r.no_id, bool))
-            out.append(pd.DataFrame({"doc_id": doc, "start": starts + r.first_start, "n_tokens": ends - starts, "ids_crc32": crc}))
-        return pd.concat(out)
+            yield pa.RecordBatch.from_arrays([doc, pa.array(starts + r["first_start"]), pa.array(ends - starts), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+
+    return read(spark, path).drop("lengths", "first_id", "last_id").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+
+
+def fetch(spark, path: str, doc_id: int) -> DataFrame:
+    """doc_id and ids of the rows of one document: only the shards that may hold it are read, and only its symbols decoded."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r, doc, starts, ends, rules, seq in _opened(batches):
+            lengths = restored(r["lengths"], np.int64)
+            hits = [decode_slice(seq, rules, lengths, int(starts[i]), int(ends[i])).tolist() for i, d in enumerate(doc.to_pylist()) if d == doc_id]
+            yield pa.RecordBatch.from_arrays([pa.array([doc_id] * len(hits), pa.int64()), pa.array(hits, pa.list_(pa.int64()))], ["doc_id", "ids"])
 
-    columns = ["shard", "part", "first_start", "n_ids", "rules", "lengths", "sequence", "doc_ids", "ends", "no_id"]
-    return read(spark, path).select(*columns).groupBy("shard").applyInPandas(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    shards = spark.read.schema(_SHARD_SQL).parquet(path)
+    return shards.where((F.col("first_id") <= doc_id) & (F.col("last_id") >= doc_id)).mapInArrow(run, "doc_id long, ids array<long>")
 
 
 def round_trip(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:

@@ -51,7 +51,7 @@ def test_sliding_min_and_ranges():
 @settings(max_examples=60, deadline=None)
 def test_repair_round_trip(ids, least):
     ids = np.array(ids, np.uint32)
-    rules, lengths, seq = repair(ids, first=6, least=least, rounds=8)
+    rules, lengths, seq = repair(ids, first=6, least=least)
     assert (expand(seq, rules, 6) == ids).all()
     for k, (n, pair) in enumerate(zip(lengths, rules, strict=True)):
         assert n == len(expand(np.array([6 + k]), rules, 6)) and pair.max() < 6 + k
@@ -59,9 +59,22 @@ def test_repair_round_trip(ids, least):
         assert (decode_slice(seq, rules, lengths, 1, len(ids) - 1, 6) == ids[1:-1]).all()
 
 
-def test_repair_finds_repeats():
-    ids = np.array([1, 2, 3, 4] * 200, np.uint32)
-    assert len(repair(ids, first=10, least=8)[2]) < 300
+def test_repair_goes_to_the_end():
+    for ids in ([1, 2, 3, 4] * 200, [5] * 700, [1, 2, 3, 4, 0, 5, 5, 5] * 90):
+        rules, lengths, seq = repair(np.array(ids, np.uint32), first=10, least=8)
+        assert (expand(seq, rules, 10) == ids).all()
+        pairs = [(a, b) for a, b in zip(seq.tolist(), seq[1:].tolist(), strict=False) if a and b]
+        # what no two places share is counted without overlaps: every second place of a run
+        assert all(sum(1 for x in pairs if x == p) < (16 if p[0] == p[1] else 8) for p in set(pairs))
+        assert 0 in ids or len(seq) < 16
+
+
+def test_repair_of_many_kinds():
+    r = np.random.default_rng(4)
+    words = [r.integers(1, 60, int(r.integers(2, 9))) for _ in range(50)]
+    ids = np.concatenate([words[int(k)] for k in r.integers(0, 50, 4000)] + [[0]]).astype(np.uint32)
+    rules, lengths, seq = repair(ids, first=60, least=16)
+    assert (expand(seq, rules, 60) == ids).all() and len(seq) + 2 * len(rules) < 0.4 * len(ids)
 
 
 def laid(texts):

@@ -189,6 +189,18 @@ def test_warc(spark, tmp_path):
         assert rest[n : n + 4] == b"\r\n\r\n"
         data = rest[n + 4 :]
     assert found[7] == big.encode() and found[1] == b"" and found[9] == pages[5][2].encode() and len(found) == 7
+    again = warc_store.import_files(spark, f"file://{tmp_path}/files/*.txt", f"file://{tmp_path}/again")
+    for part in ("records", "payloads"):
+        assert Counter(map(tuple, getattr(again, part).collect())) == Counter(map(tuple, getattr(archive, part).collect()))
+    assert Counter(warc_store.read_back(again).collect()) == Counter(rows.values())
+
+
+def test_damaged_archive(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "u", "<p>a</p>" * 300), (2, "v", "<p>b</p>")], "page_id long, url string, html string")
+    archive = warc_store.store(pages, f"file://{tmp_path}/a")
+    lost = warc_store.Archive(archive.records, archive.payloads.limit(1))
+    with pytest.raises(Exception, match="record without its payload"):
+        warc_store.read_back(lost).collect()
 
 
 def test_warc_repeated_and_null_ids(spark, tmp_path):
@@ -305,23 +317,32 @@ def test_language_samples_whole_texts(spark, make):
 # ---------------------------------------------------------------- 8
 
 def test_tokens(spark, make, odd):
+    """Against the tokenizer library as it comes, added tokens included."""
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    texts = [*odd, "a  b   c", "x \n y\n z", " lead trail ", "<|endoftext|> it's 12.5%"]
+    texts = [*odd, "a  b   c", "x \n y\n z", " lead trail ", "<|endoftext|> it's 12.5%", "a <|endoftext|> b c d", "naïve café straße", "hi there<|endoftext|>"]
     tk = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tk.encode_special_tokens = True
-    rows = sorted(repair_tokens.round_trip(make(texts)).collect(), key=lambda r: r.doc_id)
+    own = [np.array([*tk.encode(t or "", add_special_tokens=False).ids, 0], "<u4") for t in texts]
+    rows = sorted(repair_tokens.round_trip(make(texts).withColumn("shard", F.lit("clash"))).collect(), key=lambda r: r.doc_id)
     at = 0
-    for r, t in zip(rows, texts, strict=True):
-        ids = np.array([*tk.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
+    for r, ids in zip(rows, own, strict=True):
         assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(ids.tobytes()))
         at += len(ids)
     path = scratch_path(spark, "test")
-    repair_tokens.write(make(texts), path, rows_per_shard=4)
-    assert repair_tokens.read(spark, path).count() > 2
+    repair_tokens.write(make(texts), path, shard_ids=50, range_bytes=5000)
+    assert repair_tokens.read(spark, path).count() > 5 and repair_tokens.read(spark, path).select("shard").distinct().count() > 2
     many = sorted(repair_tokens.documents(spark, path).collect(), key=lambda r: r.doc_id)
     assert [tuple(r) for r in many] == [tuple(r) for r in rows]
+    for i in (4, 7, len(texts) - 2):
+        assert repair_tokens.fetch(spark, path, i).collect() == [(i, own[i].tolist())]
+
+
+def test_tokens_of_repeated_ids(spark):
+    rows = [(1, f"text {n % 7}") for n in range(60)] + [(None, "none"), (None, "other"), (2, "two"), (0, None)]
+    got = sorted(repair_tokens.round_trip(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [None, None, 0] + [1] * 60 + [2]
+    assert all(a.start + a.n_tokens == b.start for a, b in zip(got, got[1:], strict=False)) and got[0].start == 0
 
 
 # ---------------------------------------------------------------- 9
