@@ -13,14 +13,14 @@ a source, or a pair, with a third of all rows is spread over tasks.  Only DataFr
 
 Defined results: a null or blank text has size 0, counts for nothing and is taken 0 times; a null source is a source of
 its own, last in the order; sources weigh by their place in code point order; a corpus without words takes nothing;
-repeated ids are kept as rows of their own; other columns pass by.
+repeated ids are rows of their own; an iteration that does not settle raises; other columns pass by.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -69,7 +69,7 @@ def tilts(pairs: DataFrame, goals: DataFrame, max_rate: int = MAX_RATE) -> DataF
     open_ = (F.col("source_size") > 0) & (F.col("target") < max_rate * F.col("source_size") * (1 - TOLERANCE))
     state = goals.select("source", "source_size", "n_docs", "target", mean, F.when(open_, F.lit(0.0)).alias("t"), F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"), (~open_).alias("done"))
     cap = math.log(max_rate)
-    for step in range(MOST_STEPS):
+    for _ in range(MOST_STEPS):
         x = F.col("size") / F.col("mean")
         inside = F.col("t") * x < cap
         rate = F.when(inside, F.exp(F.col("t") * x)).otherwise(F.lit(float(max_rate)))
@@ -95,12 +95,15 @@ def tilts(pairs: DataFrame, goals: DataFrame, max_rate: int = MAX_RATE) -> DataF
         )
         state = state.checkpoint()
         if not state.where(~F.col("done")).take(1):
-            break
-    return state
+            return state
+    raise RuntimeError(f"entropy balancing did not settle in {MOST_STEPS} steps")
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_rate: int = MAX_RATE) -> DataFrame:
-    """doc_id, source, size, source_size, target, rate, copies and taken (= copies * size) of every row of docs."""
+    """doc_id, source, size, source_size, target, rate, copies and taken (= copies * size) of every row of docs.
+
+    hashed and place tell a row's cell among the documents of its source and size, and its place there.
+    """
     base = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"))
     base = written(base, "mix-sizes")
     pairs = base.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")).checkpoint()
@@ -118,22 +121,33 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_rate: int = MAX
 
 def rounded(base: DataFrame, rated: DataFrame) -> DataFrame:
     """base (doc_id, source, size) with copies: whole, and one more where the running sum of parts passes a multiple of UNIT."""
-    hashed = base.withColumn("hashed", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)))
+    hashed = base.withColumn("hashed", _part(F.col("doc_id")))
     cell = [F.col(c).alias(f"_{c}") for c in ("source", "size", "hashed")]
     counts = hashed.groupBy(*cell).agg(F.count(F.lit(1)).alias("_n"))
     ahead = W.partitionBy("_source", "_size").orderBy("_hashed").rowsBetween(W.unboundedPreceding, -1)
     starts = counts.select("_source", "_size", "_hashed", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_start"))
     starts = starts.join(rated, F.col("_source").eqNullSafe(F.col("source")) & (F.col("_size") == F.col("size"))).drop("source", "size")
     inner = F.row_number().over(W.partitionBy("source", "size", "hashed").orderBy("doc_id"))
-    placed = hashed.withColumn("_place", inner).join(starts, F.col("source").eqNullSafe(F.col("_source")) & (F.col("size") == F.col("_size")) & (F.col("hashed") == F.col("_hashed")))
-    end = F.col("before") + (F.col("_start") + F.col("_place")) * F.col("part") + UNIT // 2
+    placed = hashed.withColumn("place", inner).join(starts, F.col("source").eqNullSafe(F.col("_source")) & (F.col("size") == F.col("_size")) & (F.col("hashed") == F.col("_hashed")))
+    end = F.col("before") + (F.col("_start") + F.col("place")) * F.col("part") + UNIT // 2
     extra = F.floor(end / UNIT) - F.floor((end - F.col("part")) / UNIT)
     copies = F.when(F.col("size") == 0, 0).otherwise(F.col("whole") + extra).cast("long")
-    return placed.select("doc_id", "source", "size", "source_size", "target", "rate", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return placed.select("doc_id", "source", "size", "source_size", "target", "rate", copies.alias("copies"), (copies * F.col("size")).alias("taken"), "hashed", "place")
+
+
+def _part(doc_id: Column) -> Column:
+    return F.pmod(F.xxhash64(doc_id), F.lit(PARTS))
 
 
 def apply_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_rate: int = MAX_RATE) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it, with their own columns; ids must be unique."""
-    copies = mix(docs, weights, max_rate).where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("copies").alias("_copies"))
+    """The rows of docs, each as often as the mix takes it, with their own columns.
+
+    Rows are met by their place among those of equal source, size and part, so rows that repeat an id are rows of their own.
+    """
+    copies = mix(docs, weights, max_rate).where("copies > 0").select(*[F.col(c).alias(f"_{c}") for c in ("source", "size", "hashed", "place", "copies")])
     own = [F.col(f"`{c}`") for c in docs.columns]
-    return docs.join(copies, F.col("doc_id").eqNullSafe(F.col("_id"))).select(*own, F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_nth")).select(*own)
+    row = F.struct(*own).alias("row")
+    rows = docs.select(row, F.col("source").alias("s"), n_words(F.col("text")).alias("n"), _part(F.col("doc_id")).alias("p"), F.col("doc_id").alias("id"))
+    rows = rows.withColumn("k", F.row_number().over(W.partitionBy("s", "n", "p").orderBy("id")))
+    same = F.col("s").eqNullSafe(F.col("_source")) & (F.col("n") == F.col("_size")) & (F.col("p") == F.col("_hashed")) & (F.col("k") == F.col("_place"))
+    return rows.join(copies, same).select("row", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("row.*")

@@ -10,6 +10,15 @@ not joined with itself: its fingerprints are dealt to the points at distance one
 within two bits have a common one), and every fingerprint at a point links to the smallest there.  That is exact, and its
 rows grow with the number of fingerprints, not of pairs.
 
+Similar texts (`keep_similar`).  Texts whose sets of five-word shingles have a Jaccard coefficient of 0.8 differ in some
+15 of 100 bits, which no 64-bit print can look up.  There a print has WORDS independent words of 64 bits; a pair is a
+candidate if in one word it has a chain on the ring: two consecutive segments that agree exactly (the key, as wide as the
+counted number of prints needs) and then cumulative differences within budgets in proportion to the word's.  Candidates
+within the budget of all words together are held against each other by their exact coefficient.  In a key that more than
+CROWD prints share, prints are compared with a leader, and those that are not near it choose the next one among
+themselves, until each has a leader; so the work grows with prints, not with pairs.  A pair at 0.8 has such a chain with a
+probability of some 0.9, a nearer one more (see the tests); in a crowd, links other than to leaders are left to other keys.
+
 Defined results: a null, empty or blank text has fingerprint zero, linked like any other; fewer words than SHINGLE make
 one shingle; equal rows have equal fingerprints and so one component; an id that occurs twice stays twice; other columns
 are left alone; an empty table gives an empty result.
@@ -17,6 +26,7 @@ are left alone; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -26,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.bytes_np import LOWER_TABLE
+from granary.llm.bytes_np import LOWER_TABLE, mixed
 from granary.llm.common import written
 
 SHINGLE = 3
@@ -36,21 +46,34 @@ SEGMENTS = 9
 #: Distinct fingerprints of a key up to which they are compared in pairs.
 CROWD = 32
 
+#: Setting of keep_similar: words in a shingle, least Jaccard coefficient, words of a print.
+SIMILAR_SHINGLE = 5
+LEAST_SIMILARITY = 0.8
+WORDS = 8
+#: Standard deviations that a candidate's difference may exceed the expected one of the least similarity.
+SLACK = 2.0
+
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)[None, :]) & 1).astype(np.int64)
 
 
-def fingerprint_of(text: str | None, shingle: int = SHINGLE) -> int:
+def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """XXH64 of every shingle of a text, repeats included; none for a text without a word."""
     words = (text or "").encode("utf-8", "surrogatepass").translate(LOWER_TABLE).split()
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     line = b" ".join(words)
     if len(words) <= shingle:
-        hashes = np.array([xxhash.xxh64_intdigest(line, SEED)], np.uint64)
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        begins = np.concatenate([[0], ends[:-1] + 1])
-        cut = map(slice, begins[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist())
-        hashes = np.frombuffer(b"".join(map(xxhash.xxh64_digest, map(line.__getitem__, cut), repeat(SEED))), ">u8").astype(np.uint64)
+        return np.array([xxhash.xxh64_intdigest(line, SEED)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    begins = np.concatenate([[0], ends[:-1] + 1])
+    cut = map(slice, begins[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist())
+    return np.frombuffer(b"".join(map(xxhash.xxh64_digest, map(line.__getitem__, cut), repeat(SEED))), ">u8").astype(np.uint64)
+
+
+def fingerprint_of(text: str | None, shingle: int = SHINGLE) -> int:
+    hashes = shingle_hashes(text, shingle)
+    if not len(hashes):
+        return 0
     # how often each bit is set, from how often each byte value occurs at each of the eight places
     at = hashes.view(np.uint8).reshape(-1, 8)
     ones = np.concatenate([np.bincount(at[:, k], minlength=256) @ _BITS for k in range(8)])
@@ -183,5 +206,155 @@ def keep_first(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return docs.join(spare, docs["doc_id"] == spare["_spare_id"], "left_anti")
 
 
+# ------------------------------------------------------------------ similar texts
+
+def budget(similarity: float, bits: int, slack: float = SLACK) -> int:
+    """Bits that prints of two equally large sets of shingles with this Jaccard coefficient may differ in."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return int(bits * p + slack * math.sqrt(bits * p * (1 - p)))
+
+
+def wide_print(text: str | None, shingle: int = SIMILAR_SHINGLE, words: int = WORDS) -> tuple[int, np.ndarray]:
+    """A hash of the set of a text's shingles, and its print of so many words."""
+    found = shingle_hashes(text, shingle)
+    found.sort()
+    found = found[np.concatenate([[True], found[1:] != found[:-1]])[: len(found)]]
+    own = xxhash.xxh64_intdigest(found.tobytes())
+    if not len(found):
+        return own, np.zeros(words, np.uint64)
+    ones = np.zeros((8 * words, 256), np.float32)
+    offset = np.arange(8 * words) << 8
+    steps = np.arange(words, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for i in range(0, len(found), 1 << 14):
+        at = mixed(found[i : i + (1 << 14), None] + steps).copy().view(np.uint8).reshape(-1, 8 * words)
+        ones += np.bincount((at + offset).ravel(), minlength=len(offset) << 8).reshape(-1, 256)
+    bits = 2 * (ones @ _BITS.astype(np.float32)).ravel() > len(found)
+    return own, np.packbits(bits, bitorder="little").view(np.uint64)
+
+
+def _wide_prints(docs: DataFrame, shingle: int, words: int) -> DataFrame:
+    """row, doc_id, kind (which set of shingles) and the words w0, w1, .. of every row's print."""
+    names = [f"w{k}" for k in range(words)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [wide_print(x.as_py(), shingle, words) for x in batch.column(2)]
+            kind = np.array([k for k, _ in found], np.uint64).view(np.int64)
+            line = np.array([w for _, w in found], np.uint64).reshape(-1, words).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(kind), *(pa.array(np.ascontiguousarray(line[:, k])) for k in range(words))], ["row", "doc_id", "kind", *names])
+
+    return docs.select(_row().alias("row"), "doc_id", "text").mapInArrow(run, "row long, doc_id long, kind long, " + ", ".join(f"{n} long" for n in names))
+
+
+def _row() -> Column:
+    """What tells rows apart: their id and text."""
+    return F.xxhash64("doc_id", "text")
+
+
+def _chained(start: Column, difference: Column, most: int, segments: int, exact: int) -> Column:
+    """Whether the runs from start that are longer than the key keep their budgets."""
+    chained = F.lit(False)
+    for i in range(segments):
+        total, ok = F.lit(0), F.lit(True)
+        for length in range(exact + 1, segments + 1):
+            total = total + F.bit_count(_segment(difference, i + length - 1, segments))
+            ok = ok & (total * segments <= length * most)
+        chained = chained | ((start == i) & ok)
+    return chained
+
+
+def similar_pairs(prints: DataFrame, words: int = WORDS, similarity: float = LEAST_SIMILARITY, crowd: int = CROWD) -> DataFrame:
+    """(a, b), a < b: kinds whose prints are near, candidates for an exact comparison.  prints: distinct kind with words."""
+    # two segments make a key of some three bits more than the number of prints has
+    key_bits = min(60, max(16, math.ceil(math.log2(max(2, prints.count()))) + 3))
+    segments, exact = max(3, 128 // key_bits), 2
+    per_word, in_all = budget(similarity, 64), budget(similarity, 64 * words)
+    cuts = _cuts(segments)
+    keys = []
+    for k in range(words):
+        for i in range(segments):
+            second = F.shiftleft(_segment(F.col(f"w{k}"), i + 1, segments), cuts[i + 1] - cuts[i])
+            keys.append(F.struct(F.lit(k * segments + i).alias("start"), _segment(F.col(f"w{k}"), i, segments).bitwiseOR(second).alias("key"), F.col(f"w{k}").alias("word")))
+    keyed = prints.select("kind", F.explode(F.array(*keys)).alias("k")).select("k.start", "k.key", "kind", "k.word")
+    sizes = keyed.groupBy("start", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = written(keyed.join(sizes, ["start", "key"]), "similar-keys")
+    few = shared.where(F.col("n") <= crowd).drop("n")
+    other = few.select("start", "key", F.col("kind").alias("b"), F.col("word").alias("_word"))
+    fits = _chained(F.col("start") % segments, F.col("word").bitwiseXOR(F.col("_word")), per_word, segments, exact)
+    pairs = few.join(other, ["start", "key"]).where((F.col("kind") < F.col("b")) & fits).select(F.col("kind").alias("a"), "b").distinct()
+    found = _near(pairs, prints, words, in_all)
+    # crowds: those that are not near a leader choose the next one
+    left = shared.where(F.col("n") > crowd).select("start", "key", "kind")
+    while left.take(1):
+        led = left.groupBy("start", "key").agg(F.min("kind").alias("a"))
+        tried = written(left.join(led, ["start", "key"]).where("kind <> a"), "similar-crowds")
+        near = written(_near(tried.select("a", F.col("kind").alias("b")).distinct(), prints, words, in_all), "similar-led")
+        found = found.unionByName(near)
+        left = tried.join(near, (tried["a"] == near["a"]) & (tried["kind"] == near["b"]), "left_anti").select("start", "key", "kind")
+        left = written(left, "similar-left")
+    return found.distinct()
+
+
+def _near(pairs: DataFrame, prints: DataFrame, words: int, most: int) -> DataFrame:
+    """The pairs (a, b) whose prints differ in at most `most` bits of all words together."""
+    one = prints.select(F.col("kind").alias("_a"), *[F.col(f"w{k}").alias(f"_a{k}") for k in range(words)])
+    two = prints.select(F.col("kind").alias("_b"), *[F.col(f"w{k}").alias(f"_b{k}") for k in range(words)])
+    joined = pairs.join(one, F.col("a") == F.col("_a")).join(two, F.col("b") == F.col("_b"))
+    bits = sum((F.bit_count(F.col(f"_a{k}").bitwiseXOR(F.col(f"_b{k}"))) for k in range(words)), F.lit(0))
+    return joined.where(bits <= most).select("a", "b")
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two sets as sorted arrays; two empty sets are equal."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose texts (kind, text) have the least similarity, by their exact sets of shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: list = [None, None]
+        for batch in batches:
+            keep = []
+            for a, one, two in zip(batch.column("a").to_pylist(), batch.column("_one"), batch.column("_two"), strict=True):
+                if last[0] != a:
+                    last = [a, np.unique(shingle_hashes(one.as_py(), shingle))]
+                keep.append(jaccard(last[1], np.unique(shingle_hashes(two.as_py(), shingle))) >= similarity)
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in (batch.column("a"), batch.column("b"))], ["a", "b"])
+
+    used = written(texts.join(pairs.select(F.explode(F.array("a", "b")).alias("_used")).distinct(), F.col("kind") == F.col("_used"), "left_semi"), "similar-texts")
+    # a leader of many is dealt with a salt
+    salts = F.explode(F.sequence(F.lit(0), F.lit(15))).alias("_salt")
+    one = used.select(F.col("kind").alias("_a"), F.col("text").alias("_one"), salts)
+    two = used.select(F.col("kind").alias("_b"), F.col("text").alias("_two"))
+    dealt = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(16)).cast("int"))
+    joined = dealt.join(two, F.col("b") == F.col("_b")).join(one, (F.col("a") == F.col("_a")) & (F.col("salt") == F.col("_salt")))
+    return joined.select("a", "b", "_one", "_two").mapInArrow(run, "a long, b long")
+
+
+def similar_groups(docs: DataFrame, shingle: int = SIMILAR_SHINGLE, similarity: float = LEAST_SIMILARITY, words: int = WORDS) -> DataFrame:
+    """row, doc_id and component_id (smallest id that links of similar texts reach) of every row of docs (doc_id, text)."""
+    prints = written(_wide_prints(docs, shingle, words), "similar-prints")
+    columns = [f"w{k}" for k in range(words)]
+    # one row for each set of shingles: copies are one row from here on
+    kinds = prints.groupBy("kind").agg(F.min("doc_id").alias("first_id"), F.min("row").alias("first_row"), F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in columns])
+    kinds = written(kinds, "similar-kinds")
+    pairs = written(similar_pairs(kinds.select("kind", *columns), words, similarity), "similar-pairs")
+    named = kinds.select("kind", "first_row").join(pairs.select(F.explode(F.array("a", "b")).alias("_used")).distinct(), F.col("kind") == F.col("_used"), "left_semi")
+    texts = docs.select(_row().alias("_row"), "text").join(named, F.col("_row") == F.col("first_row")).select("kind", "text").dropDuplicates(["kind"])
+    roots = components(_verified(pairs, texts, shingle, similarity))
+    rooted = kinds.join(roots, kinds["kind"] == roots["node"], "left").select("kind", "first_id", "n", F.coalesce("root", "kind").alias("root"))
+    smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"), F.sum("n").alias("size"))
+    labels = rooted.join(smallest.where("size > 1"), "root").select(F.col("kind").alias("_kind"), "component_id")
+    return prints.join(labels, F.col("kind") == F.col("_kind"), "left").select("row", "doc_id", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def keep_similar(docs: DataFrame, shingle: int = SIMILAR_SHINGLE, similarity: float = LEAST_SIMILARITY) -> DataFrame:
+    """The rows of docs without those whose id is not the smallest of their group of similar texts; rows without an id stay."""
+    spare = similar_groups(docs, shingle, similarity).where("doc_id <> component_id").select(F.col("row").alias("_spare"), F.col("doc_id").alias("_spare_id")).distinct()
+    return docs.join(spare, (_row() == F.col("_spare")) & (docs["doc_id"] == F.col("_spare_id")), "left_anti")
+
+
 def hexadecimal(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))

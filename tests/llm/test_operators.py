@@ -124,6 +124,52 @@ def test_links_are_exact(spark, crowd):
     assert {(x.node, x.root) for x in got if x.node != x.root} == {(p, q) for p, q in roots.items() if p != q and groups[q] > 1}
 
 
+def similar_by_hand(texts):
+    """Smallest index reachable by pairs of five-word Jaccard coefficient 0.8 or more."""
+    sets = [set(zip(*[w[k:] for k in range(5)], strict=False)) if len(w) >= 5 else {tuple(w)} if w else set() for w in (words_of((t or "").translate(LOWER)) for t in texts)]
+    root = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            both = len(a & sets[j])
+            if both >= 0.8 * (len(a) + len(sets[j]) - both):
+                x, y = root[i], root[j]
+                root = [min(x, y) if r in (x, y) else r for r in root]
+    return root
+
+
+@pytest.mark.parametrize("crowd", [2, 32])
+def test_similar_texts(make, odd, crowd, monkeypatch):
+    import random
+
+    monkeypatch.setattr(simhash_dedup, "CROWD", crowd)
+    monkeypatch.setattr(simhash_dedup.similar_pairs, "__defaults__", (simhash_dedup.WORDS, simhash_dedup.LEAST_SIMILARITY, crowd))
+    r = random.Random(7)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(3, 7)))
+    texts = list(odd)
+    for _ in range(12):
+        base = [word() for _ in range(r.randint(60, 400))]
+        for edits in (0, 1, 2, len(base) // 60, len(base) // 20):
+            copy = list(base)
+            for k in r.sample(range(len(copy)), min(edits, len(copy) // 60 + 1)):
+                copy[k] = word()
+            texts.append(" ".join(copy))
+    docs = make(texts).withColumn("kind", F.lit("clash"))
+    got = {x.doc_id: x.component_id for x in simhash_dedup.similar_groups(docs).collect()}
+    want = similar_by_hand(texts)
+    caught = [got[i] == want[i] for i in range(len(texts)) if want[i] != i]
+    assert sum(caught) >= 0.9 * len(caught) and all(got[i] in (want[i], i) or want[got[i]] == want[i] for i in got)
+    kept = simhash_dedup.keep_similar(docs)
+    assert kept.columns == docs.columns and sorted(x.doc_id for x in kept.collect()) == sorted(i for i in got if got[i] == i)
+
+
+def test_similar_texts_of_odd_tables(spark):
+    text = " ".join(f"w{i}" for i in range(80))
+    df = spark.createDataFrame([(None, text, 1), (7, text, 2), (7, "other words of the same id", 3), (3, text + " more", 4), (3, None, 5), (4, "", 6)], "doc_id long, text string, row long")
+    kept = simhash_dedup.keep_similar(df)
+    assert sorted(x.row for x in kept.collect()) == [1, 3, 4, 5]
+    assert simhash_dedup.keep_similar(df.limit(0)).count() == 0
+
+
 # ---------------------------------------------------------------- 2
 
 def test_decontamination(spark, make):
@@ -288,6 +334,37 @@ def test_mix(spark):
     assert {c.doc_id: c["count"] for c in copies} == {x.doc_id: x.copies for x in rows if x.copies}
 
 
+def test_mix_of_repeated_ids(spark):
+    rows = [(i % 3 if i % 2 else None, "w " * (1 + i % 4), "ab"[i % 2], f"n{i}") for i in range(90)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, place string").repartition(4)
+    found = entropy_mix.mix(df).collect()
+    out = entropy_mix.apply_mix(df)
+    assert out.columns == df.columns and len(found) == 90
+    taken = Counter(r.place for r in out.collect())
+    assert sum(taken.values()) == sum(r.copies for r in found) and max(taken.values()) <= 3
+    size = {r[3]: len(words_of(r[1])) for r in rows}
+    assert sum(size[p] * n for p, n in taken.items()) == sum(r.taken for r in found)
+
+
+def test_rates_are_tilts(spark):
+    """log(rate) is a source's exponent times the size, unless cut off: the form of least relative entropy."""
+    r = np.random.default_rng(9)
+    df = spark.createDataFrame([(i, "w " * int(r.integers(1, 80)), "abc"[i % 5 % 3]) for i in range(400)], "doc_id long, text string, source string")
+    tilt = {}
+    for x in entropy_mix.mix(df).collect():
+        if x.size and x.rate < 3 - 1e-9:
+            t = tilt.setdefault(x.source, math.log(x.rate) / x.size)
+            assert math.isclose(math.log(x.rate), t * x.size, rel_tol=1e-6, abs_tol=1e-9)
+    assert tilt
+
+
+def test_mix_that_does_not_settle(spark, monkeypatch):
+    monkeypatch.setattr(entropy_mix, "MOST_STEPS", 1)
+    df = spark.createDataFrame([(i, "w " * (i % 9 + 1), "ab"[i % 3 % 2]) for i in range(50)], "doc_id long, text string, source string")
+    with pytest.raises(RuntimeError, match="did not settle"):
+        entropy_mix.mix(df).count()
+
+
 # ---------------------------------------------------------------- 7
 
 def test_language(spark):
