@@ -15,9 +15,11 @@ Similar texts (`keep_similar`).  Texts whose sets of five-word shingles have a J
 candidate if in one word it has a chain on the ring: two consecutive segments that agree exactly (the key, as wide as the
 counted number of prints needs) and then cumulative differences within budgets in proportion to the word's.  Candidates
 within the budget of all words together are held against each other by their exact coefficient.  In a key that more than
-CROWD prints share, prints are compared with a leader, and those that are not near it choose the next one among
-themselves, until each has a leader; so the work grows with prints, not with pairs.  A pair at 0.8 has such a chain with a
-probability of some 0.9, a nearer one more (see the tests); in a crowd, links other than to leaders are left to other keys.
+CROWD prints share, prints are first compared with the smallest one; those near it are linked and leave all crowded keys,
+which contracts a large group of near copies, and the others go on, LEADERS times; what is left of a key is compared in
+pairs, chains first.  Those are prints that share a key, some three bits wider than their number asks for, without being
+near the leaders.  A pair at 0.8 has a chain with a probability of some 0.9, a nearer one more (see the tests); in a
+crowd, links between two texts that both follow a leader are left to other keys.
 
 Defined results: a null, empty or blank text has fingerprint zero, linked like any other; fewer words than SHINGLE make
 one shingle; equal rows have equal fingerprints and so one component; an id that occurs twice stays twice; other columns
@@ -50,6 +52,8 @@ CROWD = 32
 SIMILAR_SHINGLE = 5
 LEAST_SIMILARITY = 0.8
 WORDS = 8
+#: Rounds in which crowded keys follow a leader.
+LEADERS = 3
 #: Standard deviations that a candidate's difference may exceed the expected one of the least similarity.
 SLACK = 2.0
 
@@ -278,21 +282,22 @@ def similar_pairs(prints: DataFrame, words: int = WORDS, similarity: float = LEA
     keyed = prints.select("kind", F.explode(F.array(*keys)).alias("k")).select("k.start", "k.key", "kind", "k.word")
     sizes = keyed.groupBy("start", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = written(keyed.join(sizes, ["start", "key"]), "similar-keys")
-    few = shared.where(F.col("n") <= crowd).drop("n")
-    other = few.select("start", "key", F.col("kind").alias("b"), F.col("word").alias("_word"))
-    fits = _chained(F.col("start") % segments, F.col("word").bitwiseXOR(F.col("_word")), per_word, segments, exact)
-    pairs = few.join(other, ["start", "key"]).where((F.col("kind") < F.col("b")) & fits).select(F.col("kind").alias("a"), "b").distinct()
-    found = _near(pairs, prints, words, in_all)
-    # crowds: those that are not near a leader choose the next one
-    left = shared.where(F.col("n") > crowd).select("start", "key", "kind")
-    while left.take(1):
-        led = left.groupBy("start", "key").agg(F.min("kind").alias("a"))
-        tried = written(left.join(led, ["start", "key"]).where("kind <> a"), "similar-crowds")
+    found, crowded = None, shared.where(F.col("n") > crowd).drop("n")
+    rest = shared.where(F.col("n") <= crowd).drop("n")
+    for _ in range(LEADERS):
+        if not crowded.take(1):
+            break
+        led = crowded.groupBy("start", "key").agg(F.min("kind").alias("a"))
+        tried = crowded.join(led, ["start", "key"]).where("kind <> a")
         near = written(_near(tried.select("a", F.col("kind").alias("b")).distinct(), prints, words, in_all), "similar-led")
-        found = found.unionByName(near)
-        left = tried.join(near, (tried["a"] == near["a"]) & (tried["kind"] == near["b"]), "left_anti").select("start", "key", "kind")
-        left = written(left, "similar-left")
-    return found.distinct()
+        found = near if found is None else found.unionByName(near)
+        crowded = written(tried.drop("a").join(near.select(F.col("b").alias("_gone")).distinct(), F.col("kind") == F.col("_gone"), "left_anti"), "similar-crowds")
+    rest = rest.unionByName(crowded)
+    other = rest.select("start", "key", F.col("kind").alias("b"), F.col("word").alias("_word"))
+    fits = _chained(F.col("start") % segments, F.col("word").bitwiseXOR(F.col("_word")), per_word, segments, exact)
+    pairs = rest.join(other, ["start", "key"]).where((F.col("kind") < F.col("b")) & fits).select(F.col("kind").alias("a"), "b").distinct()
+    pairs = _near(pairs, prints, words, in_all)
+    return pairs if found is None else pairs.unionByName(found).distinct()
 
 
 def _near(pairs: DataFrame, prints: DataFrame, words: int, most: int) -> DataFrame:
