@@ -96,3 +96,36 @@ def is_valid_type(sql: str | Column) -> Column:
     p, s = (F.regexp_extract(upper, r"NUMERIC\((\d+)(?:,\s*(\d+))?\)", i) for i in (1, 2))
     fits = F.when((base == "VARCHAR") & (length != ""), length.cast("long") <= LONGEST_VARCHAR).when((base == "NUMERIC") & (p != ""), (p.cast("long") <= MOST_DIGITS) & (F.coalesce(or_null(s).cast("long"), F.lit(0)) <= p.cast("long"))).otherwise(True)
     return base.isin(*TYPES) & fits
+
+
+def legacy_type(pic: str | Column, name: str | Column = "") -> Column:
+    """sql_type, logical_type, confidence of a picture with its usage in one text, by the older rules: digits default to
+    4, more than 1000 are open, what is unknown is TEXT."""
+    p = F.replace(F.upper(F.trim(F.coalesce(col(pic), F.lit("")))), F.lit(" "), F.lit(""))
+    named = F.lit(name) if name == "" else col(name)
+    text = p.rlike(r"^[XA]|[XA]\(")
+    n_of = lambda t, symbols: F.regexp_count(t, F.lit(f"[{symbols}]"))
+    stated = lambda t, symbols: F.regexp_extract(t, rf"[{symbols}]\((\d+)\)", 1)
+    width = F.coalesce(or_null(stated(p, "XA")).cast("long"), F.greatest(n_of(p, "X"), n_of(p, "A"), F.lit(1)).cast("long"))
+    whole, part = F.split_part(p, F.lit("V"), F.lit(1)), F.split_part(p, F.lit("V"), F.lit(2))
+    digits = lambda t, symbols: F.coalesce(or_null(stated(t, "9")).cast("long"), n_of(t, symbols).cast("long"))
+    scale = digits(part, "9")
+    total = digits(whole, "9Z") + scale
+    some = lambda n: F.when(n == 0, 4).otherwise(n)
+    n = some(digits(p, "9Z"))
+    by_size = F.when(n <= 4, "SMALLINT").when(n <= 9, "INTEGER").when(n <= 18, "BIGINT").otherwise(F.format_string("NUMERIC(%d, 0)", n))
+    size_name = F.when(n <= 18, "Integer").otherwise("Large Integer")
+    said = lambda sql, logical, sure="HIGH": F.struct((sql if isinstance(sql, Column) else F.lit(sql)).alias("sql_type"), (logical if isinstance(logical, Column) else F.lit(logical)).alias("logical_type"), F.lit(sure).alias("confidence"))
+    numeric = p.rlike("9|V|COMP|BINARY|Z")
+    return (
+        F.when((p == "") | (F.upper(F.coalesce(col(pic), F.lit(""))) == "GROUP"), said("JSONB", "Group"))
+        .when(looks_like_date(named, p), said("DATE", "Date", "MEDIUM"))
+        .when(text, said(F.format_string("VARCHAR(%d)", F.least(width, F.lit(LONGEST_VARCHAR).cast("long"))), "String"))
+        .when(numeric & p.contains("V") & (total > MOST_DIGITS), said("NUMERIC", "Decimal", "LOW"))
+        .when(numeric & p.contains("V"), said(F.format_string("NUMERIC(%d, %d)", some(total), scale), "Decimal"))
+        .when(numeric & p.rlike("COMP-3|PACKED-DECIMAL"), said(F.format_string("NUMERIC(%d, 0)", n), "Packed Decimal"))
+        .when(numeric & p.contains("COMP-1"), said("REAL", "Float"))
+        .when(numeric & p.contains("COMP-2"), said("DOUBLE PRECISION", "Double"))
+        .when(numeric, said(by_size, size_name))
+        .otherwise(said("TEXT", "Unknown", "LOW"))
+    )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -76,7 +78,7 @@ def pruned_map(properties: str | Column) -> Column:
 
 def code_area(line: str | Column) -> Column:
     """What follows sequence number and indicator of a numbered fixed-format line; other lines as they are."""
-    return F.when(col(line).rlike(r"^\d{6}"), F.substring(col(line), 8, 1_000_000)).otherwise(col(line))
+    return F.when(col(line).rlike(r"^\d{6}"), F.substr(col(line), F.lit(8))).otherwise(col(line))
 
 
 def is_comment(line: str | Column) -> Column:
@@ -103,21 +105,22 @@ def is_unsafe_member(path: str | Column) -> Column:
     return p.rlike(r"^/|^[A-Za-z]:|(^|/)\.\.(/|$)") | (F.trim(p) == "")
 
 
-#: fixed values: intents of a question, in the order in which they are tried
+# fixed values: intents of a question and the words that tell them, in the order in which they are tried
 INTENTS = (
-    ("Summary", "summary|overview|describe"),
-    ("Validation", "validat|error|warning"),
-    ("Schema", "schema|ddl|table|column"),
-    ("Relationship", "relationship|depend|impact|uses"),
-    ("Dataset", "dataset|vsam|file"),
-    ("Copybook", "copybook|layout|field"),
-    ("Program", "program|cobol|job"),
+    ("Schema Questions", ("schema", "ddl", "create table", "sql", "er diagram", "diagram", "relational")),
+    ("Repository Summary", ("summarize", "statistics", "overview", "health")),
+    ("Relationship Analysis", ("access", "depend", "call graph", "used by", "which programs", "which copybooks")),
+    ("Program Analysis", ("program", "cbl", "cobol", "does")),
+    ("Copybook Analysis", ("copybook", "fields", "layout", "cpy")),
+    ("Dataset Analysis", ("dataset", "vsam", "ksds", "esds")),
+    ("Business Rules", ("rule", "validation", "logic")),
 )
 
 
 def intent(question: str | Column) -> Column:
-    q = F.lower(col(question))
-    out = None
-    for name, pattern in INTENTS:
-        out = F.when(q.rlike(pattern), name) if out is None else out.when(q.rlike(pattern), name)
-    return out.otherwise("Unknown")
+    """The first intent of which some word is in the question, whatever its case; a null question has none."""
+    q = F.lower(F.coalesce(col(question), F.lit("")))
+    found = F.when(F.lit(False), "")
+    for name, words in INTENTS:
+        found = found.when(reduce(Column.__or__, [q.contains(w) for w in words]), name)
+    return found.otherwise("Unknown")

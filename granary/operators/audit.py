@@ -38,10 +38,15 @@ def select(events: DataFrame, *, stage=None, severity=None, event_type=None, sta
 
 
 def latest(events: DataFrame, order: str, *ties: str, limit: int = DEFAULT) -> DataFrame:
-    """The newest events: a top-k, ties by further columns."""
+    """The newest events: a top-k, ties by further columns; `counted` gives the total before the limit."""
     return events.orderBy(F.desc(order), *ties).limit(min(max(limit, 1), MOST))
 
 
+def counted(events: DataFrame) -> DataFrame:
+    """total: the events before any limit, which a page of `latest` is a part of."""
+    return events.agg(F.count(F.lit(1)).alias("total"))
+
+
 def latest_run(events: DataFrame) -> DataFrame:
     return events.where("run_id IS NOT NULL AND run_id <> ''").agg(F.max_by("run_id", "timestamp").alias("run_id"))
 

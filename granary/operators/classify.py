@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from granary.functions.text import col, extension
 def artifact_type(path: str | Column, content: str | Column) -> Column:
     """The first rule that holds: listings, cluster definitions, jobs, layouts, programs, other."""
     ext, text, upper = extension(path), col(content), F.upper(col(content))
-    has = lambda *words: upper.rlike("|".join(words))
+    has = lambda *words: reduce(Column.__or__, [upper.contains(w) for w in words])
     return (
         F.when(ext.isin(".csv", ".xlsx", ".xls"), "metadata")
         .when(ext.isin(".txt", ".lst", ".log", ".out") & has("CLUSTER", "NONVSAM", "IDCAMS", "LISTCAT"), "listcat")

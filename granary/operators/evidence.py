@@ -98,7 +98,7 @@ def logical_lines(lines: DataFrame) -> DataFrame:
     rows = rows.withColumn("_goes_on", control & F.rtrim("text").endswith(","))
     follows = F.coalesce(F.lag("_goes_on").over(order), F.lit(False)) & control
     rows = rows.withColumn("_follows", follows).withColumn("_group", F.sum(F.when(follows, 0).otherwise(1)).over(order))
-    part = F.when(F.col("_follows"), F.ltrim(F.substring("text", 3, 1_000_000))).otherwise(F.col("text"))
+    part = F.when(F.col("_follows"), F.ltrim(F.substr("text", F.lit(3)))).otherwise(F.col("text"))
     cards = F.transform(F.sort_array(F.collect_list(F.struct("line_no", part.alias("text")))), lambda x: x["text"])
     return rows.groupBy("path", "_group").agg(F.min("line_no").alias("line_no"), F.array_join(cards, " ").alias("text")).drop("_group")
 
@@ -149,14 +149,14 @@ def data_definitions(lines: DataFrame) -> DataFrame:
     more = (F.col("kind") == "card") & F.col("text").rlike(r"^//\s") & F.lag(F.rtrim("text").endswith(",")).over(order) & F.lag(F.col("kind").isin("dd", "card")).over(order)
     rows = rows.withColumn("_more", F.coalesce(more, F.lit(False)))
     rows = rows.withColumn("_run", F.sum(F.when(F.col("_more"), 0).otherwise(1)).over(so_far))
-    body = F.when(F.col("_more"), F.trim(F.substring("text", 3, 1_000_000))).otherwise(F.trim(F.regexp_extract("text", dd, 2)))
+    body = F.when(F.col("_more"), F.trim(F.substr("text", F.lit(3)))).otherwise(F.trim(F.regexp_extract("text", dd, 2)))
     in_run = W.partitionBy("path", "_run")
     rows = rows.withColumn("_head", F.first("kind").over(in_run.orderBy("line_no")))
     step = F.last(F.when(F.col("kind") == "job", "").when(F.col("kind") == "exec", F.upper(F.regexp_extract("text", rf"(?i)^//({JCL_NAME}+)", 1))), True).over(so_far)
     rows = rows.withColumn("step_name", or_null(step))
     name = F.upper(F.trim(F.regexp_extract("text", dd, 1)))
     # what ends a chain of unnamed DDs: a job or step, or a control card that is no continuation and not blank
-    ends = F.col("kind").isin("job", "exec") | ((F.col("kind") == "card") & ~(F.col("_more") & (F.col("_head") == "dd")) & (F.trim(F.substring("text", 3, 1_000_000)) != ""))
+    ends = F.col("kind").isin("job", "exec") | ((F.col("kind") == "card") & ~(F.col("_more") & (F.col("_head") == "dd")) & (F.trim(F.substr("text", F.lit(3))) != ""))
     rows = rows.withColumn("_part", F.sum(F.when(ends, 1).otherwise(0)).over(so_far))
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", body.alias("body")))), lambda x: x["body"]), " ")
     cards = rows.where(F.col("_head") == "dd").groupBy("path", "_run").agg(F.min("line_no").alias("source_line"), F.min_by(name, "line_no").alias("name"), F.min_by("step_name", "line_no").alias("step_name"), F.min_by("_part", "line_no").alias("_part"), F.trim(text).alias("params"))

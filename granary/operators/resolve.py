@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granary.functions.picture import sql_type
 from granary.functions.text import or_null
+from granary.sources.repository import cut
 
 # fixed values: counts at which a repetition changes its form
 INLINE_MOST, SAFE_MOST, CONFIDENT_MOST = 20, 200, 100
@@ -54,17 +57,22 @@ def redefines_strategy(*, original: Column, alternate: Column, parsed: Column) -
     return F.struct(strategy.otherwise("SAME_TABLE").alias("strategy"), confidence.otherwise("HIGH").alias("confidence"))
 
 
-def descendants(nodes: DataFrame, most: int = 50) -> DataFrame:
-    """(root, node_id, distance) of every node and all below it, itself included; conditions and renamings left out."""
+def descendants(nodes: DataFrame) -> DataFrame:
+    """(root, node_id, distance) of every node and all below it, itself included; conditions and renamings left out.
+
+    One round a level, until a level is empty; a node that is below itself raises.
+    """
     storage = nodes.where(~F.col("node_type").isin("CONDITION", "RENAMES")).select("node_id", "parent_id")
     level = storage.select(F.col("node_id").alias("root"), "node_id", F.lit(0).alias("distance"))
     out = level
-    for d in range(1, most):
-        level = level.select("root", F.col("node_id").alias("parent_id")).join(storage, "parent_id").select("root", "node_id", F.lit(d).alias("distance")).persist()
+    for d in itertools.count(1):
+        level = level.select("root", F.col("node_id").alias("parent_id")).join(storage, "parent_id").select("root", "node_id", F.lit(d).alias("distance"))
+        level = cut(level)
+        if level.where("root = node_id").take(1):
+            raise ValueError("a node is below itself")
         if level.isEmpty():
-            break
+            return out
         out = out.unionByName(level)
-    return out
 
 
 def structure(nodes: DataFrame, below: DataFrame | None = None) -> DataFrame:

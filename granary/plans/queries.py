@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from granary.functions import picture, text
-from granary.operators import audit, classify, evidence, graph, layout, lookup, program, relational, resolve, schema
+from granary.operators import assess, audit, classify, evidence, graph, layout, lookup, program, relational, resolve, schema
 from granary.plans.registry import register, table
 from granary.sources import repository
 
@@ -426,3 +426,123 @@ def q42(spark, sf_dir):
 def q43(spark, sf_dir):
     nodes = layout.layout(_stated(spark, "CUSTOMER.cpy", COPYBOOK))
     return schema.generate(nodes).columns.select("table_name", "column_name", "sql_type")
+
+
+_INTENT_SQL = "CASE " + " ".join("WHEN " + " OR ".join(f"contains(lower(coalesce(text, '')), '{w}')" for w in words) + f" THEN '{name}'" for name, words in text.INTENTS) + " ELSE 'Unknown' END"
+
+
+@register("q44_intents", f"SELECT conv_id, turn, {_INTENT_SQL} AS intent FROM conversations")
+def q44(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.intent("text").alias("intent"))
+
+
+_DATASETS = """SELECT o_orderkey AS id, CASE WHEN o_orderkey % 11 = 0 THEN 'UNKNOWN' WHEN o_orderkey % 13 = 0 THEN '' ELSE concat('O', o_orderkey) END AS dsn,
+ CASE WHEN o_orderstatus = 'O' THEN NULL ELSE o_orderpriority END AS vsam_type, CASE WHEN o_orderstatus = 'F' THEN 'JOB' END AS jcl,
+ CASE WHEN o_orderpriority LIKE '1%' THEN 'from ListCat' END AS notes, (o_custkey % 100) / 100.0::DOUBLE AS own, (o_orderkey % 5 - 1)::INTEGER AS reclen FROM orders"""
+
+
+def _datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as datasets, of every kind that the rules tell apart."""
+    key = F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").select(
+        key.alias("id"), F.when(key % 11 == 0, "UNKNOWN").when(key % 13 == 0, "").otherwise(F.concat(F.lit("O"), key.cast("string"))).alias("dsn"), F.when(F.col("o_orderstatus") != "O", F.col("o_orderpriority")).alias("vsam_type"),
+        F.when(F.col("o_orderstatus") == "F", "JOB").alias("jcl"), F.when(F.col("o_orderpriority").startswith("1"), "from ListCat").alias("notes"), ((F.col("o_custkey") % 100) / F.lit(100.0)).alias("own"), (key % 5 - 1).cast("int").alias("reclen"))
+
+
+@register("q45_dataset_confidence", f"""
+WITH d AS ({_DATASETS}), p AS (SELECT *, (CASE WHEN jcl IS NOT NULL THEN 20 ELSE 0 END + CASE WHEN contains(upper(coalesce(notes, '')), 'LISTCAT') THEN 40 ELSE 0 END)::DOUBLE AS points FROM d),
+s AS (SELECT *, CASE WHEN points = 0 THEN own * 100.0 ELSE points END AS score FROM p)
+SELECT id, round(score, 6) AS score, CASE WHEN score >= 90 THEN 'PASS' WHEN score >= 70 THEN 'WARNING' ELSE 'FAIL' END AS level,
+ concat_ws('; ', CASE WHEN jcl IS NOT NULL THEN 'Found in JCL DD statement' END, CASE WHEN contains(upper(coalesce(notes, '')), 'LISTCAT') THEN 'Found in LISTCAT catalog' END,
+ CASE WHEN points = 0 AND score < 50 THEN 'Dataset metadata inferred solely by AI (low confidence)' END) AS reasons FROM s""")
+def q45(spark, sf_dir):
+    found = _datasets(spark, sf_dir).select("id", assess.dataset_confidence("jcl", "notes", "own").alias("c"))
+    return found.select("id", F.round("c.score", 6).alias("score"), "c.level", F.array_join("c.reasons", "; ").alias("reasons"))
+
+
+@register("q46_validate_datasets", f"""
+WITH d AS ({_DATASETS}), m AS (SELECT id, (CASE WHEN dsn IN ('', 'UNKNOWN') THEN 1 ELSE 0 END + CASE WHEN vsam_type IS NULL THEN 1 ELSE 0 END)::INTEGER AS n_errors, (reclen <= 0)::INTEGER AS n_warnings,
+ ((dsn NOT IN ('', 'UNKNOWN'))::INTEGER + (jcl IS NOT NULL)::INTEGER + (notes IS NOT NULL)::INTEGER)::INTEGER AS n_evidence FROM d)
+SELECT *, CASE WHEN n_errors > 0 THEN 'FAIL' WHEN n_warnings > 0 THEN 'WARNING' ELSE 'PASS' END AS status FROM m""")
+def q46(spark, sf_dir):
+    found = _datasets(spark, sf_dir).select("id", assess.validate_dataset("dsn", "vsam_type", "reclen", "jcl", "notes").alias("v"))
+    return found.select("id", *[F.size(f"v.{c}").alias(f"n_{c}") for c in ("errors", "warnings", "evidence")], "v.status")
+
+
+_KINDS = ("USES_COPYBOOK", "READS", "CALLS", "USES_FILE", "ACCESSES", "USES_RECORD_LAYOUT", "WRITES")
+_TYPED = "SELECT concat('o', l_orderkey) AS source_id, concat('p', l_partkey) AS target_id, [" + ", ".join(f"'{k}'" for k in _KINDS) + "][l_linenumber] AS rel_type FROM lineitem"
+
+
+def _typed_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of orders as edges of seven types."""
+    kind = F.get(F.array(*[F.lit(k) for k in _KINDS]), F.col("l_linenumber") - 1)
+    return table(spark, sf_dir, "lineitem").select(F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("source_id"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("target_id"), kind.alias("rel_type"))
+
+
+@register("q47_dependencies", f"""
+WITH e AS ({_TYPED}), b AS (SELECT source_id AS node_id, target_id AS other, CASE WHEN contains(rel_type, 'COPY') THEN 'copybooks' WHEN contains(rel_type, 'DATASET') OR contains(rel_type, 'READ') OR contains(rel_type, 'WRITE') THEN 'datasets'
+ WHEN contains(rel_type, 'PROGRAM') OR contains(rel_type, 'CALL') THEN 'called_programs' WHEN contains(rel_type, 'FILE') THEN 'files' END AS bucket FROM e
+ UNION ALL SELECT target_id, source_id, 'referenced_by' FROM e)
+SELECT node_id, bucket, count(*) AS n_edges, count(DISTINCT other) AS n_targets FROM b GROUP BY 1, 2""")
+def q47(spark, sf_dir):
+    return graph.dependencies(_typed_edges(spark, sf_dir))
+
+
+@register("q48_layout_datasets", f"WITH e AS ({_TYPED}) SELECT target_id AS copybook, count(*) AS n, min(source_id) AS first_dataset FROM e WHERE rel_type = 'USES_RECORD_LAYOUT' GROUP BY 1")
+def q48(spark, sf_dir):
+    return graph.datasets_of_layouts(_typed_edges(spark, sf_dir)).groupBy("copybook").agg(F.count(F.lit(1)).alias("n"), F.min("dataset").alias("first_dataset"))
+
+
+@register("q49_program_datasets", f"""
+WITH e AS (SELECT DISTINCT source_id, target_id FROM ({_TYPED}) WHERE rel_type IN ('ACCESSES', 'READS', 'WRITES'))
+SELECT concat('o', o_orderkey) AS program, count(target_id) AS n_datasets, coalesce(min(target_id), 'UNKNOWN') AS first_dataset, CASE WHEN count(target_id) > 0 THEN 'READ' ELSE '' END AS operations
+FROM orders LEFT JOIN e ON source_id = concat('o', o_orderkey) GROUP BY 1""")
+def q49(spark, sf_dir):
+    programs = table(spark, sf_dir, "orders").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("program"))
+    return graph.datasets_of_programs(programs, _typed_edges(spark, sf_dir))
+
+
+@register("q50_parent_first", """
+WITH RECURSIVE t AS (SELECT p_partkey AS id, CASE WHEN p_partkey > 4 THEN p_partkey // 4 END AS parent FROM part),
+r AS (SELECT id, 0 AS depth, id::VARCHAR AS place FROM t WHERE parent IS NULL UNION ALL SELECT t.id, r.depth + 1, concat(r.place, '/', t.id) FROM t JOIN r ON t.parent = r.id)
+SELECT id, depth, place FROM r""")
+def q50(spark, sf_dir):
+    key = F.col("p_partkey")
+    nodes = table(spark, sf_dir, "part").select(key.alias("id"), F.when(key > 4, F.floor(key / 4)).alias("parent"))
+    return graph.parent_first(nodes, "id", "parent").select("id", "depth", F.array_join("place", "/").alias("place"))
+
+
+@register("q51_readiness", f"""
+WITH f AS (SELECT source, {CLASSIFY_SQL.format(e=EXT_SQL.format(p=_P), c='text')} AS t FROM documents),
+c AS (SELECT source, count(*) AS n_files, count(*) FILTER (t = 'idcams') AS d, count(*) FILTER (t = 'copybook') AS b, count(*) FILTER (t = 'cobol') AS p, count(*) FILTER (t = 'jcl') AS j FROM f GROUP BY 1)
+SELECT source, n_files, CASE WHEN d > 0 AND b > 0 AND (p > 0 OR j > 0) THEN 'Ready for modernization review' WHEN b > 0 AND d = 0 THEN 'Copybooks inventoried - upload JCL, LISTCAT, or COBOL to map datasets'
+ WHEN d > 0 THEN 'Datasets inventoried - add copybooks for schema design' WHEN n_files > 0 THEN 'Inventory complete - more mainframe context needed' ELSE 'No repository artifacts found' END AS readiness FROM c""")
+def q51(spark, sf_dir):
+    kind = classify.artifact_type("path", "content")
+    typed = _files(spark, sf_dir).select(F.split_part("path", F.lit("/"), F.lit(1)).alias("source"), kind.alias("t"))
+    n = typed.groupBy("source").agg(F.count(F.lit(1)).alias("n_files"), *[F.count_if(F.col("t") == k).alias(f"n_{k}") for k in ("idcams", "copybook", "cobol", "jcl")])
+    return n.select("source", "n_files", assess.readiness(F.col("n_files"), F.col("n_idcams"), F.col("n_copybook"), F.col("n_cobol"), F.col("n_jcl")).alias("readiness"))
+
+
+@register("q52_legacy_types", """
+WITH p AS (SELECT l_orderkey, l_linenumber, l_quantity::INTEGER AS q FROM lineitem)
+SELECT l_orderkey, l_linenumber, CASE l_linenumber WHEN 1 THEN concat('VARCHAR(', q, ')') WHEN 2 THEN CASE WHEN q <= 4 THEN 'SMALLINT' WHEN q <= 9 THEN 'INTEGER' WHEN q <= 18 THEN 'BIGINT' ELSE concat('NUMERIC(', q, ', 0)') END
+ WHEN 3 THEN concat('NUMERIC(', q + 2, ', 2)') WHEN 4 THEN concat('NUMERIC(', q, ', 0)') WHEN 5 THEN 'REAL' WHEN 6 THEN CASE WHEN q IN (6, 8) THEN 'DATE' WHEN q <= 4 THEN 'SMALLINT' WHEN q <= 9 THEN 'INTEGER' WHEN q <= 18 THEN 'BIGINT' ELSE concat('NUMERIC(', q, ', 0)') END
+ ELSE 'TEXT' END AS sql_type FROM p""")
+def q52(spark, sf_dir):
+    q = F.col("l_quantity").cast("int").cast("string")
+    forms = ("X(%s)", "S9(%s)", "s9(%s)V99", "9(%s) COMP-3", "9(%s) COMP-1", "9(%s)", "B/%s/")
+    forms = [F.replace(F.lit(f.replace("%s", "?")), F.lit("?"), F.lit("") if f.startswith("B") else q) for f in forms]
+    pic = F.get(F.array(*forms), F.col("l_linenumber") - 1)
+    name = F.when(F.col("l_linenumber") == 6, "SHIP-DATE").otherwise("OTHER")
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", pic.alias("pic"), name.alias("name"))
+    return rows.select("l_orderkey", "l_linenumber", picture.legacy_type("pic", "name")["sql_type"].alias("sql_type"))
+
+
+@register("q53_validate_schemas", """
+WITH f AS (SELECT p_brand AS file, p_name AS name, CASE WHEN p_size % 3 = 0 THEN '' ELSE 'X' END AS pic, CASE WHEN p_size % 2 = 0 THEN 1 ELSE 0 END AS n_children FROM part),
+n AS (SELECT file, count(DISTINCT name) AS n_names, (count(*) - count(DISTINCT name))::BIGINT AS n_errors, count(*) FILTER (pic = '' AND n_children = 0) AS n_warnings FROM f GROUP BY 1)
+SELECT *, CASE WHEN n_errors > 0 THEN 'FAIL' WHEN n_warnings > 0 THEN 'WARNING' ELSE 'PASS' END AS status FROM n""")
+def q53(spark, sf_dir):
+    fields = table(spark, sf_dir, "part").select(F.col("p_brand").alias("file"), F.col("p_name").alias("name"), F.when(F.col("p_size") % 3 == 0, "").otherwise("X").alias("pic"), F.when(F.col("p_size") % 2 == 0, 1).otherwise(0).alias("n_children"))
+    return assess.validate_schema(fields)

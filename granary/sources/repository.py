@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import tempfile
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -42,8 +43,17 @@ def members(data: bytes, most: int = MOST_MEMBERS, most_bytes: int = MOST_BYTES)
         raise ValueError("empty or oversized archive")
     if any(unsafe_member(i.filename) or (i.external_attr >> 28) == 0xA for i in infos):
         raise ValueError("unsafe archive member")
+    left = most_bytes
     for i in infos:
-        yield i.filename.replace("\\", "/"), archive.read(i).decode("utf-8", "replace")
+        try:  # sizes in headers may lie: what is read is counted
+            with archive.open(i) as f:
+                data = f.read(left + 1)
+        except (zipfile.BadZipFile, RuntimeError, NotImplementedError, EOFError, zlib.error) as e:
+            raise ValueError(f"unreadable member {i.filename}: {e}") from e
+        left -= len(data)
+        if left < 0:
+            raise ValueError("oversized archive")
+        yield i.filename.replace("\\", "/"), data.decode("utf-8", "replace")
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
@@ -98,6 +108,8 @@ def cut(df: DataFrame) -> DataFrame:
     """df, computed and kept in the cluster's checkpoint folder: later steps of a loop start from there."""
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None):
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         own = "file://" + tempfile.mkdtemp(prefix="granary-")
         spark.conf.set("spark.checkpoint.dir", own)
         spark.sparkContext.setCheckpointDir(own)
