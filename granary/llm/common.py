@@ -1,14 +1,12 @@
-"""What the operators of this subpackage share: the shared scratch folder, written tables, prefix sums."""
+"""What the operators of this subpackage share: the shared scratch folder, written tables, words."""
 
 from __future__ import annotations
 
-import math
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Separators and word characters of every contract of this subpackage: ASCII blank and tab to carriage return.
 BLANKS = r"[\x20\x09-\x0D]+"
@@ -19,6 +17,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir; one of our own only where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="granary-")
         spark.conf.set("spark.checkpoint.dir", found)
         spark.sparkContext.setCheckpointDir(found)
@@ -48,56 +48,3 @@ def n_words(text: Column) -> Column:
 def crc_class(doc_id: Column, modulus: int) -> Column:
     """crc32 of the decimal text of an id, modulo modulus."""
     return F.crc32(doc_id.cast("string").cast("binary")) % modulus
-
-
-def range_buckets(df: DataFrame, key: str, rows_per_bucket: int = 200_000) -> DataFrame:
-    """Adds bucket_no: ranges of an integer key, about rows_per_bucket rows each, numbered in the key's order.
-
-    The bounds are approximate quantiles, at most 10,000 numbers on the driver; null keys are in bucket 0.
-    """
-    total, low = df.agg(F.count(F.lit(1)), F.min(key)).first()
-    n = min(10_000, math.ceil(total / rows_per_bucket))
-    if n <= 1 or low is None:
-        return df.withColumn("bucket_no", F.lit(0))
-    cuts = df.agg(F.percentile_approx(key, [i / n for i in range(1, n)], 10_000)).first()[0]
-    cuts = sorted(set(cuts))
-    # first among about sqrt(n) coarse bounds, then among the bounds between two of them
-    step = math.ceil(math.sqrt(len(cuts)))
-    groups = [cuts[i : i + step] for i in range(0, len(cuts), step)]
-    coarse = _search(F.col(key), [g[-1] for g in groups], 0, len(groups))
-    inner = F.get(F.array(*[F.array(*[F.lit(int(c)).cast("long") for c in g]) for g in groups]), F.col("_coarse"))
-    fine = F.coalesce(F.size(F.filter(inner, lambda c: c < F.col(key))), F.lit(0))
-    found = df.withColumn("_coarse", F.coalesce(coarse, F.lit(0)))
-    number = F.when(F.col(key).isNull(), 0).when(F.col("_coarse") >= len(groups), len(cuts)).otherwise(F.col("_coarse") * step + fine)
-    return found.withColumn("bucket_no", number.cast("int")).drop("_coarse")
-
-
-def _search(key: Column, cuts: list, low: int, high: int) -> Column:
-    """Number of cuts below the key."""
-    if low == high:
-        return F.lit(low)
-    mid = (low + high) // 2
-    return F.when(key > F.lit(cuts[mid]), _search(key, cuts, mid + 1, high)).otherwise(_search(key, cuts, low, mid))
-
-
-def offsets_before(df: DataFrame, key: str, size: str, out: str) -> DataFrame:
-    """Adds the sum of size over all rows with a smaller key (unique keys): sums by range, then inside each range.
-
-    No task holds more than one range; only the table of range sums is ordered as a whole.
-    """
-    from pyspark.sql import Window as W
-
-    ranged = range_buckets(df, key)
-    sums = ranged.groupBy("bucket_no").agg(F.sum(size).alias("_sum"))
-    before = sums.select("bucket_no", (F.sum("_sum").over(W.orderBy("bucket_no")) - F.col("_sum")).alias("_before"))
-    inner = F.sum(size).over(W.partitionBy("bucket_no").orderBy(key).rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col(size)
-    return ranged.withColumn("_inner", inner).join(F.broadcast(before), "bucket_no").withColumn(out, (F.col("_before") + F.col("_inner")).cast("long")).drop("_before", "_inner", "bucket_no")
-
-
-def strip_to(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Only the named columns, so that extra columns of the caller cannot clash with an operator's own."""
-    return df.select(*columns)
-
-
-def schema(text: str) -> T.StructType:
-    return T._parse_datatype_string(text)
