@@ -1,4 +1,4 @@
-"""The registered queries, each beside its SQL.  Operators run on the driver's tables or on rows stated in both engines."""
+"""The registered queries over the driver's tables, each beside its SQL; those of sources are in `source_queries`."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from granary.functions import picture, text
-from granary.operators import assess, audit, classify, evidence, graph, layout, lookup, program, relational, resolve, schema
+from granary.operators import assess, audit, classify, graph, lookup
 from granary.plans.registry import register, table
 from granary.sources import repository
 
@@ -113,106 +113,6 @@ def q12(spark, sf_dir):
     return rows.groupBy("user_id", "island").agg(F.min("event_type").alias("event_type"), F.count(F.lit(1)).alias("n"), ids.alias("ids"))
 
 
-# ------------------------------------------------------------------ layouts, on stated rows
-
-COPYBOOK = (
-    "01 CUSTOMER.", " 05 CUSTOMER-ID PIC X(10).", " 05 BIRTHDATE PIC X(10).", " 05 BIRTH-PARTS REDEFINES BIRTHDATE.", "  10 B-M PIC 99.", "  10 FILLER PIC X.",
-    "  10 B-D PIC 99.", "  10 FILLER PIC X.", "  10 B-Y PIC 9(4).", " 05 FLAG PIC X.", "  88 ACTIVE VALUE 'A'.", " 05 PHONE PIC X(10) OCCURS 3 TIMES.", " 05 BALANCE PIC S9(10)V99 COMP-3.",
-    " 05 LINES OCCURS 2 TIMES.", "  10 LINE-NO PIC 9(4) COMP.", "  10 LINE-TEXT PIC X(20).", "77 COUNTER PIC 9(5).",
-)
-_LINES = ", ".join(f"({i}, '{s.replace(chr(39), chr(39) * 2)}')" for i, s in enumerate(COPYBOOK, 1))
-_DECLARED = rf"""l(seq, text) AS (VALUES {_LINES}),
-d AS (SELECT seq, regexp_extract(text, '^\s*(\d\d)\s+([A-Z0-9_-]+)', 1)::INTEGER AS level, regexp_extract(text, '^\s*(\d\d)\s+([A-Z0-9_-]+)', 2) AS name, text FROM l),
-t AS (SELECT d.*, sum((level = 77)::INTEGER) OVER (ORDER BY seq) AS part FROM d),
-p AS (SELECT c.*, (SELECT max(q.seq) FROM t q WHERE q.part = c.part AND q.seq < c.seq AND q.level NOT IN (66, 88) AND (c.level = 88 OR q.level < c.level)) AS parent FROM t c)"""
-
-
-def _layout(spark: SparkSession) -> DataFrame:
-    rows = spark.createDataFrame([("C", i, s) for i, s in enumerate(COPYBOOK, 1)], "path string, line_no int, text string")
-    return layout.layout(rows)
-
-
-@register("q13_level_tree", f"WITH {_DECLARED} SELECT seq, level, name, CASE WHEN level = 77 THEN NULL ELSE parent END AS parent FROM p")
-def q13(spark, sf_dir):
-    rows = spark.createDataFrame([("C", i, s) for i, s in enumerate(COPYBOOK, 1)], "path string, line_no int, text string")
-    return layout.tree(layout.declarations(rows)).select("seq", "level", "name", F.split_part("parent_id", F.lit(":"), F.lit(2)).cast("int").alias("parent"))
-
-
-PICTURES = (("X(10)", None), ("XXX", None), ("A(5)", None), ("S9(10)V99", "COMP-3"), ("9(11)", "COMP"), ("9(5)V99", None), ("9(5)", "COMP-1"), ("9(5)", "COMP-2"), ("S9(4)", "BINARY"), ("ZZ9", None), ("9(20)", "COMP-3"), ("S9(7)V99", "COMPUTATIONAL-3"), ("$$$", None))
-_PICS = ", ".join(f"('{p}', {repr(u) if u else 'NULL'})" for p, u in PICTURES)
-_PIC_SQL = rf"""WITH r(pic, stated) AS (VALUES {_PICS}),
-n AS (SELECT *, list_sum(list_transform(regexp_extract_all(pic, '[XA](\((\d+)\))?', 2), lambda x : coalesce(nullif(x, '')::INTEGER, 1))) AS alpha,
-  list_sum(list_transform(regexp_extract_all(string_split(pic, 'V')[1], '[9Z](\((\d+)\))?', 2), lambda x : coalesce(nullif(x, '')::INTEGER, 1))) AS whole,
-  list_sum(list_transform(regexp_extract_all(coalesce(string_split(pic, 'V')[2], ''), '[9Z](\((\d+)\))?', 2), lambda x : coalesce(nullif(x, '')::INTEGER, 1))) AS fraction,
-  CASE stated WHEN 'COMPUTATIONAL-3' THEN 'COMP-3' ELSE coalesce(stated, 'DISPLAY') END AS usage FROM r),
-m AS (SELECT pic, usage, CASE WHEN coalesce(alpha, 0) > 0 AND contains(pic, 'X') THEN 'ALPHANUMERIC' WHEN coalesce(alpha, 0) > 0 THEN 'ALPHABETIC' WHEN coalesce(whole, 0) + coalesce(fraction, 0) > 0 THEN 'NUMERIC' ELSE 'UNSUPPORTED' END AS category,
-  CASE WHEN coalesce(alpha, 0) = 0 THEN nullif(coalesce(whole, 0) + coalesce(fraction, 0), 0) END::INTEGER AS "precision", coalesce(fraction, 0)::INTEGER AS scale,
-  CASE WHEN coalesce(alpha, 0) > 0 THEN alpha ELSE nullif(coalesce(whole, 0) + coalesce(fraction, 0), 0) END::INTEGER AS logical FROM n)"""
-
-
-def _pictures(spark: SparkSession) -> DataFrame:
-    rows = spark.createDataFrame(PICTURES, "pic string, stated string")
-    return rows.select("pic", picture.meaning("pic", "stated").alias("m")).select("pic", "m.*")
-
-
-@register("q14_pictures", _PIC_SQL + """ SELECT pic, usage, category, "precision", scale, logical, CASE WHEN logical IS NULL THEN NULL WHEN usage = 'DISPLAY' THEN logical WHEN usage = 'COMP-3' THEN ceil(("precision" + 1) / 2.0)
-  WHEN usage IN ('COMP', 'BINARY') AND "precision" <= 4 THEN 2 WHEN usage IN ('COMP', 'BINARY') AND "precision" <= 9 THEN 4 WHEN usage IN ('COMP', 'BINARY') AND "precision" <= 18 THEN 8 WHEN usage = 'COMP-1' THEN 4 WHEN usage = 'COMP-2' THEN 8 END::INTEGER AS n_bytes FROM m""")
-def q14(spark, sf_dir):
-    n = picture.physical_length(F.lit("ELEMENTARY"), F.col("logical_length"), F.col("precision"), F.col("usage"))
-    return _pictures(spark).select("pic", "usage", "category", "precision", "scale", F.col("logical_length").alias("logical"), n.cast("int").alias("n_bytes"))
-
-
-@register("q15_layout", """SELECT * FROM (VALUES ('CUSTOMER', 0, 112, 112), ('CUSTOMER-ID', 0, 10, 10), ('BIRTHDATE', 10, 10, 10), ('BIRTH-PARTS', 10, 10, 10), ('B-M', 10, 2, 2), ('B-D', 13, 2, 2), ('B-Y', 16, 4, 4),
-  ('FLAG', 20, 1, 1), ('PHONE', 21, 10, 30), ('BALANCE', 51, 7, 7), ('LINES', 58, 22, 44), ('LINE-NO', 58, 2, 2), ('LINE-TEXT', 60, 20, 20), ('COUNTER', 102, 5, 5)) v(name, begins, n_bytes, span)""".replace("0, 112, 112", "0, 102, 102"))
-def q15(spark, sf_dir):
-    return _layout(spark).where("NOT is_filler AND node_type <> 'CONDITION'").select("name", F.col("absolute_offset").alias("begins"), F.col("byte_length").alias("n_bytes"), F.col("span_max").alias("span"))
-
-
-@register("q16_type_map", _PIC_SQL + """ SELECT pic, usage, CASE WHEN category IN ('ALPHANUMERIC', 'ALPHABETIC') THEN concat('VARCHAR(', logical, ')') WHEN "precision" IS NULL THEN NULL WHEN usage = 'COMP-1' THEN 'REAL' WHEN usage = 'COMP-2' THEN 'DOUBLE PRECISION'
-  WHEN scale > 0 THEN concat('NUMERIC(', "precision", ',', scale, ')') WHEN "precision" <= 4 THEN 'SMALLINT' WHEN "precision" <= 9 THEN 'INTEGER' WHEN "precision" <= 18 THEN 'BIGINT' ELSE concat('NUMERIC(', "precision", ', 0)') END AS sql_type FROM m""")
-def q16(spark, sf_dir):
-    t = picture.sql_type(F.col("category"), F.col("precision"), F.col("scale"), F.col("logical_length"), F.col("usage"))
-    return _pictures(spark).select("pic", "usage", t["sql_type"].alias("sql_type"))
-
-
-@register("q17_overlays", "SELECT 'BIRTH-PARTS' AS name, 'BIRTHDATE' AS target, 'ALTERNATE_REPRESENTATION' AS strategy, 'HIGH' AS confidence")
-def q17(spark, sf_dir):
-    name = lambda c: F.split_part(c, F.lit(":"), F.lit(3))
-    return resolve.overlays(_layout(spark)).select(name(F.col("node_id")).alias("name"), name(F.col("target_id")).alias("target"), "strategy", "confidence")
-
-
-@register("q18_repetitions", """SELECT text, CASE WHEN contains(upper(text), 'DEPENDING') OR NOT regexp_matches(text, '\\d') OR n > 200 THEN 'REVIEW_REQUIRED' WHEN is_group THEN 'CHILD_TABLE' WHEN n <= 20 THEN 'INLINE_ARRAY' ELSE 'CHILD_TABLE' END AS strategy
-  FROM (SELECT text, is_group, CASE WHEN regexp_matches(upper(text), '\\d+\\s+TO\\s+\\d+') THEN regexp_extract(upper(text), '\\d+\\s+TO\\s+(\\d+)', 1) ELSE nullif(regexp_extract(text, '(\\d+)', 1), '') END::INTEGER AS n
-  FROM (VALUES ('3 TIMES', false), ('25', false), ('3', true), ('1 TO 10 TIMES DEPENDING ON ITEM-COUNT', false), ('TIMES', false), ('500', false), ('20', false), ('200', true)) v(text, is_group))""".replace("\\\\", "\\"))
-def q18(spark, sf_dir):
-    rows = spark.createDataFrame([("3 TIMES", False), ("25", False), ("3", True), ("1 TO 10 TIMES DEPENDING ON ITEM-COUNT", False), ("TIMES", False), ("500", False), ("20", False), ("200", True)], "text string, is_group boolean")
-    o = resolve.occurs_value(F.col("text"))
-    s = resolve.occurs_strategy(variable=F.col("o.variable"), unknown=F.col("o.unknown"), count=F.col("o.max"), is_group=F.col("is_group"), nested=F.lit(0), has_redefines=F.lit(False), has_picture=F.lit(True), element=F.lit("VARCHAR(10)"))
-    return rows.withColumn("o", o).select("text", s["strategy"].alias("strategy"))
-
-
-TABLES = (("ACCOUNT", None), ("ACCOUNT_ADDRESS", "ACCOUNT"))
-COLUMNS = (("ACCOUNT", 1, "RECORD-ID", "BIGSERIAL", False, 1), ("ACCOUNT", 2, "Acct-Name", "VARCHAR(10)", True, None), ("ACCOUNT_ADDRESS", 1, "PARENT_RECORD_ID", "BIGINT", False, 1), ("ACCOUNT_ADDRESS", 2, "OCCURRENCE_INDEX", "INTEGER", False, 2), ("ACCOUNT_ADDRESS", 3, "LINE", "VARCHAR(30)", True, None))
-KEYS = (("ACCOUNT_ADDRESS", "PARENT_RECORD_ID", "ACCOUNT", "RECORD-ID"),)
-
-
-def _schema(spark: SparkSession, tables=TABLES, columns=COLUMNS, keys=KEYS) -> tuple[DataFrame, DataFrame, DataFrame]:
-    return (
-        spark.createDataFrame(tables, "table_name string, parent_table string"),
-        spark.createDataFrame(columns, "table_name string, position int, column_name string, sql_type string, nullable boolean, key_position int"),
-        spark.createDataFrame(keys, "table_name string, column_name string, target_table string, target_column string"),
-    )
-
-
-@register("q19_ddl_hash", r"""
-SELECT table_name, ddl, sha256(ddl) AS ddl_hash FROM (VALUES
- ('ACCOUNT', concat('CREATE TABLE "account" (', chr(10), '    "record_id" BIGSERIAL NOT NULL,', chr(10), '    "acct_name" VARCHAR(10),', chr(10), '    PRIMARY KEY ("record_id")', chr(10), ');')),
- ('ACCOUNT_ADDRESS', concat('CREATE TABLE "account_address" (', chr(10), '    "parent_record_id" BIGINT NOT NULL,', chr(10), '    "occurrence_index" INTEGER NOT NULL,', chr(10), '    "line" VARCHAR(30),', chr(10),
-  '    PRIMARY KEY ("parent_record_id", "occurrence_index"),', chr(10), '    FOREIGN KEY ("parent_record_id") REFERENCES "account" ("record_id")', chr(10), ');'))) v(table_name, ddl)""")
-def q19(spark, sf_dir):
-    return relational.emit(*_schema(spark))
-
-
 _EDGES = """
  SELECT concat('c', o_custkey) AS source_id, concat('o', o_orderkey) AS target_id, 'PLACES' AS rel_type FROM orders
  UNION SELECT concat('o', l_orderkey), concat('p', l_partkey), 'CONTAINS' FROM lineitem
@@ -277,19 +177,6 @@ def q25(spark, sf_dir):
     return lookup.owners(table(spark, sf_dir, "events"), F.when(F.col("event_type") == "signup", F.col("event_id")), "user_id", "ts", "event_id").select("event_id", F.col("owner").alias("signup"))
 
 
-@register("q26_key_match", "SELECT * FROM (VALUES ('A', 0, 10, 'PRIMARY_KEY', 'CUSTOMER-ID'), ('A', 10, 10, 'AMBIGUOUS', NULL), ('A', 20, 9, 'UNRESOLVED_LENGTH_MISMATCH', NULL), ('A', 500, 1, 'UNRESOLVED', NULL)) v(dataset, key_offset, key_length, status, column_name)")
-def q26(spark, sf_dir):
-    fields = _layout(spark).where("level = 5 AND NOT is_filler").select(F.lit("A").alias("dataset"), "name", "absolute_offset", "byte_length")
-    keys = spark.createDataFrame([("A", 0, 10), ("A", 10, 10), ("A", 20, 9), ("A", 500, 1)], "dataset string, key_offset int, key_length int")
-    return relational.match_keys(fields, keys)
-
-
-@register("q27_preflight", "SELECT * FROM (VALUES ('ACCOUNT', 'duplicate column'), ('ACCOUNT', 'missing type'), ('ACCOUNT_ADDRESS', 'foreign key target missing'), ('ACCOUNT_ADDRESS', 'foreign key column missing')) v(table_name, issue)")
-def q27(spark, sf_dir):
-    bad = (*COLUMNS, ("ACCOUNT", 3, "ACCT_NAME", None, True, None))
-    return relational.preflight(*_schema(spark, columns=bad, keys=(("ACCOUNT_ADDRESS", "LINE", "MISSING", "ID"), ("ACCOUNT_ADDRESS", "NOWHERE", "ACCOUNT", "RECORD-ID"))))
-
-
 @register("q28_folders", r"""
 WITH p AS (SELECT list_filter(string_split(regexp_replace(url, '\?.*$', ''), '/'), lambda x : x <> '') AS ps FROM pages),
 a AS (SELECT unnest(list_transform(range(1, len(ps)), lambda i : array_to_string(ps[1:i], '/'))) AS folder FROM p)
@@ -367,11 +254,6 @@ def q36(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("user_id").agg(has("i").alias("with_i"), has("er").alias("with_er"), F.count(F.lit(1)).alias("n"))
 
 
-@register("q37_validation_summary", _PIC_SQL + """ SELECT count(*) AS n, count(*) FILTER (category = 'NUMERIC') AS numeric, count(*) FILTER (category = 'UNSUPPORTED') AS unsupported, count(*) FILTER (scale > 0) AS scaled, count(DISTINCT usage) AS usages FROM m""")
-def q37(spark, sf_dir):
-    return _pictures(spark).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("category") == "NUMERIC").alias("numeric"), F.count_if(F.col("category") == "UNSUPPORTED").alias("unsupported"), F.count_if(F.col("scale") > 0).alias("scaled"), F.countDistinct("usage").alias("usages"))
-
-
 @register("q38_duplicate_names", "SELECT p_name, count(*) AS n, min(p_partkey) AS first_key FROM part GROUP BY 1 HAVING count(*) > 1")
 def q38(spark, sf_dir):
     return table(spark, sf_dir, "part").groupBy("p_name").agg(F.count(F.lit(1)).alias("n"), F.min("p_partkey").alias("first_key")).where("n > 1")
@@ -390,44 +272,6 @@ def q40(spark, sf_dir):
     return rows.groupBy("n_name").agg(F.countDistinct("c_custkey").alias("customers"), F.array_join(F.array_sort(F.collect_set("c_mktsegment")), ",").alias("segments"))
 
 
-# ------------------------------------------------------------------ programs and jobs, on stated rows
-
-PROGRAM = (
-    "000100 IDENTIFICATION DIVISION.", "000200 PROGRAM-ID. DEMO.", "000300 ENVIRONMENT DIVISION.", "000400 INPUT-OUTPUT SECTION.", "000500 FILE-CONTROL.", "000600     SELECT ACCT-FILE ASSIGN TO ACCTFILE.", "000700 DATA DIVISION.",
-    "000800 FILE SECTION.", "000900 FD  ACCT-FILE.", "001000     COPY CVACT01Y.", "001100 PROCEDURE DIVISION.", "001200 MAIN-PARA.", "001300     MOVE 1 TO WS-COUNT.", "001400     CALL 'SUBPGM' USING WS-COUNT.", "001500     IF WS-COUNT > 0", "001600     END-IF.",
-)
-JOB = (
-    "//TESTJOB JOB CLASS=A", "//JOBLIB DD DSN=A,DISP=SHR", "//       DD DSN=B,DISP=SHR", "//* a comment", "//STEP1 EXEC PGM=AAA", "//STEPLIB DD DSN=C,DISP=SHR", "//        DD DSN=D,", "//        DISP=(NEW,CATLG)", "//SYSPRINT DD SYSOUT=*",
-    "//STEP2 EXEC PROC=MYPROC", "//IN DD *", "data", "//OUT DD DUMMY", "//TMP DD DSN=&&WORK,DISP=OLD",
-)
-
-
-def _stated(spark: SparkSession, path: str, rows: tuple[str, ...]) -> DataFrame:
-    return spark.createDataFrame([(path, i, s) for i, s in enumerate(rows, 1)], "path string, line_no int, text string")
-
-
-@register("q41_program_tree", """SELECT * FROM (VALUES (1, 'division', 'IDENTIFICATION', NULL), (2, 'program_id', 'DEMO', 'IDENTIFICATION'), (3, 'division', 'ENVIRONMENT', NULL), (4, 'section', 'INPUT-OUTPUT', 'ENVIRONMENT'),
- (5, 'file_control', 'FILE-CONTROL', 'INPUT-OUTPUT'), (7, 'division', 'DATA', NULL), (8, 'section', 'FILE', 'DATA'), (9, 'fd', 'ACCT-FILE', 'FILE'), (10, 'copy', 'CVACT01Y', 'ACCT-FILE'), (11, 'division', 'PROCEDURE', NULL),
- (12, 'paragraph', 'MAIN-PARA', 'PROCEDURE'), (13, 'operation', 'MOVE', 'MAIN-PARA'), (14, 'operation', 'CALL', 'MAIN-PARA'), (15, 'operation', 'IF', 'MAIN-PARA')) v(line_no, kind, name, owner)""")
-def q41(spark, sf_dir):
-    return program.owned(program.markers(_stated(spark, "DEMO.cbl", PROGRAM))).select("line_no", "kind", "name", "owner")
-
-
-@register("q42_job_allocations", """SELECT * FROM (VALUES (2, 'JOBLIB', 'A', 'job', 0), (3, 'JOBLIB', 'B', 'job', 1), (6, 'STEPLIB', 'C', 'STEP1', 0), (7, 'STEPLIB', 'D', 'STEP1', 1), (9, 'SYSPRINT', '*', 'STEP1', 0),
- (11, 'IN', 'INSTREAM', 'STEP2', 0), (13, 'OUT', 'DUMMY', 'STEP2', 0), (14, 'TMP', '&&WORK', 'STEP2', 0)) v(source_line, dd, value, scope, position)""")
-def q42(spark, sf_dir):
-    p = F.col("properties")
-    return evidence.data_definitions(_stated(spark, "JOB.jcl", JOB)).select("source_line", F.col("entity_name").alias("dd"), "value", F.coalesce(p["step_name"], F.lit("job")).alias("scope"), p["position"].cast("int").alias("position"))
-
-
-@register("q43_schema_columns", """SELECT * FROM (VALUES ('CUSTOMER', 'RECORD_ID', 'BIGSERIAL'), ('CUSTOMER', 'CUSTOMER_ID', 'VARCHAR(10)'), ('CUSTOMER', 'BIRTHDATE', 'VARCHAR(10)'), ('CUSTOMER', 'B_M', 'SMALLINT'), ('CUSTOMER', 'B_D', 'SMALLINT'), ('CUSTOMER', 'B_Y', 'SMALLINT'),
- ('CUSTOMER', 'FLAG', 'VARCHAR(1)'), ('CUSTOMER', 'PHONE', 'VARCHAR(10)[]'), ('CUSTOMER', 'BALANCE', 'NUMERIC(12,2)'), ('CUSTOMER', 'COUNTER', 'INTEGER'),
- ('CUSTOMER_CUSTOMER_LINES', 'PARENT_RECORD_ID', 'BIGINT'), ('CUSTOMER_CUSTOMER_LINES', 'OCCURRENCE_INDEX', 'INTEGER'), ('CUSTOMER_CUSTOMER_LINES', 'LINE_NO', 'SMALLINT'), ('CUSTOMER_CUSTOMER_LINES', 'LINE_TEXT', 'VARCHAR(20)')) v(table_name, column_name, sql_type)""")
-def q43(spark, sf_dir):
-    nodes = layout.layout(_stated(spark, "CUSTOMER.cpy", COPYBOOK))
-    return schema.generate(nodes).columns.select("table_name", "column_name", "sql_type")
-
-
 _INTENT_SQL = "CASE " + " ".join("WHEN " + " OR ".join(f"contains(lower(coalesce(text, '')), '{w}')" for w in words) + f" THEN '{name}'" for name, words in text.INTENTS) + " ELSE 'Unknown' END"
 
 
