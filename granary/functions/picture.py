@@ -129,3 +129,69 @@ def legacy_type(pic: str | Column, name: str | Column = "") -> Column:
         .when(numeric, said(by_size, size_name))
         .otherwise(said("TEXT", "Unknown", "LOW"))
     )
+
+
+def _first_count(text: Column, symbols: str) -> Column:
+    """The first stated repeat count, else how often the first of the symbols that occurs stands there."""
+    n = F.regexp_extract(text, rf"[{symbols}]\((\d+)\)", 1)
+    alone = [F.when(text.contains(s), F.regexp_count(text, F.lit(s))) for s in symbols]
+    return F.coalesce(or_null(n).cast("int"), *alone, F.lit(0))
+
+
+def _binary_bytes(digits: Column) -> Column:
+    return F.when(digits <= 4, 2).when(digits <= 9, 4).otherwise(8)
+
+
+def older_storage(pic: str | Column) -> Column:
+    """Bytes of a picture with its usage in one text; every symbol counts with its repetitions."""
+    p = F.upper(F.trim(F.coalesce(col(pic), F.lit(""))))
+    digits, alpha = _count(F.regexp_replace(p, "[SV]", ""), "9"), _count(p, "XA")
+    return (
+        F.when(p == "", 0).when(p.contains("COMP-1"), 4).when(p.contains("COMP-2"), 8)
+        .when(p.rlike("COMP-3|PACKED-DECIMAL"), F.ceil((digits + 1) / 2).cast("int"))
+        .when(p.rlike("COMP|BINARY"), _binary_bytes(digits))
+        .when(alpha > 0, alpha).otherwise(digits)
+    )
+
+
+def older_length(pic: str | Column) -> Column:
+    """Bytes of a picture by its first stated counts before and after the first V; 0 for groups and what is unknown."""
+    p = F.upper(F.trim(F.coalesce(col(pic), F.lit(""))))
+    at = F.instr(p, "V")
+    whole, part = F.when(at > 0, F.substring_index(p, "V", 1)).otherwise(p), F.when(at > 0, F.substr(p, at + 1)).otherwise("")
+    digits = _first_count(whole, "9") + _first_count(part, "9")
+    return (
+        F.when(p.isin("", "GROUP"), 0).when(p.rlike("COMP-3|PACKED-DECIMAL"), F.ceil((digits + 1) / 2).cast("int"))
+        .when(p.contains("COMP-1"), 4).when(p.contains("COMP-2"), 8).when(p.rlike("COMP|BINARY"), _binary_bytes(digits))
+        .when(p.rlike("[XA]"), _first_count(p, "XA")).otherwise(digits)
+    )
+
+
+def symbol_length(pic: str | Column) -> Column:
+    """All symbols of a picture but signs and the implied point, with their repetitions; null for none."""
+    return F.nullif(_count(F.regexp_replace(F.upper(F.coalesce(col(pic), F.lit(""))), "V|S|CR|DB", ""), "X9AZB0*/+\\-"), F.lit(0))
+
+
+def flat_type(data_type: str | Column) -> Column:
+    """The relational type of a flat field by its picture alone."""
+    t = F.rtrim(F.upper(F.coalesce(col(data_type), F.lit(""))), F.lit("."))
+    width = F.regexp_extract(t, r"X\((\d+)\)", 1)
+    number = r"9\((\d+)\)(?:V9\((\d+)\)|V(9+))?"
+    whole, stated, spelt = (F.regexp_extract(t, number, i) for i in (1, 2, 3))
+    scale = F.coalesce(or_null(stated).cast("int"), F.length(spelt))
+    p = or_null(whole).cast("int")
+    numeric = F.when(p.isNull(), "NUMERIC").when(scale > 0, F.format_string("NUMERIC(%d,%d)", p + scale, scale)).when(p <= 9, "INTEGER").otherwise("BIGINT")
+    return F.when(t.startswith("X"), F.when(width != "", F.format_string("VARCHAR(%s)", width)).otherwise("TEXT")).when(t.rlike("^S?9"), numeric).otherwise("TEXT")
+
+
+def catalog_type_matches(expected: str | Column, data_type: str | Column, udt: str | Column, precision: str | Column, scale: str | Column) -> Column:
+    """Whether a database's catalog shows the type that was asked for; arrays and lengths are not looked into."""
+    want, found = F.upper(F.coalesce(col(expected), F.lit(""))), col(data_type)
+    p, s = (or_null(F.regexp_extract(want, r"NUMERIC\((\d+),(\d+)\)", i)).cast("int") for i in (1, 2))
+    same = (
+        F.when(want == "", False).when(want.endswith("[]"), found == "ARRAY").when(want == "BIGSERIAL", found == "bigint")
+        .when(want.startswith("VARCHAR"), found == "character varying")
+        .when(want.startswith("NUMERIC"), (found == "numeric") & (p.isNull() | (p.eqNullSafe(col(precision)) & s.eqNullSafe(col(scale)))))
+        .otherwise((F.upper(found) == want) | (F.upper(col(udt)) == want))
+    )
+    return F.coalesce(same, F.lit(False))
