@@ -230,9 +230,9 @@ def q73(spark, sf_dir):
     return catalogs.mapping_summary(rows.select("*", "t.*"), "l_linenumber")
 
 
-@register("q74_table_differences", """(SELECT c_custkey AS key, 'MISSING' AS status FROM customer EXCEPT SELECT o_custkey, 'MISSING' FROM orders) UNION ALL (SELECT o_custkey, 'UNEXPECTED' FROM orders EXCEPT SELECT c_custkey, 'UNEXPECTED' FROM customer)""")
+@register("q74_table_differences", """(SELECT c_custkey AS key, 'MISSING' AS status FROM customer EXCEPT SELECT o_custkey + 5, 'MISSING' FROM orders) UNION ALL (SELECT o_custkey + 5, 'UNEXPECTED' FROM orders EXCEPT SELECT c_custkey, 'UNEXPECTED' FROM customer)""")
 def q74(spark, sf_dir):
-    return catalogs.differences(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key")), table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key")))
+    return catalogs.differences(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key")), table(spark, sf_dir, "orders").select((F.col("o_custkey") + 5).alias("key")))
 
 
 @register("q75_canonical_names", "SELECT p_partkey, CASE WHEN contains(upper(p_name), 'COLD') THEN 'PROD.COLD.MASTER' WHEN contains(upper(p_name), 'WIDGET') THEN 'PROD.WIDGET' ELSE p_name END AS canonical FROM part")
