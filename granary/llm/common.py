@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 import uuid
 
@@ -36,6 +37,20 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def placed(df: DataFrame, order: list[Column], label: str) -> DataFrame:
+    """df with place, the number of rows before a row in the given order, which should tell all rows apart.
+
+    Sorted runs are written, and what stands in earlier runs is added to the places in a run: one number for each run.
+    """
+    spark, id_bits = df.sparkSession, 33  # the lower bits of monotonically_increasing_id() count the rows of a partition
+    runs = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    runs = written(runs, label).withColumn("_run", F.shiftright("_at", id_bits)).withColumn("_at", F.col("_at").bitwiseAND(F.lit((1 << id_bits) - 1)))
+    sizes = sorted((r._run, r.n) for r in runs.groupBy("_run").agg(F.count(F.lit(1)).alias("n")).collect())  # one row for each task
+    before = list(itertools.accumulate((n for _, n in sizes), initial=0))
+    table = spark.createDataFrame([(run, b) for (run, _), b in zip(sizes, before, strict=False)], "_run long, _before long")
+    return runs.join(F.broadcast(table), "_run", "left").withColumn("place", F.col("_at") + F.col("_before")).drop("_run", "_at", "_before")
+
+
 def words_of(text: Column) -> Column:
     """Array of the words of a text; a null text has none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), BLANKS), "")
