@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from granary.functions.picture import is_valid_type
 from granary.functions.text import col, or_null, redacted, redacted_map
 from granary.operators.evidence import evidence
+from granary.operators.substrings import substring_join
 
 # fixed values: words in a listing's column names that tell a number
 NUMBERS = {
@@ -32,10 +33,11 @@ def json_entries(files: DataFrame) -> DataFrame:
     return rows.select("path", (F.col("_at") + 1).alias("source_line"), *entry, F.map_concat(others, F.create_map(F.lit("entry_type"), kind)).alias("properties"))
 
 
-def listing_facts(rows: DataFrame, datasets: DataFrame) -> DataFrame:
+def listing_facts(rows: DataFrame, datasets: DataFrame, whole: bool = False) -> DataFrame:
     """For every dataset (dsn) the first row (path, row_no, cells: header to value) with a cell that names it, and its numbers.
 
-    The header's first match tells a number, its digits the value; a cell names every dataset that it spells as a whole.
+    The header's first match tells a number, its digits the value; a cell names every dataset that is part of its text, or,
+    if whole, that it spells as a whole name.
     """
     cells = F.map_entries("cells")
     digits = lambda v: or_null(F.regexp_replace(v, r"\D", "")).cast("long")
@@ -46,8 +48,13 @@ def listing_facts(rows: DataFrame, datasets: DataFrame) -> DataFrame:
 
     kinds = F.upper(F.array_join(F.transform(F.filter(cells, lambda e: F.upper(e["key"]).contains("TYPE")), lambda e: e["value"]), " "))
     organization = F.coalesce(*[F.when(kinds.contains(x), x) for x in ORGANIZATIONS], F.lit("UNKNOWN"))
-    named = F.explode(F.array_distinct(F.flatten(F.transform(F.map_values("cells"), lambda v: F.regexp_extract_all(F.upper(v), F.lit(DSN), F.lit(0))))))
-    told = rows.select("path", "row_no", *[number(w).alias(k) for k, w in NUMBERS.items()], organization.alias("organization"), named.alias("dsn"))
+    facts = [*[number(w).alias(k) for k, w in NUMBERS.items()], organization.alias("organization")]
+    if whole:
+        named = F.explode(F.array_distinct(F.flatten(F.transform(F.map_values("cells"), lambda v: F.regexp_extract_all(F.upper(v), F.lit(DSN), F.lit(0))))))
+        told = rows.select("path", "row_no", *facts, named.alias("dsn"))
+    else:  # all cells of a row as one text: no name goes on from one cell into the next
+        text = F.upper(F.array_join(F.map_values("cells"), "\n"))
+        told = substring_join(rows.select("path", "row_no", *facts, text.alias("_text")), "_text", datasets, "dsn")
     first = F.struct("path", "row_no", *NUMBERS, "organization")
     best = told.groupBy("dsn").agg(F.min_by(first, F.struct("path", "row_no")).alias("f"))
     return datasets.select("dsn").distinct().join(best, "dsn").select("dsn", "f.*", F.lit(0.9).alias("confidence"))

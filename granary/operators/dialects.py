@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from granary.functions.text import basename, col, extension, or_null, stem
 from granary.operators.program import IGNORED_QUALIFIERS
+from granary.operators.substrings import as_word, substring_join
 
 # fixed values: languages in the order in which they are tried, with the type of their programs
 LANGUAGES = {"COBOL": "cobol", "PL/I": "pli", "Natural": "natural", "RPG": "rpg"}
@@ -111,20 +112,30 @@ def slices(lines: DataFrame, relevant: Column) -> DataFrame:
 def uses_dataset(programs: DataFrame, datasets: DataFrame, ignored: tuple[str, ...] = IGNORED_QUALIFIERS) -> DataFrame:
     """Distinct (path, dsn) of programs (path, name, content) that seem to use datasets (dsn, copybook).
 
-    A qualifier of the dataset's name is part of the program's name, begins an ASSIGN target (without its ending DATA),
-    or is a word of the program; or the program copies the dataset's copybook.  All are equi-joins: parts of names and
-    beginnings of targets are listed first, as these are short.
+    A qualifier of the dataset's name is part of the program's name, begins an ASSIGN target (without its ending DATA), or
+    stands in the program between word boundaries; or the program copies the dataset's copybook, whose name ends at a word
+    boundary.  Parts of names and words are substring joins, so only lines that a qualifier may be in are shuffled;
+    beginnings of targets and copied names are equi-joins.
     """
-    text, name = F.upper("content"), F.upper("name")
+    text = F.upper("content")
     listed = lambda xs, kind: programs.select("path", F.lit(kind).alias("_kind"), F.explode(F.array_distinct(xs)).alias("_key"))
-    starts = F.when(F.length(name) > 0, F.sequence(F.lit(1), F.length(name)))
-    parts = F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), F.length(name) - i + 1), lambda n: F.substring(name, i, n))))
+    heads = lambda xs: F.flatten(F.transform(xs, lambda t: F.transform(F.sequence(F.lit(1), F.length(t)), lambda n: F.substring(t, 1, n))))
     targets = F.regexp_extract_all(text, F.lit(r"\bASSIGN\s+TO\s+([A-Z0-9#$@_.-]+)"), F.lit(1))
-    heads = F.flatten(F.transform(targets, lambda t: F.transform(F.sequence(F.lit(1), F.length(t)), lambda n: F.substring(t, 1, n))))
-    copies = F.regexp_extract_all(text, F.lit(r"(?:\bCOPY|%INCLUDE|/COPY|/INCLUDE)\s+([A-Z0-9_-]+)"), F.lit(1))
-    told = listed(parts, "name").unionByName(listed(heads, "target")).unionByName(listed(F.regexp_extract_all(text, F.lit(r"\w+"), F.lit(0)), "word")).unionByName(listed(copies, "copy"))
+    copies = F.regexp_extract_all(text, F.lit(r"(?:\bCOPY|%INCLUDE|/COPY|/INCLUDE)\s+([^\s]+)"), F.lit(1))
+    bounded = F.flatten(F.transform(copies, lambda t: F.filter(F.transform(F.sequence(F.lit(1), F.length(t)), lambda n: F.when(_boundary(t, n), F.substring(t, 1, n))), lambda x: x.isNotNull())))
+    told = listed(heads(targets), "target").unionByName(listed(bounded, "copy"))
     qualifiers = datasets.select("dsn", F.explode(F.array_distinct(F.split(F.upper("dsn"), r"\."))).alias("_q")).where((F.col("_q") != "") & ~F.col("_q").isin(*ignored))
     short = F.when(F.col("_q").endswith("DATA") & (F.length("_q") > 4), F.expr("left(_q, length(_q) - 4)")).otherwise(F.col("_q"))
-    asked = F.explode(F.create_map(F.lit("name"), F.col("_q"), F.lit("word"), F.col("_q"), F.lit("target"), short)).alias("_kind", "_key")
     copied = datasets.where("copybook <> 'NOT_FOUND'").select("dsn", F.lit("copy").alias("_kind"), stem(basename("copybook")).alias("_key"))
-    return told.join(qualifiers.select("dsn", asked).unionByName(copied), ["_kind", "_key"]).select("path", "dsn").distinct()
+    asked = qualifiers.select("dsn", F.lit("target").alias("_kind"), short.alias("_key")).unionByName(copied)
+    named = substring_join(programs.select("path", F.upper("name").alias("_text")), "_text", qualifiers, "_q").select("path", "_q")
+    lines = programs.select("path", F.explode(F.split(text, r"\R")).alias("_text")).distinct()
+    worded = substring_join(lines, "_text", qualifiers, "_q").where(as_word(F.col("_text"), F.col("_q"))).select("path", "_q")
+    by_part = named.unionByName(worded).distinct().join(qualifiers, "_q").select("path", "dsn")
+    return told.join(asked, ["_kind", "_key"]).select("path", "dsn").unionByName(by_part).distinct()
+
+
+def _boundary(t: Column, n: Column) -> Column:
+    """Whether a word ends or begins after the first n characters of t."""
+    word = lambda c: F.coalesce(c.rlike(r"\w"), F.lit(False))
+    return word(F.substring(t, n, 1)) != word(F.substring(t, n + 1, 1))

@@ -1,7 +1,7 @@
 """Record layouts: declarations, their tree, and byte offsets with overlays and repetition.
 
-A layout is an adjacency list: one row a declaration, with node_id, parent_id and seq (its line).  The tree is one fold a
-file, and offsets take one pass a depth over all files together.
+A layout is an adjacency list: one row a declaration, with node_id, parent_id and seq (its line), and the interval of its
+subtree.  The tree is one ordered pass over a file, and offsets take one pass a depth over all files together.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from granary.functions.picture import meaning, physical_length
 from granary.functions.text import is_comment, or_null
+from granary.operators.intervals import numbered
 from granary.sources.repository import cut
 
 DECLARATION = r"(?i)^\s*(?:\d{6}\s+)?(\d{2})\s+([A-Z0-9_-]+)\b(.*)$"
@@ -34,29 +35,8 @@ def declarations(lines: DataFrame) -> DataFrame:
 
 
 def tree(nodes: DataFrame) -> DataFrame:
-    """nodes with parent_id and depth.
-
-    A storage item's parent is the nearest item before it with a smaller level; a condition belongs to the item before it,
-    a renaming to the nearest open group; level 77 starts anew.  The open items of a file are folded over its ordered
-    declarations, inside the JVM; a file is one row meanwhile.
-    """
-    item = F.struct("seq", "node_id", "level", "node_type")
-    files = nodes.groupBy("path").agg(F.sort_array(F.collect_list(item)).alias("items"))
-    start = F.struct(F.array().cast("array<struct<node_id:string,level:int,node_type:string,depth:int>>").alias("open"), F.array().cast("array<struct<node_id:string,parent_id:string,depth:int>>").alias("done"))
-
-    def step(a, x):
-        smaller = F.filter(a["open"], lambda y: y["level"] < x["level"])
-        groups = F.filter(a["open"], lambda y: y["node_type"] == "GROUP")
-        top = lambda xs: F.try_element_at(xs, F.lit(-1))
-        alias, renames, anew = x["level"] == 88, x["level"] == 66, x["level"] == 77
-        parent = F.when(alias, top(a["open"])).when(renames, top(groups)).when(~anew, top(smaller))
-        depth = F.coalesce(parent["depth"] + 1, F.lit(0))
-        own = F.array(F.struct(x["node_id"].alias("node_id"), x["level"].alias("level"), x["node_type"].alias("node_type"), depth.alias("depth")))
-        still = F.when(alias | renames, a["open"]).when(anew, own).otherwise(F.concat(smaller, own))
-        return F.struct(still.alias("open"), F.concat(a["done"], F.array(F.struct(x["node_id"].alias("node_id"), parent["node_id"].alias("parent_id"), depth.alias("depth")))).alias("done"))
-
-    found = files.select(F.explode(F.aggregate("items", start, step, lambda a: a["done"])).alias("d")).select("d.*")
-    return nodes.join(found, "node_id")
+    """nodes with parent_id, depth, enter and leave, from one ordered pass over each file."""
+    return nodes.join(numbered(nodes).drop("path"), "node_id")
 
 
 def place(nodes: DataFrame) -> DataFrame:

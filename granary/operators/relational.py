@@ -72,10 +72,10 @@ def schema_of(nodes: DataFrame) -> DataFrame:
     """Columns (path, table_name, position, column_name, sql_type) of the layouts' elementary items outside repetitions and overlays."""
     from granary.functions.picture import sql_type
     from granary.functions.text import schema_identifier
-    from granary.operators.resolve import descendants
+    from granary.operators.intervals import inside
 
-    out = nodes.where("occurs_min IS NOT NULL OR redefines_target IS NOT NULL").select(F.col("node_id").alias("root"))
-    gone = descendants(nodes).join(out, "root", "left_semi").select("node_id").distinct()
-    leaves = nodes.where(F.col("pic").isNotNull() & ~F.col("is_filler")).join(gone, "node_id", "left_anti")
+    stores = ~F.col("node_type").isin("CONDITION", "RENAMES")
+    out = stores & (F.col("occurs_min").isNotNull() | F.col("redefines_target").isNotNull())
+    leaves = inside(nodes, out).where(F.col("pic").isNotNull() & ~F.col("is_filler") & ~F.col("inside"))
     mapped = sql_type(F.col("pic_category"), F.col("precision"), F.col("scale"), F.col("logical_length"), F.col("usage"))
     return leaves.select("path", schema_identifier(F.regexp_extract("path", r"([^/]*?)(\.[^.]*)?$", 1)).alias("table_name"), F.col("seq").alias("position"), schema_identifier("name").alias("column_name"), mapped.alias("m")).select("path", "table_name", "position", "column_name", "m.*")

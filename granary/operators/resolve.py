@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from granary.functions.picture import sql_type
 from granary.functions.text import or_null
+from granary.operators.intervals import below
 from granary.sources.repository import cut
 
 # fixed values: counts at which a repetition changes its form
@@ -75,18 +76,18 @@ def descendants(nodes: DataFrame) -> DataFrame:
         out = out.unionByName(level)
 
 
-def structure(nodes: DataFrame, below: DataFrame | None = None) -> DataFrame:
-    """For every node: leaves, repetitions and overlays below it (its own left out), safe named leaves, length."""
-    below = (below or descendants(nodes)).join(nodes.select("node_id", "pic", "occurs_min", "redefines_target", "is_filler", "byte_length"), "node_id")
-    inner = F.col("distance") > 0
-    stats = below.groupBy("root").agg(
-        F.count_if(F.col("pic").isNotNull()).alias("leaves"),
-        F.count_if(inner & F.col("occurs_min").isNotNull()).alias("occurs"),
-        F.count_if(inner & F.col("redefines_target").isNotNull()).alias("redefines"),
-        F.count_if(inner & F.col("pic").isNotNull() & ~F.col("is_filler") & F.col("byte_length").isNotNull()).alias("safe"),
-        (F.max("distance") > 0).alias("is_group"),
-    )
-    return nodes.join(stats, nodes["node_id"] == stats["root"]).drop("root")
+def structure(nodes: DataFrame) -> DataFrame:
+    """For every storage item: leaves, repetitions and overlays below it (its own left out), safe named leaves, length.
+
+    nodes have the intervals of their subtrees, so all of these are differences of running sums.
+    """
+    stores, elementary = ~F.col("node_type").isin("CONDITION", "RENAMES"), F.col("pic").isNotNull()
+    safe = elementary & ~F.col("is_filler") & F.col("byte_length").isNotNull()
+    found = below(
+        nodes, leaves=stores & elementary, occurs=stores & F.col("occurs_min").isNotNull(), redefines=stores & F.col("redefines_target").isNotNull(),
+        safe=stores & safe, _items=stores,
+    ).where(stores)
+    return found.withColumns({"leaves": F.col("leaves") + elementary.cast("long"), "is_group": F.col("_items") > 0}).drop("_items")
 
 
 def overlays(nodes: DataFrame, known: DataFrame | None = None) -> DataFrame:

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from granary.functions.picture import sql_type
 from granary.functions.text import schema_identifier, stem
-from granary.operators.resolve import descendants, overlays, repetitions, structure
+from granary.operators.inherit import any_of, handed_down, nearest, path_of
+from granary.operators.resolve import overlays, repetitions, structure
 from granary.sources.repository import cut
 
 
@@ -27,12 +28,6 @@ class Schema:
     reviews: DataFrame
 
 
-def name_paths(nodes: DataFrame, below: DataFrame) -> DataFrame:
-    """node_id, names (of all ancestors and the item, from the root)."""
-    up = below.join(nodes.select(F.col("node_id").alias("root"), F.col("name").alias("_name")), "root")
-    return up.groupBy("node_id").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("distance")).alias("d"), F.col("_name").alias("n")))), lambda x: x["n"]).alias("names"))
-
-
 def decisions(nodes: DataFrame, known: DataFrame) -> DataFrame:
     """node_id, kind (filler, overlay, repetition), strategy, confidence, element_type."""
     filler = nodes.where("is_filler").select("node_id", F.lit("filler").alias("kind"), F.lit("EXCLUDE_FILLER").alias("strategy"), F.lit("HIGH").alias("confidence"), F.lit(None).cast("string").alias("element_type"))
@@ -45,17 +40,16 @@ def generate(nodes: DataFrame) -> Schema:
     """The schema of all layouts in nodes (as `layout.layout` gives them)."""
     # each of these is used several times below
     nodes = cut(nodes)
-    below = cut(descendants(nodes))
-    decided = cut(decisions(nodes, cut(structure(nodes, below))))
-    known = cut(nodes.join(name_paths(nodes, below), "node_id").select("*", schema_identifier(stem("path")).alias("record")))
-    stops = decided.where("strategy NOT IN ('CHILD_TABLE', 'INLINE_ARRAY', 'ALTERNATE_REPRESENTATION')").select(F.col("node_id").alias("root"))
-    gone = below.join(stops, "root", "left_semi").select("node_id").distinct()
-    # the child table that an item belongs to: the nearest decided ancestor above it, or itself for a scalar
-    children = decided.where("strategy = 'CHILD_TABLE'").select(F.col("node_id").alias("root"))
-    nearest = below.join(children, "root").groupBy("node_id").agg(F.min_by("root", "distance").alias("child"))
-    above = below.join(children, "root").where("distance > 0").groupBy("node_id").agg(F.min_by("root", "distance").alias("outer"))
-    named = known.select(F.col("node_id").alias("child"), F.concat_ws("_", "record", schema_identifier(F.array_join("names", "_"))).alias("child_name"))
-    items = known.join(gone, "node_id", "left_anti").join(nearest, "node_id", "left").join(named, "child", "left")
+    decided = cut(decisions(nodes, cut(structure(nodes))))
+    strategies = decided.select(F.col("node_id").alias("_node"), F.col("strategy").alias("_strategy"))
+    storage = nodes.where(~F.col("node_type").isin("CONDITION", "RENAMES")).join(strategies, F.col("node_id") == F.col("_node"), "left").drop("_node")
+    stops = ~F.col("_strategy").isin("CHILD_TABLE", "INLINE_ARRAY", "ALTERNATE_REPRESENTATION")
+    child = F.when(F.col("_strategy") == "CHILD_TABLE", F.col("node_id"))
+    # the child table that an item belongs to is that of the nearest decided item above it, or its own for a scalar
+    storage = handed_down(storage, names=path_of(F.col("name")), child=nearest(child), gone=any_of(stops))
+    known = cut(storage.select("*", schema_identifier(stem("path")).alias("record")))
+    named = known.where("_strategy = 'CHILD_TABLE'").select(F.col("node_id").alias("child"), F.concat_ws("_", "record", schema_identifier(F.array_join("names", "_"))).alias("child_name"))
+    items = known.where("NOT gone").join(named, "child", "left")
     items = cut(items.withColumn("table_name", F.coalesce("child_name", "record")))
     arrays = decided.where("kind = 'repetition'").select("node_id", "strategy", "element_type")
     leaves = items.where("pic IS NOT NULL AND NOT is_filler").join(arrays, "node_id", "left")
@@ -73,9 +67,11 @@ def generate(nodes: DataFrame) -> Schema:
         F.when(F.col("strategy") == "INLINE_ARRAY", F.col("element_type")).otherwise(F.col("m.sql_type")).alias("sql_type"), F.lit(True).alias("nullable"), F.lit(None).cast("int").alias("key_position"), "node_id",
     )
     records = known.select("path", F.col("record").alias("table_name")).distinct().select("*", F.lit(None).cast("string").alias("parent_table"))
-    parent = named.select(F.col("child").alias("outer"), F.col("child_name").alias("_parent"))
-    nested = known.join(gone, "node_id", "left_anti").join(children, known["node_id"] == children["root"]).select("path", "node_id", "record")
-    nested = nested.join(named, nested["node_id"] == named["child"]).join(above, "node_id", "left").join(parent, "outer", "left")
+    # a child table stands in the one that its parent belongs to
+    owner = known.select(F.col("node_id").alias("_up"), F.col("child").alias("_outer"))
+    parent = named.select(F.col("child").alias("_outer"), F.col("child_name").alias("_parent"))
+    nested = known.where("NOT gone AND _strategy = 'CHILD_TABLE'").select("path", "record", "parent_id", F.col("node_id").alias("child")).join(named, "child")
+    nested = nested.join(owner, F.col("parent_id") == F.col("_up"), "left").join(parent, "_outer", "left")
     nested = nested.select("path", F.col("child_name").alias("table_name"), F.coalesce("_parent", "record").alias("parent_table"))
     tables = records.join(typed.select("table_name"), "table_name", "left_semi").unionByName(nested)
     key = lambda rows, position, name, kind, at: rows.select("path", "table_name", F.lit(position).alias("position"), F.lit(name).alias("column_name"), F.lit(kind).alias("sql_type"), F.lit(False).alias("nullable"), F.lit(at).alias("key_position"), F.lit(None).cast("string").alias("node_id"))

@@ -213,7 +213,7 @@ def q72(spark, sf_dir):
         "CISIZE": F.lit("4,096"), "RECORD COUNT": F.concat(q, F.lit("0")), "DS TYPE": F.when(n % 3 == 0, "vsam ksds").when(n % 3 == 1, "rrds").otherwise("ps"),
     }
     rows = table(spark, sf_dir, "lineitem").select(F.expr(_ROW).alias("path"), F.round(F.col("l_extendedprice") * 100).cast("long").alias("row_no"), F.create_map(*[x for k, v in cells.items() for x in (F.lit(k), v)]).alias("cells"))
-    return catalogs.listing_facts(rows, table(spark, sf_dir, "part").select(F.concat(F.lit("PROD.PART"), F.col("p_partkey").cast("string")).alias("dsn"))).drop("confidence")
+    return catalogs.listing_facts(rows, table(spark, sf_dir, "part").select(F.concat(F.lit("PROD.PART"), F.col("p_partkey").cast("string")).alias("dsn")), whole=True).drop("confidence")
 
 
 @register("q73_mapping_summary", _PIC_SQL + """, t AS (SELECT *, l_orderkey % 11 <> 0 AS a, CASE WHEN category IN ('ALPHANUMERIC', 'ALPHABETIC') THEN 'String' WHEN "precision" IS NULL THEN 'Unknown' ELSE 'number' END AS l FROM m)

@@ -24,6 +24,18 @@ def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(*[F.expr(v).alias(k) for k, v in _NUMBERS.items()])
 
 
+#: The same numbers from documents, which grow with the data: ids, lengths.
+_DOC_NUMBERS = {
+    "k": "doc_id", "s": "CAST(doc_id % 50 + 1 AS INTEGER)", "c": "CAST(n_chars % 9 + 1 AS INTEGER)", "o": "CAST((doc_id % 50 + 1) * 5 AS INTEGER)",
+    "w": "CAST(n_chars % 20 + 1 AS INTEGER)",
+}
+_D = f"p AS (SELECT {', '.join(f'{v} AS {k}' for k, v in _DOC_NUMBERS.items())} FROM documents)"
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(*[F.expr(v).alias(k) for k, v in _DOC_NUMBERS.items()])
+
+
 def _each(rows: DataFrame, names: tuple[str, ...], stated: Stated) -> DataFrame:
     """For every row the stated rows: expressions by name, then the condition under which they stand."""
     one = lambda r: F.when(F.expr(r[-1]), F.struct(*[F.expr(x).alias(n) for n, x in zip(names, r[:-1], strict=True)]))

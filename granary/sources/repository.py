@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import tempfile
+import uuid
 import zipfile
 import zlib
 from collections.abc import Iterator
@@ -104,13 +105,27 @@ def upsert(current: DataFrame, prior: DataFrame, key: str) -> DataFrame:
     return current.unionByName(prior.join(current.select(key), key, "left_anti"))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed and kept in the cluster's checkpoint folder: later steps of a loop start from there."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None):
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir; one of our own only where that is unset."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        own = "file://" + tempfile.mkdtemp(prefix="granary-")
-        spark.conf.set("spark.checkpoint.dir", own)
-        spark.sparkContext.setCheckpointDir(own)
+        found = "file://" + tempfile.mkdtemp(prefix="granary-")
+        spark.conf.set("spark.checkpoint.dir", found)
+        spark.sparkContext.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, computed and kept in the cluster's checkpoint folder: later steps of a loop start from there."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def put_down(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder, read again: for loops of joins, as its size is known there and not an estimate
+    that grows from round to round."""
+    path = f"{shared_dir(df.sparkSession)}/granary/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
