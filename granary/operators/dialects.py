@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from granary.functions.text import basename, col, extension, or_null, stem
 from granary.operators.program import IGNORED_QUALIFIERS
-from granary.operators.substrings import as_word, substring_join
+from granary.operators.substrings import substring_join, word_join
 
 # fixed values: languages in the order in which they are tried, with the type of their programs
 LANGUAGES = {"COBOL": "cobol", "PL/I": "pli", "Natural": "natural", "RPG": "rpg"}
@@ -114,8 +114,8 @@ def uses_dataset(programs: DataFrame, datasets: DataFrame, ignored: tuple[str, .
 
     A qualifier of the dataset's name is part of the program's name, begins an ASSIGN target (without its ending DATA), or
     stands in the program between word boundaries; or the program copies the dataset's copybook, whose name ends at a word
-    boundary.  Parts of names and words are substring joins, so only lines that a qualifier may be in are shuffled;
-    beginnings of targets and copied names are equi-joins.
+    boundary.  Parts of names and words go through an index of terms (`substrings`); beginnings of targets and copied names
+    are equi-joins.
     """
     text = F.upper("content")
     listed = lambda xs, kind: programs.select("path", F.lit(kind).alias("_kind"), F.explode(F.array_distinct(xs)).alias("_key"))
@@ -130,7 +130,7 @@ def uses_dataset(programs: DataFrame, datasets: DataFrame, ignored: tuple[str, .
     asked = qualifiers.select("dsn", F.lit("target").alias("_kind"), short.alias("_key")).unionByName(copied)
     named = substring_join(programs.select("path", F.upper("name").alias("_text")), "_text", qualifiers, "_q").select("path", "_q")
     lines = programs.select("path", F.explode(F.split(text, r"\R")).alias("_text")).distinct()
-    worded = substring_join(lines, "_text", qualifiers, "_q").where(as_word(F.col("_text"), F.col("_q"))).select("path", "_q")
+    worded = word_join(lines, "_text", qualifiers, "_q").select("path", "_q")
     by_part = named.unionByName(worded).distinct().join(qualifiers, "_q").select("path", "dsn")
     return told.join(asked, ["_kind", "_key"]).select("path", "dsn").unionByName(by_part).distinct()
 

@@ -1,14 +1,13 @@
-"""Joins on `contains`, through an index of grams instead of all pairs.
+"""Joins on `contains` and on words, through an index of terms instead of all pairs.
 
-A text contains a needle only if it contains every gram of three characters of it.  So each needle is posted under one of
-its grams, the one that the fewest texts have, texts are posted under those of their grams that some needle has chosen, and
-the two meet by an equi-join on the gram, after which `contains` is checked.  A needle with a gram that no text has is
-never posted.  With `scope`, columns that both sides have, texts and needles meet only where these are equal, and grams
-are counted within them.
+A text contains a needle only if it contains every gram of three characters of it, and it has a needle as a word only if it
+has every run of word characters of it.  So each needle is posted under one of its terms, the one that the fewest texts
+have, texts are posted under those of their terms that some needle has chosen, and the two meet by an equi-join on the term,
+after which the condition itself is checked.  A needle with a term that no text has is never posted.  With `scope`, columns
+that both sides have, texts and needles meet only where these are equal, and terms are counted within them.
 
-A gram that very many texts have is spread: texts go to SALTS parts by a hash, chosen needles to each part.  Which grams
-are chosen is one row a needle at most: up to SMALL of them (counted) they are broadcast and texts are reduced before
-they are shuffled; beyond that both sides are shuffled.
+Up to SMALL posts (counted) are broadcast, so texts are not shuffled at all.  Beyond that both sides are shuffled by term;
+a term of more than PER_PART texts is dealt to as many parts as it needs.
 
 Defined results: null and empty needles are in no text, null texts contain nothing; equal needles are posted once; every
 pair of a text and a distinct needle in it is one row.
@@ -20,11 +19,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granary.functions.text import or_null
-from granary.sources.repository import cut
+from granary.sources.repository import put_down
 
-GRAM, SALTS = 3, 16
-#: Chosen grams up to which they are broadcast: some ten megabytes.
+GRAM = 3
+#: Posts up to which they are broadcast: some ten megabytes.
 SMALL = 200_000
+#: Texts of a term that one part is meant for.
+PER_PART = 100_000
 
 
 def grams(text: Column, *lengths: int) -> Column:
@@ -36,34 +37,56 @@ def grams(text: Column, *lengths: int) -> Column:
     return F.array_distinct(F.flatten(F.array_compact(F.array(*[of(n) for n in lengths]))))
 
 
+def words(text: Column) -> Column:
+    """The distinct runs of word characters of a text."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"\w+"), F.lit(0)))
+
+
+def _asked(needles: DataFrame, needle: str, scope: tuple[str, ...]) -> DataFrame:
+    return needles.where(F.length(F.col(needle)) > 0).select(*scope, F.col(needle).alias("_needle")).distinct()
+
+
 def substring_join(texts: DataFrame, text: str, needles: DataFrame, needle: str, scope: tuple[str, ...] = ()) -> DataFrame:
     """The rows of texts with needle, for every needle that their column text contains."""
-    own = F.col(needle)
-    asked = needles.where(F.length(own) > 0).select(*scope, own.alias("_needle")).distinct()
+    asked = _asked(needles, needle, scope)
     lengths = sorted(r[0] for r in asked.select(F.least(F.length("_needle"), F.lit(GRAM)).alias("n")).distinct().collect())  # three at most
     if not lengths:
         return texts.withColumn(needle, F.lit(None).cast("string")).limit(0)
     # a short needle is a gram of its own, a long one has grams of three characters only
     size = F.least(F.length("_needle"), F.lit(GRAM))
-    parts = asked.select(*scope, "_needle", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("_needle") - size + 1), lambda i: F.substring(F.col("_needle"), i, size)))).alias("_gram"))
-    known = [*scope, "_gram"]
-    posted = texts.where(F.col(text).isNotNull())
-    listed = posted.select(*scope, F.explode(grams(F.col(text), *lengths)).alias("_gram"))
-    held = listed.join(_light(parts.select(*known).distinct()), known, "left_semi").groupBy(*known).agg(F.count(F.lit(1)).alias("_n"))
-    counted = parts.join(held, known, "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
-    rarest = counted.groupBy(*scope, "_needle").agg(F.min(F.struct("_n", "_gram")).alias("_best")).where("_best._n > 0")
-    chosen = cut(rarest.select(*scope, "_needle", F.col("_best._gram").alias("_gram")))
-    salted = chosen.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
-    dealt = posted.select("*", F.pmod(F.xxhash64(*posted.columns), F.lit(SALTS)).cast("int").alias("_salt"), F.explode(grams(F.col(text), *lengths)).alias("_gram"))
-    dealt = dealt.join(_light(chosen.select(*known).distinct()), known, "left_semi")
-    found = dealt.join(salted, [*known, "_salt"]).where(F.col(text).contains(F.col("_needle")))
-    return found.select(*[F.col(c) for c in texts.columns], F.col("_needle").alias(needle))
+    own = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("_needle") - size + 1), lambda i: F.substring(F.col("_needle"), i, size)))
+    return _met(texts, text, asked, needle, scope, grams(F.col(text), *lengths), own, F.col(text).contains(F.col("_needle")))
 
 
-def _light(keys: DataFrame) -> DataFrame:
-    """keys, to be broadcast if they are few."""
-    keys = cut(keys)
-    return F.broadcast(keys) if keys.count() <= SMALL else keys
+def word_join(texts: DataFrame, text: str, needles: DataFrame, needle: str, scope: tuple[str, ...] = ()) -> DataFrame:
+    r"""The rows of texts with needle, for every needle that stands in their column text like \bneedle\b.
+
+    A needle without a word character is in no text.
+    """
+    holds = F.col(text).contains(F.col("_needle")) & as_word(F.col(text), F.col("_needle"))
+    return _met(texts, text, _asked(needles, needle, scope), needle, scope, words(F.col(text)), words(F.col("_needle")), holds)
+
+
+def _met(texts: DataFrame, text: str, asked: DataFrame, needle: str, scope: tuple[str, ...], of_text: Column, of_needle: Column, holds: Column) -> DataFrame:
+    known = [*scope, "_term"]
+    posted = texts.where(F.col(text).isNotNull())
+    parts = asked.select(*scope, "_needle", F.explode(of_needle).alias("_term"))
+    asked_terms = parts.select(*known).distinct()
+    held = posted.select(*scope, F.explode(of_text).alias("_term")).groupBy(*known).agg(F.count(F.lit(1)).alias("_n")).join(asked_terms, known, "left_semi")
+    counted = parts.join(held, known, "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
+    rarest = counted.groupBy(*scope, "_needle").agg(F.min(F.struct("_n", "_term")).alias("_best")).where("_best._n > 0")
+    chosen = put_down(rarest.select(*scope, "_needle", F.col("_best._term").alias("_term"), F.col("_best._n").alias("_n")))
+    dealt = posted.select("*", F.explode(of_text).alias("_term"))
+    if chosen.count() <= SMALL:
+        found = dealt.join(F.broadcast(chosen.drop("_n")), known)
+    else:
+        large = chosen.where(F.col("_n") > PER_PART).select(*known, F.expr(f"1 + _n div {PER_PART}").cast("int").alias("_parts")).distinct()
+        large = F.broadcast(large) if large.count() <= SMALL else large.limit(0)  # terms without parts of their own are left to AQE
+        n_parts = F.coalesce("_parts", F.lit(1))
+        dealt = dealt.join(large, known, "left").withColumn("_part", F.pmod(F.xxhash64(*posted.columns), n_parts).cast("int")).drop("_parts")
+        spread = chosen.drop("_n").join(large, known, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), n_parts - 1))).drop("_parts")
+        found = dealt.join(spread, [*known, "_part"])
+    return found.where(holds).select(*[F.col(c) for c in texts.columns], F.col("_needle").alias(needle))
 
 
 def as_word(text: str | Column, needle: str | Column) -> Column:
@@ -79,7 +102,7 @@ def first_lines(names: DataFrame, lines: DataFrame) -> DataFrame:
     """(path, name, line_no): the first line of its file in which a name of names (path, name) stands as a word."""
     upper = lines.select("path", "line_no", F.upper("text").alias("_text"))
     asked = names.select("path", F.upper("name").alias("_name")).distinct()
-    found = substring_join(upper, "_text", asked, "_name", scope=("path",)).where(as_word(F.col("_text"), F.col("_name")))
+    found = word_join(upper, "_text", asked, "_name", scope=("path",))
     return found.groupBy("path", F.col("_name").alias("name")).agg(F.min("line_no").alias("line_no"))
 
 

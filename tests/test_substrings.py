@@ -37,6 +37,23 @@ def test_beyond_what_is_broadcast(spark, monkeypatch):
     assert joined(spark, texts, needles) == all_pairs(texts, needles)
 
 
+def test_words(spark, monkeypatch):
+    texts = [(1, "MOVE A-B TO C", "f"), (2, "MOVE XA-B", "f"), (3, "A-BC", "g"), (4, "(A-B)", "g"), (5, None, "f"), (6, "#K# -- A", "f")]
+    t, n = spark.createDataFrame(texts, TEXTS), spark.createDataFrame([("A-B",), ("TO",), ("--",), ("",), (None,), ("K",), ("GONE",)], "needle string")
+    want = [(1, "A-B"), (1, "TO"), (4, "A-B"), (6, "K")]
+    assert sorted((r.place, r.needle) for r in substrings.word_join(t, "text", n, "needle").collect()) == want
+    monkeypatch.setattr(substrings, "SMALL", 0)
+    assert sorted((r.place, r.needle) for r in substrings.word_join(t, "text", n, "needle").collect()) == want
+
+
+def test_terms_dealt_to_parts(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "SMALL", 5)
+    monkeypatch.setattr(substrings, "PER_PART", 10)
+    texts = [(i, f"MOVE A{i} TO B", "f") for i in range(200)]
+    needles = [("MOVE", "f"), ("OVE", "f"), *((f"A{i}", "f") for i in range(20))]
+    assert joined(spark, texts, needles) == all_pairs(texts, needles)
+
+
 def test_one_gram_in_all_texts(spark):
     texts = [(i, "MOVE A TO B", "f") for i in range(5000)]
     assert joined(spark, texts, [("MOVE", "f"), ("MOVED", "f")]) == [(i, "MOVE") for i in range(5000)]
