@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from granary.functions.picture import legacy_type, older_length
-from granary.operators.inherit import any_of, handed_down, nearest, path_of, product, total
+from granary.operators.inherit import Handed, any_of, handed_down, nearest, path_of, product, total
 from granary.operators.resolve import overlays, repetitions, structure
 from granary.sources.repository import cut
 
@@ -21,19 +21,20 @@ _COLUMNS = (
 )
 
 
-def measured(nodes: DataFrame) -> DataFrame:
+def measured(nodes: DataFrame, **more: Handed) -> DataFrame:
     """Storage items of nodes (as `layout.layout` gives them) with names, times, overlay, own and byte places of the older rules.
 
     `times` is the repetition that holds for an item, its own or the nearest above; `size` what it takes, once for each of
     its repetitions.  A group repeats what its items take, and they repeat what they take by the same inherited count, as
     the older rules do.  What is part of an overlay takes no room, and stands where its record has come to.  A product of
-    repetitions beyond 63 bits raises.
+    repetitions beyond 63 bits raises.  more: further values to hand down.
     """
-    storage = cut(nodes.where(~F.col("node_type").isin("CONDITION", "RENAMES")))
+    storage = nodes.where(~F.col("node_type").isin("CONDITION", "RENAMES"))
     own = F.nullif(F.col("occurs_min"), F.lit(0)).cast("long")
     usage = F.when(F.col("usage") != "DISPLAY", F.col("usage"))
     rows = storage.withColumn("_bytes", F.when(F.col("pic").isNotNull(), older_length(F.concat_ws(" ", "pic", usage))).otherwise(0).cast("long"))
-    rows = handed_down(rows, names=path_of(F.replace(F.col("name"), F.lit("-"), F.lit("_"))), times=nearest(own), overlay=nearest(F.col("redefines_target")), _gone=any_of(F.col("redefines_target").isNotNull()))
+    names, overlay = path_of(F.replace(F.col("name"), F.lit("-"), F.lit("_"))), F.col("redefines_target")
+    rows = handed_down(rows, names=names, times=nearest(own), overlay=nearest(overlay), _gone=any_of(overlay.isNotNull()), **more)
     rows = handed_down(rows, _product=product(F.coalesce("times", F.lit(1)).cast("long")))
     # every item with bytes adds them to all groups above it, each time they repeat
     adds = F.when(F.col("_gone"), 0).otherwise(F.col("_bytes") * F.col("_product"))
@@ -54,12 +55,13 @@ def measured(nodes: DataFrame) -> DataFrame:
 def flattened(nodes: DataFrame) -> DataFrame:
     """The older flat columns of layouts: one for each named elementary item, and one for each safe item of an overlay that
     stands for another view of the same bytes."""
+    nodes = cut(nodes)
     known = cut(structure(nodes))
-    over = cut(overlays(nodes, known).select(F.col("node_id").alias("_over"), "target_id", F.col("strategy").alias("overlay_strategy")))
+    over = overlays(nodes, known).select(F.col("node_id").alias("_over"), "target_id", F.col("strategy").alias("overlay_strategy"))
     again = repetitions(nodes, known).select(F.col("node_id").alias("_rep"), F.col("strategy").alias("_repeats"))
-    rows = measured(nodes).join(again, F.col("node_id") == F.col("_rep"), "left").drop("_rep").join(over, F.col("node_id") == F.col("_over"), "left").drop("_over")
+    decided = cut(nodes.join(again, F.col("node_id") == F.col("_rep"), "left").drop("_rep").join(over, F.col("node_id") == F.col("_over"), "left").drop("_over"))
     group = F.when(F.col("overlay_strategy") == "ALTERNATE_REPRESENTATION", F.col("node_id"))
-    rows = cut(handed_down(rows, occurs_strategy=nearest(F.col("_repeats")), _view=nearest(group)))
+    rows = cut(measured(decided, occurs_strategy=nearest(F.col("_repeats")), _view=nearest(group)))
     usage = F.when(F.col("usage") != "DISPLAY", F.col("usage"))
     mapped = legacy_type(F.concat_ws(" ", "pic", usage), "name")["sql_type"]
     leaf = rows.where("pic IS NOT NULL AND NOT is_filler").withColumn("sql_type", mapped)

@@ -117,15 +117,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed and kept in the cluster's checkpoint folder: later steps of a loop start from there."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def put_down(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder, read again: for loops of joins, as its size is known there and not an estimate
-    that grows from round to round."""
+    """df as a table in the shared folder, read again: later steps start from there, and know its real size."""
+    typed = df.withColumns({c: F.col(c).cast("string") for c, kind in df.dtypes if kind == "void"})
     path = f"{shared_dir(df.sparkSession)}/granary/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    typed.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(typed.schema).parquet(path)
+
+
+#: What loops cut their lineage with.
+cut = put_down
