@@ -5,8 +5,7 @@ keeps the exact header block of every record and the SHA-256 of its payload.  Jo
 back, byte for byte; reading checks every payload against its own digest.  `export` writes the records as ordinary WARC
 files, `import_files` makes an archive of such files again.
 
-Where only measures of payloads are asked for, each stored payload is measured once and the narrow measures are joined
-with the records, so payloads move only once, when they are stored.
+Payloads are dealt by digest when they are stored and stay so, bucketed; joining records to them moves headers only.
 
 Of records with equal payloads of at least LEAST bytes the one with the largest id is a response and the others revisit
 it; shorter payloads are cheaper to repeat and are all responses.
@@ -22,6 +21,7 @@ other columns are left alone; an empty table gives an empty archive.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -90,8 +90,10 @@ def store(pages: DataFrame, path: str, least: int = LEAST) -> Archive:
     records.select("header", "sha256").write.option("compression", "zstd").parquet(f"{path}/records")
     # equal digests are equal payloads: any of them will do, and a task hands on one of each
     kept = found.groupBy("sha256").agg(F.first("payload").alias("payload"))
-    kept.write.option("compression", "zstd").parquet(f"{path}/payloads")
-    return open_archive(spark, path)
+    n, name = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1), f"granary_payloads_{uuid.uuid4().hex}"
+    # bucketed by digest, as they are dealt already: a join that restores records moves no payload again
+    kept.write.option("path", f"{path}/payloads").option("compression", "zstd").bucketBy(n, "sha256").sortBy("sha256").saveAsTable(name)
+    return Archive(open_archive(spark, path).records, spark.table(name))
 
 
 def open_archive(spark, path: str) -> Archive:
@@ -134,22 +136,35 @@ def reconstruct(archive: Archive, every: bool = True) -> DataFrame:
     return dealt.join(payloads, (F.col("sha256") == F.col("key")) & (F.col("salt") == F.col("_salt"))).drop("key", "_salt", "salt")
 
 
+def _measured(record: DataFrame) -> DataFrame:
+    """Restores each record of record (header, payload, ...) and measures what follows its header."""
+    whole = record.withColumn("_record", F.concat("header", "payload")).drop("payload")
+    payload = F.substr("_record", F.octet_length("header") + 1)
+    return whole.withColumn("_payload", payload).select(
+        "page_id", "record_type", "refers_to", "stated_digest", "stated_bytes", F.octet_length("_payload").cast("long").alias("payload_bytes"), F.sha1("_payload").alias("payload_digest"))
+
+
 def read_back(archive: Archive) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to of every record, measured on the stored payloads.
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of every record, measured on the records restored.
 
-    The payload of a record is the one that its digest names; a header that states another size or digest stops the job.
-    Digests that many records may share (short payloads, revisits, records without an id) are dealt with a salt.
+    Responses are restored by joins: those of LEAST bytes or more each with its own payload, which is not shuffled where the
+    archive's payloads are bucketed by digest; shorter ones, which may share a payload in any number, with a salt.  A revisit
+    holds no payload: its measures are those of the payload that its digest names, as are those of long responses without an
+    id.  A header that states another size or digest stops the job.
     """
-    salts = F.sequence(F.lit(0), F.lit(SALTS - 1))
-    many = (F.col("record_type") == "revisit") | (F.col("stated_bytes") < LEAST) | F.col("page_id").isNull()
-    salt = F.when(F.col("many"), F.pmod(F.xxhash64("header"), F.lit(SALTS)).cast("int")).otherwise(0)
-    records = parsed(archive).withColumn("many", many).withColumn("salt", salt).drop("header")
-    measures = verified(archive).select("key", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"))
-    called = records.where(F.col("many") & (F.col("stated_bytes") >= LEAST)).select(F.col("sha256").alias("_called")).distinct()
-    told = measures.join(called, F.col("key") == F.col("_called"), "left")
-    spread = F.when((F.col("payload_bytes") < LEAST) | F.col("_called").isNotNull(), salts).otherwise(F.array(F.lit(0)))
-    told = told.select("key", "payload_bytes", "payload_digest", F.explode(spread).alias("_salt"))
-    found = records.join(told, (F.col("sha256") == F.col("key")) & (F.col("salt") == F.col("_salt")), "left")
+    records = parsed(archive)
+    short, response = F.col("stated_bytes") < LEAST, F.col("record_type") == "response"
+    own = response & ~short & F.col("page_id").isNotNull()
+    salts, salt = F.sequence(F.lit(0), F.lit(SALTS - 1)), F.pmod(F.xxhash64("header"), F.lit(SALTS)).cast("int")
+    payloads = verified(archive)
+    long_ones = _measured(records.where(own).join(payloads, F.col("sha256") == F.col("key"), "left"))
+    few = payloads.where(F.octet_length("payload") < LEAST).select("key", "payload", F.explode(salts).alias("_salt"))
+    short_ones = _measured(records.where(response & short).withColumn("salt", salt).join(few, (F.col("sha256") == F.col("key")) & (F.col("salt") == F.col("_salt")), "left"))
+    rest = records.where(~response | (~short & F.col("page_id").isNull())).withColumn("salt", salt).drop("header")
+    called = rest.select(F.col("sha256").alias("_called")).distinct()
+    told = payloads.join(called, F.col("key") == F.col("_called")).select("key", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"), F.explode(salts).alias("_salt"))
+    others = rest.join(told, (F.col("sha256") == F.col("key")) & (F.col("salt") == F.col("_salt")), "left").select(*long_ones.columns)
+    found = long_ones.unionByName(short_ones).unionByName(others)
     sound = (F.col("payload_digest") == F.col("stated_digest")) & (F.col("payload_bytes") == F.col("stated_bytes"))
     damage = F.raise_error(F.concat(F.lit("record without its payload "), F.col("stated_digest")))
     return found.select("page_id", "payload_bytes", F.when(sound, F.col("payload_digest")).otherwise(damage).alias("payload_digest"), "record_type", "refers_to")
