@@ -116,9 +116,13 @@ def parsed(archive: Archive) -> DataFrame:
 
 
 def verified(archive: Archive) -> DataFrame:
-    """The payloads, each read and held against its own SHA-256; a damaged one stops the job."""
+    """key, payload: the payloads, each read and held against its own SHA-256; a damaged one stops the job.
+
+    The key is the stored one, so that Spark knows how the payloads are dealt.
+    """
     sound = F.unhex(F.sha2("payload", 256)) == F.col("sha256")
-    return archive.payloads.select(F.when(sound, F.col("sha256")).otherwise(F.raise_error(F.concat(F.lit("damaged payload "), F.hex("sha256")))).alias("key"), "payload")
+    damaged = F.raise_error(F.concat(F.lit("damaged payload "), F.hex("sha256"))).cast("binary")
+    return archive.payloads.select(F.col("sha256").alias("key"), F.when(sound, F.col("payload")).otherwise(damaged).alias("payload"))
 
 
 def reconstruct(archive: Archive, every: bool = True) -> DataFrame:
