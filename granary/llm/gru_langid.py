@@ -206,7 +206,8 @@ def picked(text: str, most: int = WINDOWS_PER_ROW) -> np.ndarray:
 
 
 def sample(docs: DataFrame, learnable: Column, per_language: int = PER_LANGUAGE) -> DataFrame:
-    """doc_id, lang, windows (bytes): at most per_language labelled rows of each language, those with the smallest hash of their id."""
+    """doc_id, lang, windows (bytes): at most per_language labelled rows of each language, those with the smallest hash of their
+    id; of rows that share an id, or have none, those with the smallest hash of their text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -214,12 +215,20 @@ def sample(docs: DataFrame, learnable: Column, per_language: int = PER_LANGUAGE)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own, pa.binary())], ["doc_id", "lang", "windows"])
 
     labelled = docs.where(learnable & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("doc_id", "lang", "text")
-    # the cut is taken in hashed parts of a language first, so that a language of most rows is not one task's
-    keyed = labelled.select("doc_id", "lang", F.xxhash64("doc_id").alias("key"))
-    part = W.partitionBy("lang", F.pmod("key", F.lit(64))).orderBy("key", "doc_id")
+    # a row is its id and its text, so rows that share an id, or have none, are told apart; the cut is taken in hashed parts
+    # of a language first, so that a language of most rows is not one task's
+    own = [F.xxhash64("doc_id").alias("key"), F.xxhash64("text").alias("print")]
+    order = ["key", F.col("doc_id").asc_nulls_last(), "print"]
+    keyed = labelled.select("doc_id", "lang", *own)
+    part = W.partitionBy("lang", F.pmod(F.xxhash64("key", "print"), F.lit(64))).orderBy(*order)
     few = keyed.withColumn("n", F.row_number().over(part)).where(F.col("n") <= per_language)
-    few = few.withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy("key", "doc_id"))).where(F.col("n") <= per_language).select("doc_id", "key")
-    return labelled.join(F.broadcast(few.select("doc_id")), "doc_id", "left_semi").select("doc_id", "lang", "text").mapInArrow(run, "doc_id long, lang string, windows binary")
+    few = few.withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy(*order))).where(F.col("n") <= per_language)
+    # equal rows are one entry with its count, and each task hands on one of them
+    few = few.groupBy(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"), F.col("print").alias("_print")).agg(F.count(F.lit(1)).cast("int").alias("_times"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("lang") == F.col("_lang")) & (F.xxhash64("text") == F.col("_print"))
+    taken = labelled.join(F.broadcast(few), same).dropDuplicates(["doc_id", "lang", "_print"])  # per_language rows a language at most
+    taken = taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+    return taken.select("doc_id", "lang", "text").mapInArrow(run, "doc_id long, lang string, windows binary")
 
 
 def learn(docs: DataFrame, learnable: Column, per_language: int = PER_LANGUAGE, epochs: int = EPOCHS) -> Network | None:
