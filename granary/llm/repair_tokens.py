@@ -326,11 +326,11 @@ def read(spark, path: str) -> DataFrame:
     sizes = shards.select("shard", "part", "n_ids")
     ranges_ = sizes.groupBy("shard").agg(F.sum("n_ids").alias("_n"))
     before = ranges_.select("shard", (F.sum("_n").over(W.orderBy("shard")) - F.col("_n")).alias("_before"))
-    # a range is RANGE_BYTES of text or more and its row some 20 bytes, so this is some megabytes for 100 TB
+    # ranges are RANGE_BYTES of text or more, so `before` is some megabytes for 100 TB; shards are more, and joined
     inner = F.sum("n_ids").over(W.partitionBy("shard").orderBy("part")) - F.col("n_ids")
     starts = sizes.withColumn("_inner", inner).join(F.broadcast(before), "shard")
     starts = starts.select(F.col("shard").alias("_shard"), F.col("part").alias("_part"), (F.col("_before") + F.col("_inner")).alias("first_start"))
-    return shards.join(F.broadcast(starts), (F.col("shard") == F.col("_shard")) & (F.col("part") == F.col("_part"))).drop("_shard", "_part")
+    return shards.join(starts, (F.col("shard") == F.col("_shard")) & (F.col("part") == F.col("_part"))).drop("_shard", "_part")
 
 
 def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
