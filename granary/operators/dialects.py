@@ -109,6 +109,26 @@ def slices(lines: DataFrame, relevant: Column) -> DataFrame:
     return rows.where("_ends AND line_no >= _from").select("path", "part", "line_no", "text")
 
 
+# fixed value: sources up to so many characters are taken whole
+SHORT = 6000
+
+
+def relevant_source(files: DataFrame, relevant: Column) -> DataFrame:
+    """files (path, content) with source: a short content as it is, of a long one its `slices` by relevant (over text), and
+    where these are blank its first characters."""
+    text = F.coalesce("content", F.lit(""))
+    long_ones = files.where(F.length(text) > SHORT).select("path", F.posexplode(F.split("content", r"\R")).alias("line_no", "text"))
+    kept = slices(long_ones, relevant).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("line_no", "text"))).alias("_lines"))
+    kept = kept.select("path", F.array_join(F.transform("_lines", lambda x: x["text"]), "\n").alias("_kept"))
+    cut = F.when(F.trim(F.coalesce("_kept", F.lit(""))) != "", F.col("_kept")).otherwise(F.left(text, F.lit(SHORT)))
+    return files.join(kept, "path", "left").withColumn("source", F.when(F.length(text) <= SHORT, F.col("content")).otherwise(cut)).drop("_kept")
+
+
+def detected_language(artifacts: DataFrame, *by: str) -> DataFrame:
+    """The newer rule for each repository: COBOL with any program of it, else Mixed."""
+    return artifacts.groupBy(*by).agg(F.when(F.bool_or(F.coalesce(F.lower("artifact_type") == "cobol", F.lit(False))), "COBOL").otherwise("Mixed").alias("language"))
+
+
 def uses_dataset(programs: DataFrame, datasets: DataFrame, ignored: tuple[str, ...] = IGNORED_QUALIFIERS) -> DataFrame:
     """Distinct (path, dsn) of programs (path, name, content) that seem to use datasets (dsn, copybook).
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from granary.functions.text import basename
+
 
 def best(candidates: DataFrame, key: str, *order: Column) -> DataFrame:
     """Of the candidates of a key the first in order."""
@@ -32,3 +34,56 @@ def islands(rows: DataFrame, changed: Column, group: str, *order: str) -> DataFr
     """rows with island: numbers of runs that begin where changed holds."""
     so_far = W.partitionBy(group).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
     return rows.withColumn("island", F.sum(changed.cast("int")).over(so_far))
+
+
+def of_repository(rows: DataFrame, files: DataFrame, repositories: DataFrame, key: str = "file_id") -> DataFrame:
+    """Rows (programs, layouts: with a file's id) whose file belongs to one of repositories (repository_id)."""
+    own = files.join(repositories.select("repository_id").distinct(), "repository_id", "left_semi")
+    return rows.join(own.select(key), key, "left_semi")
+
+
+def with_evidence(nodes: DataFrame, evidence: DataFrame, kinds: dict[str, str]) -> DataFrame:
+    """nodes (path, line_no, type, ...) with evidence_ids: those of evidence (path, source_line, evidence_type, evidence_id)
+    of the same file and line whose kind belongs to the node's type; null where there is none."""
+    of = F.coalesce(*[F.when(F.col("evidence_type") == k, F.lit(t)) for t, k in kinds.items()])
+    known = evidence.withColumn("_type", of).where("_type IS NOT NULL AND source_line IS NOT NULL")
+    known = known.groupBy(F.col("path").alias("_path"), F.col("source_line").alias("_line"), "_type").agg(F.sort_array(F.collect_list("evidence_id")).alias("evidence_ids"))
+    same = (F.col("path") == F.col("_path")) & (F.col("line_no") == F.col("_line")) & (F.col("type") == F.col("_type"))
+    return nodes.join(known, same, "left").drop("_path", "_line", "_type")
+
+
+def evidence_by_name(artifacts: DataFrame, evidence: DataFrame) -> DataFrame:
+    """evidence with the artifact_id of artifacts (artifact_id, path) whose file has the same base name, whatever its case
+    and folder; evidence of several artifacts comes once for each."""
+    named = artifacts.select("artifact_id", F.upper(basename("path")).alias("_name")).where("_name <> ''").distinct()
+    return evidence.withColumn("_name", F.upper(basename("path"))).join(named, "_name").drop("_name")
+
+
+def schema_of_artifact(artifacts: DataFrame, generated: DataFrame) -> DataFrame:
+    """artifacts (artifact_id) with the generated schema (place, artifact_id, ...) of their id, whatever its case; of several
+    the first by place."""
+    rows = generated.select(F.upper("artifact_id").alias("_id"), F.struct(*[c for c in generated.columns if c != "artifact_id"]).alias("schema"))
+    first = rows.groupBy("_id").agg(F.min_by("schema", F.col("schema.place")).alias("schema"))
+    return artifacts.join(first, F.upper("artifact_id") == F.col("_id"), "left").drop("_id")
+
+
+def with_validation(generated: DataFrame, validations: DataFrame) -> DataFrame:
+    """generated (schema_id, ...) with the last (by place) of validations (place, schema_id, validation_status)."""
+    last = validations.groupBy("schema_id").agg(F.max_by("validation_status", "place").alias("validation_status"))
+    return generated.join(last, "schema_id", "left")
+
+
+def folders(files: DataFrame, *by: str) -> DataFrame:
+    """The distinct folders (by, folder) that files (path) stand in, with all folders above them."""
+    parts = F.filter(F.split(F.replace("path", F.lit("\\"), F.lit("/")), "/"), lambda x: x != "")
+    depth = F.size(parts) - F.endswith("path", F.lit("/")).cast("int").bitwiseXOR(1)
+    every = F.when(depth > 0, F.transform(F.sequence(F.lit(1), depth), lambda n: F.array_join(F.slice(parts, 1, n), "/")))
+    return files.select(*by, F.explode(every).alias("folder")).distinct()
+
+
+def repository_summary(files: DataFrame, *by: str) -> DataFrame:
+    """Files (path, artifact_type) of each repository, by kind, and the folders they stand in."""
+    kinds = {"programs": "COBOL", "copybooks": "COPYBOOK", "jcl": "JCL", "idcams": "IDCAMS", "catalogs": "CATALOG"}
+    counts = files.groupBy(*by).agg(F.count(F.lit(1)).alias("total_files"), *[F.count_if(F.upper("artifact_type") == k).alias(f"n_{n}") for n, k in kinds.items()])
+    n = folders(files, *by).groupBy(*by).agg(F.count(F.lit(1)).alias("total_folders"))
+    return counts.join(n, list(by), "left").withColumn("total_folders", F.coalesce("total_folders", F.lit(0)))

@@ -238,3 +238,48 @@ def analysis_counts(entries: DataFrame, members: DataFrame) -> DataFrame:
     both = members.join(sizes, "class", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     of_all = F.col("class") == ALL
     return both.groupBy("dsn").agg(F.sum(F.when(~of_all, F.col("n")).otherwise(0)).alias("n_named"), F.sum(F.when(of_all, F.col("n")).otherwise(0)).alias("n_for_all"))
+
+
+def _or_given(facts: Column, paths: tuple[str, ...], kind: str) -> Column:
+    """The first of the paths that has something; an empty text or list is nothing."""
+    found = [of(facts, p, kind) for p in paths]
+    return F.coalesce(*[F.when(F.size(x) > 0, x) for x in found], F.array().cast(kind)) if kind.startswith("array") else F.coalesce(*[F.nullif(x, F.lit("")) if kind == "string" else x for x in found])
+
+
+def schemas(found: DataFrame) -> DataFrame:
+    """artifact_id, schema_type, schema_name, parts (VARIANT) of programs, jobs, cluster definitions and datasets.
+
+    What a schema says is read from the sections of the facts in their order of precedence.
+    """
+    kind, facts = F.col("artifact_type"), F.col("facts")
+    general = ("$.general_information", "$.metadata")
+    texts = lambda name, *more: _or_given(facts, (*more, *(f"{g}.{name}" for g in general)), _TEXTS).alias(name)
+    program = F.struct(
+        texts("operations", "$.metadata.operations", "$.general_information.operations", "$.semantic_structure.program.execution_flow"), texts("datasets_accessed", "$.dependencies.datasets"),
+        texts("copybooks", "$.dependencies.copybooks"), texts("called_programs", "$.dependencies.calledPrograms"), _or_given(facts, ("$.structure.data_structures",), _VARIANTS).alias("data_structures"))
+    job = F.struct(_or_given(facts, ("$.semantic_structure.workflow.steps", "$.structure.job.steps"), _VARIANTS).alias("steps"), of(facts, "$.semantic_structure.workflow.job.job_card", "variant").alias("job_card"))
+    number = lambda name: _or_given(facts, (*(f"{g}.{name}" for g in general), f"$.{name}", f"$.semantic_structure.dataset.{name}"), "int").alias(name)
+    dataset = F.struct(
+        _or_given(facts, ("$.general_information.organization", "$.metadata.organization", "$.organization"), "string").alias("organization"), number("key_length"), number("key_offset"), number("record_length"),
+        of(facts, "$.semantic_structure.dataset.primary_key", "string").alias("primary_key"), _or_given(facts, ("$.semantic_structure.dataset.alternate_keys",), _TEXTS).alias("alternate_keys"))
+    is_dataset = kind.isin("IDCAMS", "DATASET")
+    stated = F.coalesce(
+        F.when(kind == "COBOL", of(facts, "$.general_information.program_name", "string")), F.when(kind == "JCL", of(facts, "$.semantic_structure.workflow.job.job_name", "string")),
+        F.when(is_dataset, _or_given(facts, ("$.general_information.dataset_name", "$.metadata.dataset_name", "$.dataset_name"), "string")), F.when(is_dataset, F.col("artifact_id")), F.upper("artifact_id"))
+    parts = F.when(kind == "COBOL", F.to_json(program)).when(kind == "JCL", F.to_json(job)).when(is_dataset, F.to_json(dataset))
+    name = F.when(kind == "COBOL", "PROGRAM_SCHEMA").when(kind == "JCL", "JOB_SCHEMA").when(is_dataset, "DATASET_SCHEMA")
+    return found.where(name.isNotNull()).select("artifact_id", name.alias("schema_type"), stated.alias("schema_name"), F.parse_json(parts).alias("parts"))
+
+
+def readiness(layouts: DataFrame, columns: DataFrame, edges: DataFrame) -> DataFrame:
+    """artifact_id, readiness, mapped_dataset, n_columns of layouts (artifact_id), by their columns (artifact_id,
+    needs_review) and the datasets that use them, edges (place, source_id, target_id, rel_type).
+
+    Without columns a layout cannot be migrated; without a dataset the evidence is missing; else a column under review
+    asks for one.
+    """
+    used = edges.where("rel_type = 'USES_RECORD_LAYOUT' AND source_id IS NOT NULL").groupBy(F.col("target_id").alias("artifact_id")).agg(F.min_by("source_id", "place").alias("mapped_dataset"))
+    made = columns.groupBy("artifact_id").agg(F.count(F.lit(1)).alias("n_columns"), F.bool_or(F.coalesce("needs_review", F.lit(False))).alias("_review"))
+    rows = layouts.select("artifact_id").join(used, "artifact_id", "left").join(made, "artifact_id", "left")
+    ready = F.when(F.col("n_columns").isNull(), "NOT_MIGRATABLE").when(F.col("mapped_dataset").isNull(), "INSUFFICIENT_EVIDENCE").when(F.col("_review"), "REVIEW_REQUIRED").otherwise("READY")
+    return rows.select("artifact_id", ready.alias("readiness"), "mapped_dataset", F.coalesce("n_columns", F.lit(0)).alias("n_columns"))
