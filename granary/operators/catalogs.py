@@ -33,6 +33,11 @@ def json_entries(files: DataFrame) -> DataFrame:
     return rows.select("path", (F.col("_at") + 1).alias("source_line"), *entry, F.map_concat(others, F.create_map(F.lit("entry_type"), kind)).alias("properties"))
 
 
+def json_errors(files: DataFrame) -> DataFrame:
+    """(path, error) of JSON catalogs that are no JSON: `json_entries` has no rows of them."""
+    return files.where(F.col("content").isNotNull() & F.try_parse_json("content").isNull()).select("path", F.lit("malformed JSON").alias("error"))
+
+
 def listing_facts(rows: DataFrame, datasets: DataFrame, whole: bool = False) -> DataFrame:
     """For every dataset (dsn) the first row (path, row_no, cells: header to value) with a cell that names it, and its numbers.
 

@@ -26,11 +26,11 @@ def first_of_each(rows: DataFrame, order: str, *key: str) -> DataFrame:
 
 
 def touching(all_edges: DataFrame, nodes: DataFrame, node: str) -> DataFrame:
-    """Edges at either end of some nodes, as the union of two equi-joins; an edge between two of them comes twice."""
+    """Edges at either end of some nodes, as one equi-join of their ends; an edge between two of them comes twice."""
     wanted = nodes.select(F.col(node).cast("string").alias("node_id"))
-    out = all_edges.join(wanted, all_edges["source_id"] == wanted["node_id"]).select("node_id", "source_id", "target_id", "rel_type", F.lit("out").alias("direction"))
-    back = all_edges.join(wanted, all_edges["target_id"] == wanted["node_id"]).select("node_id", "source_id", "target_id", "rel_type", F.lit("in").alias("direction"))
-    return out.unionByName(back)
+    end = lambda c, d: F.struct(F.col(c).alias("node_id"), F.lit(d).alias("direction"))
+    ends = all_edges.select("source_id", "target_id", "rel_type", F.inline(F.array(end("source_id", "out"), end("target_id", "in"))))
+    return ends.join(wanted, "node_id").select("node_id", "source_id", "target_id", "rel_type", "direction")
 
 
 def from_evidence(evidence: DataFrame) -> DataFrame:

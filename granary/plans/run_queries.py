@@ -11,6 +11,7 @@ from granary.plans.registry import register
 from granary.plans.source_queries import _D, _DD, _DDS, _JCL, _LINE, _M, _P, JOB, LAYOUT, _docs, _each, _each_sql
 from granary.sources import snapshots
 from granary.sources.repository import shared_dir
+from granary.streaming import uploads
 
 
 def _folder(spark, label: str) -> str:
@@ -81,3 +82,12 @@ def q93(spark, sf_dir):
     known = resolve.cut(resolve.structure(nodes))
     events = stages.decision_events(resolve.overlays(nodes, known), resolve.repetitions(nodes, known), nodes.select("node_id", "path", "name", "redefines_target", "occurs_min"))
     return events.select("path", "name", "event_type", "status", "strategy")
+
+
+@register("q122_uploads", """WITH f AS (SELECT source AS upload, CASE WHEN doc_id % 7 = 0 THEN 0 ELSE n_chars END AS size FROM documents WHERE source IS NOT NULL),
+n AS (SELECT upload, count(*) FILTER (size > 0) AS n_files, count(*) FILTER (size = 0) AS n_empty, sum(size) AS n_bytes, max(size) AS largest FROM f GROUP BY 1)
+SELECT upload, n_files, n_empty, n_bytes::BIGINT AS n_bytes, CASE WHEN largest > 20000 THEN 'file too large' WHEN n_files > 40 THEN 'too many files' WHEN n_files = 0 THEN 'no file' END AS reason FROM n""")
+def q122(spark, sf_dir):
+    rows = spark.readStream.schema("doc_id long, text string, lang string, source string, n_chars long").parquet(f"{sf_dir}/documents.parque[t]")  # a pattern, as the table may be one file
+    files = rows.select(F.col("source").alias("upload"), F.concat_ws("/", "lang", "doc_id").alias("path"), F.when(F.col("doc_id") % 7 == 0, 0).otherwise(F.col("n_chars")).cast("long").alias("size"))
+    return uploads.latest(files, most_bytes=20_000, most_files=40)

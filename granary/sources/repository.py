@@ -95,6 +95,24 @@ def load(spark: SparkSession, path: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{path}/{name}")
 
 
+def read_events(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Audit events of JSON files: lists of objects or an object a line; what is no object is left out."""
+    files = spark.read.option("wholetext", "true").text(path).select(F.trim("value").alias("value"))
+    entries = F.from_json(F.when(F.col("value").startswith("["), F.col("value")), "array<string>", {"mode": "PERMISSIVE"})
+    rows = files.select(F.explode(F.coalesce(entries, F.when(~F.col("value").startswith("["), F.split("value", r"\R")))).alias("e"))
+    return rows.where(F.ltrim("e").startswith("{")).select(F.from_json("e", schema).alias("e")).where("e IS NOT NULL").select("e.*")
+
+
+def write_ddl(scripts: DataFrame, path: str) -> None:
+    """The texts of scripts (table_name, ddl) as text files, each text whole, with a blank line after it."""
+    scripts.orderBy("table_name").select(F.col("ddl").alias("value")).write.option("lineSep", "\n\n").text(path)
+
+
+def write_rules(rules: DataFrame, path: str) -> None:
+    """Rules as CSV with a header; quotes in values are doubled, and line ends stay inside their quotes."""
+    rules.write.option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
+
+
 def append_new(current: DataFrame, prior: DataFrame, key: str) -> DataFrame:
     """prior and those rows of current whose key it lacks."""
     return prior.unionByName(current.join(prior.select(key), key, "left_anti"))

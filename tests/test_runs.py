@@ -134,3 +134,53 @@ def test_analyses_as_classes(spark):
     entries, members = structures.analyses_of_datasets(datasets, analyses)
     assert sorted(tuple(r) for r in entries.collect()) == [("*", 2), ("*", 3), ("A", 1), ("A", 4)]
     assert sorted(tuple(r) for r in structures.analysis_counts(entries, members).collect()) == [("A", 2, 2), ("B", 0, 2)]
+
+
+def test_uploads_close_at_their_limits(spark, tmp_path):
+    from granary.streaming import uploads
+
+    def put(name, data):
+        path = tmp_path / "in" / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_bytes(data)
+
+    for name, data in {"good/a.cbl": b"x" * 5, "good/src/b.cpy": b"y" * 7, "good/keep": b"", "good/.gitkeep": b"", "empty/keep": b"", "large/a": b"z" * 30, "many/1": b"1", "many/2": b"2", "many/3": b"3"}.items():
+        put(name, data)
+    files = uploads.read(spark, f"file:{tmp_path}/in")
+    limits = {"most_bytes": 20, "most_files": 2}
+    closed = uploads.latest(files, **limits)
+    assert {r.upload: (r.n_files, r.n_empty, r.n_bytes, r.reason) for r in closed.collect()} == {
+        "good": (2, 0, 12, None), "large": (1, 0, 30, "file too large"), "many": (3, 0, 3, "too many files")}
+    listed = spark.createDataFrame([("good", "a.cbl", 5), ("good", "keep", 0), ("large", "a", 30), (None, "x", 1)], uploads.FILES)
+    assert [r.path for r in uploads.accepted(listed, closed).collect()] == ["a.cbl"]
+
+
+def test_an_upload_stays_closed_over_batches(spark, tmp_path):
+    from granary.streaming import uploads
+
+    for i, (path, size) in enumerate([("../x", 1), ("ok", 2), ("fine", 3)]):
+        spark.createDataFrame([("u", path, size), ("v", "f", 1), ("w", "e", 0), ("w", "n", None), (None, "p", 1)], uploads.FILES).coalesce(1).write.parquet(f"{tmp_path}/{i}")
+    rows = spark.readStream.schema(uploads.FILES).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path))
+    got = {r.upload: (r.n_files, r.n_empty, r.reason) for r in uploads.latest(rows, most_files=2).collect()}
+    assert got == {"u": (3, 0, "unsafe path"), "v": (3, 0, "too many files"), "w": (0, 6, "no file")}
+
+
+def test_events_rules_and_ddl_files(spark, tmp_path):
+    from granary.operators import catalogs
+    from granary.sources import repository
+
+    (tmp_path / "e").mkdir()
+    (tmp_path / "e" / "a.json").write_text('[{"audit_id":"1","stage":"X"}, 5, "text"]')
+    (tmp_path / "e" / "b.json").write_text('{"audit_id":"2"}\nnot json\n{"audit_id":"3"}')
+    (tmp_path / "e" / "c.json").write_text("[broken")
+    got = repository.read_events(spark, f"file://{tmp_path}/e", "audit_id string, stage string")
+    assert sorted(r.audit_id for r in got.collect()) == ["1", "2", "3"]
+    scripts = spark.createDataFrame([("b", "CREATE TABLE b (\n);"), ("a", "CREATE TABLE a (\n);")], "table_name string, ddl string")
+    repository.write_ddl(scripts, f"file://{tmp_path}/ddl")
+    assert spark.read.option("lineSep", "\n\n").text(f"file://{tmp_path}/ddl").count() == 2
+    rules = spark.createDataFrame([("r1", 'say "x"\nand y')], "id string, rule string")
+    repository.write_rules(rules, f"file://{tmp_path}/rules")
+    back = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(f"file://{tmp_path}/rules")
+    assert [tuple(r) for r in back.collect()] == [("r1", 'say "x"\nand y')]
+    files = spark.createDataFrame([("ok", "[]"), ("bad", "{"), ("null", None)], "path string, content string")
+    assert [tuple(r) for r in catalogs.json_errors(files).collect()] == [("bad", "malformed JSON")]
