@@ -51,15 +51,15 @@ def handed_down(nodes: DataFrame, **values: Handed) -> DataFrame:
 
     A parent that is not among the nodes is no parent; an item that is below itself raises.
     """
-    ids = nodes.select(F.col("node_id").alias("_parent"))
-    start = nodes.select("node_id", "parent_id", *[v.own.alias(k) for k, v in values.items()]).join(ids, F.col("parent_id") == F.col("_parent"), "left")
-    rows = put_down(start.select("node_id", F.col("_parent").alias("_up"), *values))
+    rows = put_down(nodes.select("node_id", F.col("parent_id").alias("_up"), *[v.own.alias(k) for k, v in values.items()]))
     # no item has more above it than there are items, so pointers that still move after that many rounds go in a ring
     for _ in range(rows.count().bit_length() + 1):
         moving = rows.where("_up IS NOT NULL")
         if moving.isEmpty():
             return nodes.join(rows.drop("_up"), "node_id")
         above = rows.select(F.col("node_id").alias("_at"), F.col("_up").alias("_next"), *[F.col(k).alias(f"_a_{k}") for k in values])
-        moved = moving.join(above, F.col("_up") == F.col("_at")).select("node_id", F.col("_next").alias("_up"), *[v.joined(F.col(f"_a_{k}"), F.col(k)).alias(k) for k, v in values.items()])
+        lost = F.col("_at").isNull()
+        joined = [F.when(lost, F.col(k)).otherwise(v.joined(F.col(f"_a_{k}"), F.col(k))).alias(k) for k, v in values.items()]
+        moved = moving.join(above, F.col("_up") == F.col("_at"), "left").select("node_id", F.col("_next").alias("_up"), *joined)
         rows = put_down(rows.where("_up IS NULL").unionByName(moved))
     raise ValueError("a node is below itself")
