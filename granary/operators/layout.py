@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from granary.functions.picture import meaning, physical_length
 from granary.functions.text import is_comment, or_null
+from granary.operators.evidence import evidence
 from granary.operators.intervals import numbered
 from granary.sources.repository import cut
 
@@ -102,3 +103,11 @@ def record_lengths(nodes: DataFrame) -> DataFrame:
     """path, record_length_min, record_length_max over the roots of a file."""
     roots = nodes.where("parent_id IS NULL")
     return roots.groupBy("path").agg(F.max(F.col("absolute_offset") + F.coalesce("span_min", F.lit(0))).alias("record_length_min"), F.max(F.col("absolute_offset") + F.coalesce("span_max", F.lit(0))).alias("record_length_max"))
+
+
+def node_evidence(nodes: DataFrame) -> DataFrame:
+    """One row of evidence for each storage item, with what is known of it; conditions and renamings have none."""
+    known = ("node_id", "level", "pic", "usage", "occurs_min", "occurs_max", "occurs_depending_on", "redefines_target", "is_filler", "byte_length", "absolute_offset")
+    properties = {c: F.col(c) for c in known if c in nodes.columns}
+    storage = nodes.where(~F.col("node_type").isin("CONDITION", "RENAMES"))
+    return storage.select("path", F.col("seq").alias("source_line"), *evidence("COPYBOOK_NODE", "CopybookNode", F.col("name"), F.col("node_type"), properties))
