@@ -195,7 +195,8 @@ def overlaps(docs: DataFrame, bench: DataFrame, small: int = SMALL) -> DataFrame
 
 
 def _broadcast_hits(docs: DataFrame, items: DataFrame, seeded: DataFrame, masks: tuple[str, ...]) -> DataFrame:
-    rows, whole = seeded.toPandas(), items.toPandas()  # at most SMALL seeds, counted above; an item has no more tokens than seeds and LEAST
+    # at most SMALL seeds, counted above, and items that have one; an item has no more tokens than seeds and LEAST
+    rows, whole = seeded.toPandas(), items.join(seeded.select("item_key").distinct(), "item_key", "left_semi").toPandas()
     rows["seed"] = rows["seed"].to_numpy(np.int64).view(np.uint64)
     rows = rows.sort_values("seed", kind="stable")
     number = whole.reset_index().set_index("item_key")["index"]
