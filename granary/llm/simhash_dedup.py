@@ -351,8 +351,11 @@ def similar_groups(docs: DataFrame, shingle: int = SIMILAR_SHINGLE, similarity:
     roots = components(_verified(pairs, texts, shingle, similarity))
     rooted = kinds.join(roots, kinds["kind"] == roots["node"], "left").select("kind", "first_id", "n", F.coalesce("root", "kind").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"), F.sum("n").alias("size"))
-    labels = rooted.join(smallest.where("size > 1"), "root").select(F.col("kind").alias("_kind"), "component_id")
-    return prints.join(labels, F.col("kind") == F.col("_kind"), "left").select("row", "doc_id", F.coalesce("component_id", "doc_id").alias("component_id"))
+    # copies of one text may be any part of the rows: they meet their label in as many tasks as there are salts
+    labels = rooted.join(smallest.where("size > 1"), "root").select(F.col("kind").alias("_kind"), "component_id", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("_salt"))
+    dealt = prints.select("row", "doc_id", "kind", F.pmod(F.xxhash64("row", "doc_id"), F.lit(16)).cast("int").alias("salt"))
+    found = dealt.join(labels, (F.col("kind") == F.col("_kind")) & (F.col("salt") == F.col("_salt")), "left")
+    return found.select("row", "doc_id", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_similar(docs: DataFrame, shingle: int = SIMILAR_SHINGLE, similarity: float = LEAST_SIMILARITY) -> DataFrame:
