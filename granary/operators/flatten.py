@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from granary.functions.picture import legacy_type, older_length
 from granary.operators.inherit import Handed, any_of, handed_down, nearest, path_of, product, total
 from granary.operators.resolve import overlays, repetitions, structure
-from granary.sources.repository import cut
+from granary.sources.repository import cut, dealt
 
 _COLUMNS = (
     "path", "name", "source_field", "source_pic", "sql_type", "offset", "length", "source_hierarchy", "schema_status",
@@ -45,7 +45,7 @@ def measured(nodes: DataFrame, **more: Handed) -> DataFrame:
     ends = rows.select("path", F.col("leave").alias("_at"), F.lit(None).cast("long").alias("_sum"), "node_id")
     order = W.partitionBy("path").orderBy("_at", F.col("node_id").isNotNull()).rowsBetween(W.unboundedPreceding, W.currentRow)
     reached = marks.unionByName(ends).withColumn("_end", F.last("_sum", True).over(order)).where("node_id IS NOT NULL").select("node_id", "_end")
-    rows = rows.join(reached, "node_id")
+    rows = rows.join(dealt(reached), "node_id")
     rows = rows.withColumn("size", F.expr("CASE WHEN _gone THEN 0L ELSE (_end - _sum + _adds) div (_product div coalesce(times, 1L)) END"))
     before = W.partitionBy("path", "parent_id").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
     rows = rows.withColumn("_before", F.coalesce(F.sum("size").over(before), F.lit(0)).cast("long")).drop("_sum", "_end", "_adds")
@@ -59,7 +59,7 @@ def flattened(nodes: DataFrame) -> DataFrame:
     known = cut(structure(nodes))
     over = overlays(nodes, known).select(F.col("node_id").alias("_over"), "target_id", F.col("strategy").alias("overlay_strategy"))
     again = repetitions(nodes, known).select(F.col("node_id").alias("_rep"), F.col("strategy").alias("_repeats"))
-    decided = cut(nodes.join(again, F.col("node_id") == F.col("_rep"), "left").drop("_rep").join(over, F.col("node_id") == F.col("_over"), "left").drop("_over"))
+    decided = cut(nodes.join(dealt(again), F.col("node_id") == F.col("_rep"), "left").drop("_rep").join(dealt(over), F.col("node_id") == F.col("_over"), "left").drop("_over"))
     group = F.when(F.col("overlay_strategy") == "ALTERNATE_REPRESENTATION", F.col("node_id"))
     rows = cut(measured(decided, occurs_strategy=nearest(F.col("_repeats")), _view=nearest(group)))
     usage = F.when(F.col("usage") != "DISPLAY", F.col("usage"))
@@ -79,7 +79,7 @@ def flattened(nodes: DataFrame) -> DataFrame:
     heads = rows.where("overlay_strategy = 'ALTERNATE_REPRESENTATION'").select(
         F.col("node_id").alias("_group"), F.col("target_id").alias("_target"), F.col("names").alias("_names"), F.col("name").alias("_group_name"), F.col("redefines_target").alias("_target_name"), F.col("absolute_offset").alias("_starts"))
     places = rows.select(F.col("node_id").alias("_target"), F.col("place").alias("_target_place"))
-    views = leaf.where("byte_length IS NOT NULL").join(heads, F.col("_view") == F.col("_group")).join(places, "_target")
+    views = leaf.where("byte_length IS NOT NULL").join(dealt(heads), F.col("_view") == F.col("_group")).join(dealt(places), "_target")
     outer = F.slice("_names", 1, F.size("_names") - 1)
     views = views.select(
         "path", F.array_join(F.concat(outer, F.array(F.replace(F.col("name"), F.lit("-"), F.lit("_")))), "_").alias("name"), F.col("name").alias("source_field"), F.col("pic").alias("source_pic"), "sql_type",

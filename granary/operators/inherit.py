@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granary.sources.repository import put_down
+from granary.sources.repository import dealt, put_down
 
 
 @dataclass(frozen=True)
@@ -56,10 +56,10 @@ def handed_down(nodes: DataFrame, **values: Handed) -> DataFrame:
     for _ in range(rows.count().bit_length() + 1):
         moving = rows.where("_up IS NOT NULL")
         if moving.isEmpty():
-            return nodes.join(rows.drop("_up"), "node_id")
+            return nodes.join(dealt(rows.drop("_up")), "node_id")
         above = rows.select(F.col("node_id").alias("_at"), F.col("_up").alias("_next"), *[F.col(k).alias(f"_a_{k}") for k in values])
         lost = F.col("_at").isNull()
         joined = [F.when(lost, F.col(k)).otherwise(v.joined(F.col(f"_a_{k}"), F.col(k))).alias(k) for k, v in values.items()]
-        moved = moving.join(above, F.col("_up") == F.col("_at"), "left").select("node_id", F.col("_next").alias("_up"), *joined)
+        moved = moving.join(dealt(above), F.col("_up") == F.col("_at"), "left").select("node_id", F.col("_next").alias("_up"), *joined)
         rows = put_down(rows.where("_up IS NULL").unionByName(moved))
     raise ValueError("a node is below itself")

@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from granary.sources.repository import dealt
+
 PLACES = "path string, node_id string, parent_id string, depth int, enter long, leave long"
 _ARROW = pa.schema([
     ("path", pa.string()), ("node_id", pa.string()), ("parent_id", pa.string()), ("depth", pa.int32()), ("enter", pa.int64()), ("leave", pa.int64()),
@@ -111,7 +113,7 @@ def numbered(items: DataFrame, layout: bool = True) -> DataFrame:
 def older_tree(items: DataFrame) -> DataFrame:
     """items (path, seq, node_id, level) of older flat lists with PLACES: levels alone decide."""
     places = numbered(items.withColumn("node_type", F.lit("GROUP")), layout=False)
-    return items.join(places.drop("path"), "node_id")
+    return items.join(dealt(places.drop("path")), "node_id")
 
 
 def _so_far() -> W:
@@ -122,7 +124,7 @@ def below(nodes: DataFrame, **counted: Column) -> DataFrame:
     """nodes (path, enter, leave, ...) with, for each condition, how many items below hold it, themselves left out."""
     sums = nodes.select("*", *[F.sum(F.coalesce(c, F.lit(False)).cast("long")).over(_so_far()).alias(f"_{k}") for k, c in counted.items()])
     ends = sums.select(F.col("path").alias("_path"), F.col("enter").alias("_end"), *[F.col(f"_{k}").alias(f"_end_{k}") for k in counted])
-    both = sums.join(ends, (F.col("path") == F.col("_path")) & (F.col("leave") == F.col("_end")))
+    both = sums.join(dealt(ends), (F.col("path") == F.col("_path")) & (F.col("leave") == F.col("_end")))
     return both.select(*nodes.columns, *[(F.col(f"_end_{k}") - F.col(f"_{k}")).alias(k) for k in counted])
 
 

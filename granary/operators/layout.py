@@ -13,7 +13,7 @@ from granary.functions.picture import meaning, physical_length
 from granary.functions.text import is_comment, or_null
 from granary.operators.evidence import evidence
 from granary.operators.intervals import numbered
-from granary.sources.repository import cut
+from granary.sources.repository import cut, dealt
 
 DECLARATION = r"(?i)^\s*(?:\d{6}\s+)?(\d{2})\s+([A-Z0-9_-]+)\b(.*)$"
 OCCURS = r"(?i)\bOCCURS\s+(\d+)(?:\s+TO\s+(\d+))?\s+TIMES?(?:\s+DEPENDING\s+ON\s+([A-Z0-9_-]+))?"
@@ -37,7 +37,7 @@ def declarations(lines: DataFrame) -> DataFrame:
 
 def tree(nodes: DataFrame) -> DataFrame:
     """nodes with parent_id, depth, enter and leave, from one ordered pass over each file."""
-    return nodes.join(numbered(nodes).drop("path"), "node_id")
+    return nodes.join(dealt(numbered(nodes).drop("path")), "node_id")
 
 
 def place(nodes: DataFrame) -> DataFrame:

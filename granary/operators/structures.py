@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from granary.operators.inherit import handed_down, path_of
 from granary.operators.intervals import older_tree
-from granary.sources.repository import put_down
+from granary.sources.repository import dealt, put_down
 
 # fixed values: words of a relation's type and what it makes the other end
 ROLES = (("COPY", "copybooks"), ("DATASET|READ|WRITE", "datasets"), ("PROGRAM|CALL", "called_programs"), ("FILE", "files"))
@@ -181,7 +181,7 @@ def _older_fields(found: DataFrame) -> DataFrame:
     tree = older_tree(rows.drop("node"))
     nth = F.row_number().over(W.partitionBy("path", "parent_id").orderBy("seq")) - 1
     placed = handed_down(tree.withColumn("_nth", nth), _path=path_of(F.col("_nth"))).select("node_id", "_path")
-    facts = rows.select(F.col("path").alias("artifact_id"), "node_id", "node").join(placed, "node_id")
+    facts = rows.select(F.col("path").alias("artifact_id"), "node_id", "node").join(dealt(placed), "node_id")
     return facts.select("artifact_id", F.col("_path").alias("path"), F.lit("field").alias("type"), F.coalesce(of("node", "$.name", "string"), F.lit("UNKNOWN")).alias("name"), F.parse_json(_field_facts()).alias("properties"))
 
 

@@ -145,3 +145,9 @@ def put_down(df: DataFrame) -> DataFrame:
 
 #: What loops cut their lineage with.
 cut = put_down
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """df as a side of a join that is never broadcast: tables put down are often a hundred times larger than their files,
+    by which Spark would judge them."""
+    return df.hint("merge")
