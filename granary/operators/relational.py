@@ -10,20 +10,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from granary.functions.text import or_null, quoted, sql_identifier
+from granary.sources.repository import dealt
 
 
 def preflight(tables: DataFrame, columns: DataFrame, foreign_keys: DataFrame) -> DataFrame:
-    """table_name, issue: repeated tables or columns, missing types, keys and targets that do not exist."""
+    """table_name, issue: repeated tables or columns, missing types, keys and targets that do not exist.
+
+    Names of columns are a side that grows, so none of the joins is a broadcast.
+    """
     named = columns.select("*", sql_identifier("column_name").alias("_id"))
     issue = lambda text: F.lit(text).alias("issue")
     repeated = tables.groupBy(sql_identifier("table_name").alias("_t")).agg(F.count(F.lit(1)).alias("n"), F.max("table_name").alias("table_name")).where("n > 1").select("table_name", issue("duplicate table"))
     twice = named.groupBy("table_name", "_id").count().where("count > 1").select("table_name", issue("duplicate column")).distinct()
     untyped = columns.where(or_null("sql_type").isNull()).select("table_name", issue("missing type")).distinct()
     sources = foreign_keys.select("*", sql_identifier("column_name").alias("_id"))
-    lost = sources.join(named.select("table_name", "_id"), ["table_name", "_id"], "left_anti").select("table_name", issue("foreign key column missing"))
+    lost = sources.join(dealt(named.select("table_name", "_id")), ["table_name", "_id"], "left_anti").select("table_name", issue("foreign key column missing"))
     there = named.select(F.col("table_name").alias("target_table"), F.col("_id").alias("_target"))
-    goals = sources.join(named.select("table_name", "_id"), ["table_name", "_id"], "left_semi").withColumn("_target", sql_identifier("target_column"))
-    nowhere = goals.join(there, ["target_table", "_target"], "left_anti").select("table_name", issue("foreign key target missing"))
+    goals = sources.join(dealt(named.select("table_name", "_id")), ["table_name", "_id"], "left_semi").withColumn("_target", sql_identifier("target_column"))
+    nowhere = goals.join(dealt(there), ["target_table", "_target"], "left_anti").select("table_name", issue("foreign key target missing"))
     return repeated.unionByName(twice).unionByName(untyped).unionByName(lost).unionByName(nowhere)
 
 
@@ -34,7 +38,7 @@ def emit(tables: DataFrame, columns: DataFrame, foreign_keys: DataFrame) -> Data
     body = columns.groupBy("table_name").agg(ordered(text, F.col("position")).alias("lines"), ordered(quoted("column_name"), F.col("key_position"), F.col("key_position").isNotNull()).alias("keys"))
     link = F.concat(F.lit("    FOREIGN KEY ("), quoted("column_name"), F.lit(") REFERENCES "), quoted("target_table"), F.lit(" ("), quoted("target_column"), F.lit(")"))
     links = foreign_keys.groupBy("table_name").agg(ordered(link, F.col("column_name")).alias("links"))
-    rows = tables.select("table_name").distinct().join(body, "table_name", "left").join(links, "table_name", "left")
+    rows = tables.select("table_name").distinct().join(dealt(body), "table_name", "left").join(dealt(links), "table_name", "left")
     empty = F.array().cast("array<string>")
     key = F.when(F.size(F.coalesce("keys", empty)) > 0, F.array(F.concat(F.lit("    PRIMARY KEY ("), F.array_join("keys", ", "), F.lit(")")))).otherwise(empty)
     parts = F.concat(F.coalesce("lines", empty), key, F.coalesce("links", empty))
@@ -62,7 +66,7 @@ def match_keys(fields: DataFrame, keys: DataFrame) -> DataFrame:
     """
     at = F.col("absolute_offset") == F.col("key_offset")
     exact = at & (F.col("byte_length") == F.col("key_length"))
-    joined = keys.join(fields.withColumnRenamed("dataset", "_dataset"), (F.col("dataset") == F.col("_dataset")) & at, "left")
+    joined = keys.join(dealt(fields.withColumnRenamed("dataset", "_dataset")), (F.col("dataset") == F.col("_dataset")) & at, "left")
     found = joined.groupBy("dataset", "key_offset", "key_length").agg(F.count_if(exact).alias("n"), F.count_if(at).alias("n_at"), F.min(F.when(exact, F.col("name"))).alias("_name"))
     status = F.when(F.col("n") == 1, "PRIMARY_KEY").when(F.col("n") > 1, "AMBIGUOUS").when(F.col("n_at") > 0, "UNRESOLVED_LENGTH_MISMATCH").otherwise("UNRESOLVED")
     return found.select("dataset", "key_offset", "key_length", status.alias("status"), F.when(F.col("n") == 1, F.col("_name")).alias("column_name"))

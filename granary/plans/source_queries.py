@@ -13,15 +13,18 @@ from pyspark.sql import functions as F
 from granary.functions import picture
 from granary.operators import evidence, graph, layout, program, relational, resolve, schema
 from granary.plans.registry import register, table
+from granary.sources.repository import spread
 
 #: Numbers of a source: its key, a length, digits, a repetition, a width.
 _NUMBERS = {"k": "p_partkey", "s": "CAST(p_size AS INTEGER)", "c": "CAST(p_size % 9 + 1 AS INTEGER)", "o": "CAST(p_size * 5 AS INTEGER)", "w": "CAST(p_partkey % 20 + 1 AS INTEGER)"}
 _P = f"p AS (SELECT {', '.join(f'{v} AS {k}' for k, v in _NUMBERS.items())} FROM part)"
 Stated = tuple[tuple[str, ...], ...]
+#: A row of a few numbers becomes a source of many lines.
+_SOURCES_A_TASK = 16_384
 
 
 def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select(*[F.expr(v).alias(k) for k, v in _NUMBERS.items()])
+    return spread(table(spark, sf_dir, "part").select(*[F.expr(v).alias(k) for k, v in _NUMBERS.items()]), rows=_SOURCES_A_TASK)
 
 
 #: The same numbers from documents, which grow with the data: ids, lengths.
@@ -33,7 +36,7 @@ _D = f"p AS (SELECT {', '.join(f'{v} AS {k}' for k, v in _DOC_NUMBERS.items())}
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(*[F.expr(v).alias(k) for k, v in _DOC_NUMBERS.items()])
+    return spread(table(spark, sf_dir, "documents").select(*[F.expr(v).alias(k) for k, v in _DOC_NUMBERS.items()]), rows=_SOURCES_A_TASK)
 
 
 def _each(rows: DataFrame, names: tuple[str, ...], stated: Stated) -> DataFrame:

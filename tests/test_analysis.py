@@ -83,3 +83,13 @@ def test_differences_take_sets(spark):
     one = spark.createDataFrame([("a",), ("a",), (None,)], "name string")
     two = spark.createDataFrame([("b",), (None,)], "name string")
     assert {tuple(r) for r in catalogs.differences(one, two).collect()} == {("a", "MISSING"), ("b", "UNEXPECTED")}
+
+
+def test_preflight_broadcasts_nothing_that_grows(spark):
+    from granary.operators import relational
+
+    columns = spark.createDataFrame([("A", 1, "X", "INT", True, 1), ("A", 2, "x", None, True, None)], "table_name string, position int, column_name string, sql_type string, nullable boolean, key_position int")
+    keys = spark.createDataFrame([("A", "Y", "A", "X"), ("A", "X", "B", "X"), ("A", "X", "A", "x")], "table_name string, column_name string, target_table string, target_column string")
+    found = relational.preflight(spark.createDataFrame([("A", None), ("a", None)], "table_name string, parent_table string"), columns, keys)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.issue for r in found.collect()) == ["duplicate column", "duplicate table", "foreign key column missing", "foreign key target missing", "missing type"]
