@@ -12,14 +12,13 @@ rows grow with the number of fingerprints, not of pairs.
 
 Similar texts (`keep_similar`).  Texts whose sets of five-word shingles have a Jaccard coefficient of 0.8 differ in some
 15 of 100 bits, which no 64-bit print can look up.  There a print has WORDS independent words of 64 bits; a pair is a
-candidate if in one word it has a chain on the ring: two consecutive segments that agree exactly (the key, as wide as the
-counted number of prints needs) and then cumulative differences within budgets in proportion to the word's.  Candidates
-within the budget of all words together are held against each other by their exact coefficient.  In a key that more than
-CROWD prints share, prints are first compared with the smallest one; those near it are linked and leave all crowded keys,
-which contracts a large group of near copies, and the others go on, LEADERS times; what is left of a key is compared in
-pairs, chains first.  Those are prints that share a key, some three bits wider than their number asks for, without being
-near the leaders.  A pair at 0.8 has a chain with a probability of some 0.9, a nearer one more (see the tests); in a
-crowd, links between two texts that both follow a leader are left to other keys.
+candidate if in one word it has a chain on the ring: two consecutive segments that agree exactly (the key, of one width
+for any number of texts) and then cumulative differences within budgets in proportion to the word's.  Candidates within the
+budget of all words together are held against each other by their exact coefficient.  In a key that more than CROWD prints
+share, texts are first held against the smallest one, LEADERS times; those that are verified to be similar to one leader
+are connected, so they are not compared with each other again, but with the rest of the key.  So the size of a key changes
+the way and not the groups.  A pair at 0.8 has a chain with a probability of some 0.9, a nearer one more (see the tests),
+whatever other texts there are.  Pairs that share a key by chance grow with the square of the number of texts.
 
 Defined results: a null, empty or blank text has fingerprint zero, linked like any other; fewer words than SHINGLE make
 one shingle; equal rows have equal fingerprints and so one component; an id that occurs twice stays twice; other columns
@@ -29,7 +28,7 @@ are left alone; an empty table gives an empty result.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -52,6 +51,8 @@ CROWD = 32
 SIMILAR_SHINGLE = 5
 LEAST_SIMILARITY = 0.8
 WORDS = 8
+#: Segments of a word of a print; two of them are a key, of some 18 bits for any number of texts.
+SIMILAR_SEGMENTS = 7
 #: Rounds in which crowded keys follow a leader.
 LEADERS = 3
 #: Standard deviations that a candidate's difference may exceed the expected one of the least similarity.
@@ -267,11 +268,14 @@ def _chained(start: Column, difference: Column, most: int, segments: int, exact:
     return chained
 
 
-def similar_pairs(prints: DataFrame, words: int = WORDS, similarity: float = LEAST_SIMILARITY, crowd: int = CROWD) -> DataFrame:
-    """(a, b), a < b: kinds whose prints are near, candidates for an exact comparison.  prints: distinct kind with words."""
-    # two segments make a key of some three bits more than the number of prints has
-    key_bits = min(60, max(16, math.ceil(math.log2(max(2, prints.count()))) + 3))
-    segments, exact = max(3, 128 // key_bits), 2
+def similar_pairs(prints: DataFrame, verified: Callable[[DataFrame], DataFrame], words: int = WORDS, similarity: float = LEAST_SIMILARITY, crowd: int = CROWD) -> DataFrame:
+    """(a, b), a < b: links between kinds, enough to connect all verified ones whose prints have a chain and are near.
+
+    prints: distinct kind with words; verified: of pairs (a, b) those that are links.  Whether two kinds are held against
+    each other depends on their prints alone.  crowd decides how a key's pairs are gone through, not which are connected:
+    two kinds are only left apart if both are verified links of one leader.
+    """
+    segments, exact = SIMILAR_SEGMENTS, 2
     per_word, in_all = budget(similarity, 64), budget(similarity, 64 * words)
     cuts = _cuts(segments)
     keys = []
@@ -282,21 +286,33 @@ def similar_pairs(prints: DataFrame, words: int = WORDS, similarity: float = LEA
     keyed = prints.select("kind", F.explode(F.array(*keys)).alias("k")).select("k.start", "k.key", "kind", "k.word")
     sizes = keyed.groupBy("start", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = written(keyed.join(sizes, ["start", "key"]), "similar-keys")
-    found, crowded = None, shared.where(F.col("n") > crowd).drop("n")
-    rest = shared.where(F.col("n") <= crowd).drop("n")
+    # what unrelated prints put into a key grows with their number and makes no crowd
+    crowd += 4 * (prints.count() >> 128 // segments)
+    rest, crowded = shared.where(F.col("n") <= crowd).drop("n"), shared.where(F.col("n") > crowd).drop("n")
+    fits = _chained(F.col("start") % segments, F.col("word").bitwiseXOR(F.col("_word")), per_word, segments, exact)
+    other = rest.select("start", "key", F.col("kind").alias("b"), F.col("word").alias("_word"))
+    pairs = rest.join(other, ["start", "key"]).where((F.col("kind") < F.col("b")) & fits).select(F.col("kind").alias("a"), "b")
+    found, alone = None, crowded
     for _ in range(LEADERS):
-        if not crowded.take(1):
+        if not alone.take(1):
             break
-        led = crowded.groupBy("start", "key").agg(F.min("kind").alias("a"))
-        tried = crowded.join(led, ["start", "key"]).where("kind <> a")
-        near = written(_near(tried.select("a", F.col("kind").alias("b")).distinct(), prints, words, in_all), "similar-led")
+        led = alone.groupBy("start", "key").agg(F.min(F.struct("kind", "word")).alias("a")).select("start", "key", F.col("a.kind").alias("a"), F.col("a.word").alias("_word"))
+        tried = alone.join(led, ["start", "key"]).where("kind <> a")
+        near = written(verified(_near(tried.where(fits).select("a", F.col("kind").alias("b")).distinct(), prints, words, in_all)), "similar-led")
         found = near if found is None else found.unionByName(near)
-        crowded = written(tried.drop("a").join(near.select(F.col("b").alias("_gone")).distinct(), F.col("kind") == F.col("_gone"), "left_anti"), "similar-crowds")
-    rest = rest.unionByName(crowded)
-    other = rest.select("start", "key", F.col("kind").alias("b"), F.col("word").alias("_word"))
-    fits = _chained(F.col("start") % segments, F.col("word").bitwiseXOR(F.col("_word")), per_word, segments, exact)
-    pairs = rest.join(other, ["start", "key"]).where((F.col("kind") < F.col("b")) & fits).select(F.col("kind").alias("a"), "b").distinct()
-    pairs = _near(pairs, prints, words, in_all)
+        alone = written(tried.drop("a", "_word").join(near.select(F.col("b").alias("_gone")).distinct(), F.col("kind") == F.col("_gone"), "left_anti"), "similar-crowds")
+    if found is not None:
+        # all of a key but its largest group of one leader is compared with the whole key
+        leaders = found.select(F.col("a").alias("_led"), F.col("a").alias("_leader")).unionByName(found.select(F.col("b").alias("_led"), F.col("a").alias("_leader"))).groupBy("_led").agg(F.min("_leader").alias("_leader"))
+        grouped = written(crowded.join(leaders, F.col("kind") == F.col("_led"), "left").select("start", "key", "kind", "word", F.coalesce("_leader", "kind").alias("group")), "similar-groups")
+        counted = grouped.groupBy("start", "key", "group").agg(F.count(F.lit(1)).alias("n"))
+        largest = counted.groupBy("start", "key").agg(F.max_by("group", F.struct("n", "group")).alias("main"))
+        grouped = grouped.join(largest, ["start", "key"])
+        whole = grouped.select("start", "key", F.col("kind").alias("_kind"), F.col("word").alias("_word"), F.col("group").alias("_group"), (F.col("group") == F.col("main")).alias("_main"))
+        apart = (F.col("group") != F.col("_group")) & (F.col("_main") | (F.col("kind") < F.col("_kind")))
+        across = grouped.where("group <> main").join(whole, ["start", "key"]).where(apart & fits)
+        pairs = pairs.unionByName(across.select(F.least("kind", "_kind").alias("a"), F.greatest("kind", "_kind").alias("b")))
+    pairs = verified(_near(pairs.distinct(), prints, words, in_all))
     return pairs if found is None else pairs.unionByName(found).distinct()
 
 
@@ -345,10 +361,14 @@ def similar_groups(docs: DataFrame, shingle: int = SIMILAR_SHINGLE, similarity:
     # one row for each set of shingles: copies are one row from here on
     kinds = prints.groupBy("kind").agg(F.min("doc_id").alias("first_id"), F.min("row").alias("first_row"), F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in columns])
     kinds = written(kinds, "similar-kinds")
-    pairs = written(similar_pairs(kinds.select("kind", *columns), words, similarity), "similar-pairs")
-    named = kinds.select("kind", "first_row").join(pairs.select(F.explode(F.array("a", "b")).alias("_used")).distinct(), F.col("kind") == F.col("_used"), "left_semi")
-    texts = docs.select(_row().alias("_row"), "text").join(named, F.col("_row") == F.col("first_row")).select("kind", "text").dropDuplicates(["kind"])
-    roots = components(_verified(pairs, texts, shingle, similarity))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = written(pairs, "similar-pairs")
+        named = kinds.select("kind", "first_row").join(pairs.select(F.explode(F.array("a", "b")).alias("_used")).distinct(), F.col("kind") == F.col("_used"), "left_semi")
+        texts = docs.select(_row().alias("_row"), "text").join(named, F.col("_row") == F.col("first_row")).select("kind", "text").dropDuplicates(["kind"])
+        return _verified(pairs, texts, shingle, similarity)
+
+    roots = components(similar_pairs(kinds.select("kind", *columns), verified, words, similarity))
     rooted = kinds.join(roots, kinds["kind"] == roots["node"], "left").select("kind", "first_id", "n", F.coalesce("root", "kind").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"), F.sum("n").alias("size"))
     labels = rooted.join(smallest.where("size > 1"), "root").select(F.col("kind").alias("_kind"), "component_id")

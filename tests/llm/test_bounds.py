@@ -4,7 +4,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from granary.llm import gru_langid, repair_tokens
+from granary.llm import gru_langid, repair_tokens, simhash_dedup
 
 from .conftest import DOCS
 
@@ -35,3 +35,34 @@ def test_no_table_of_all_shards_is_broadcast(spark, make, tmp_path):
     plan = repair_tokens.read(spark, f"{tmp_path}/c")
     text = plan._jdf.queryExecution().optimizedPlan().toString()
     assert text.count("strategy=broadcast") == 1 and plan.count() > 4
+
+
+def test_similar_pairs_do_not_depend_on_other_texts(spark):
+    import random
+
+    r = random.Random(5)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    row = lambda kind, bits: (kind, *[signed(bits >> 64 * k & (1 << 64) - 1) for k in range(simhash_dedup.WORDS)])
+    pairs = []
+    for i in range(200):
+        one = r.getrandbits(512)
+        pairs += [row(2 * i, one), row(2 * i + 1, one ^ sum(1 << b for b in r.sample(range(512), 80)))]
+    schema = "kind long, " + ", ".join(f"w{k} long" for k in range(simhash_dedup.WORDS))
+    found = []
+    for rows, crowd in ((pairs, 32), (pairs, 2), (pairs + [row(1000 + i, r.getrandbits(512)) for i in range(20_000)], 32)):
+        links = simhash_dedup.similar_pairs(spark.createDataFrame(rows, schema), lambda pairs: pairs, crowd=crowd)
+        found.append({(x.a, x.b) for x in links.collect()})
+    assert found[0] == found[1] == found[2] and len(found[0]) > 100
+
+
+def test_similar_groups_do_not_depend_on_the_crowd(spark, monkeypatch):
+    # texts that drift: neighbours are similar, those further apart are not, so members of a key follow different leaders
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(words[: i * 8] + [f"v{j}" for j in range(i * 8, i * 8 + 8)] + words[i * 8 + 8 :]) for i in range(20)]
+    drift = [" ".join([f"x{j}" for j in range(i * 6)] + words[i * 6 :]) for i in range(20)]
+    docs = spark.createDataFrame(list(enumerate(texts + drift)), "doc_id long, text string")
+    got = []
+    for crowd in (1, 2, 1_000_000):
+        monkeypatch.setattr(simhash_dedup.similar_pairs, "__defaults__", (simhash_dedup.WORDS, simhash_dedup.LEAST_SIMILARITY, crowd))
+        got.append({x.doc_id: x.component_id for x in simhash_dedup.similar_groups(docs).collect()})
+    assert got[0] == got[1] == got[2] and len(set(got[0].values())) == 1
