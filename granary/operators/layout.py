@@ -1,7 +1,7 @@
 """Record layouts: declarations, their tree, and byte offsets with overlays and repetition.
 
 A layout is an adjacency list: one row a declaration, with node_id, parent_id and seq (its line), and the interval of its
-subtree.  The tree is one ordered pass over a file, and offsets take one pass a depth over all files together.
+subtree.  The tree, lengths and offsets are one ordered pass over a file.
 """
 
 from __future__ import annotations
@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from granary.functions.picture import meaning, physical_length
 from granary.functions.text import is_comment, or_null
 from granary.operators.evidence import evidence
-from granary.operators.intervals import numbered
-from granary.sources.repository import cut, dealt
+from granary.operators.intervals import numbered, placed
+from granary.sources.repository import cut, dealt, parts
 
 DECLARATION = r"(?i)^\s*(?:\d{6}\s+)?(\d{2})\s+([A-Z0-9_-]+)\b(.*)$"
 OCCURS = r"(?i)\bOCCURS\s+(\d+)(?:\s+TO\s+(\d+))?\s+TIMES?(?:\s+DEPENDING\s+ON\s+([A-Z0-9_-]+))?"
@@ -40,63 +40,18 @@ def tree(nodes: DataFrame) -> DataFrame:
     return nodes.join(dealt(numbered(nodes).drop("path")), "node_id")
 
 
-def place(nodes: DataFrame) -> DataFrame:
-    """nodes (with depth) with byte_length, span_min, span_max, relative_offset and absolute_offset.
+def layout(lines: DataFrame) -> DataFrame:
+    """Declarations of lines with their tree (`tree`), byte_length, span_min, span_max, relative_offset and absolute_offset.
 
-    Lengths are found from the deepest nodes upwards, offsets from the roots downwards; siblings are placed by a pass
-    over the ordered array of a parent's children, in the JVM.  Conditions and renamings take no room.
+    Bytes come from the pass that numbers a file's items.  Conditions and renamings take no room.
     """
-    rows = cut(nodes)
-    deepest = rows.agg(F.max("depth")).first()[0]
-    if deepest is None:
-        return rows.select("*", *[F.lit(None).cast("int").alias(c) for c in ("byte_length", "span_min", "span_max", "relative_offset", "absolute_offset")])
-    is_storage = ~F.col("node_type").isin("CONDITION", "RENAMES")
+    nodes = cut(declarations(lines))
+    low = lambda c: F.when(F.coalesce(c, F.lit(0)) == 0, 1).otherwise(F.col(c))
     own = physical_length(F.col("node_type"), F.col("logical_length"), F.col("precision"), F.col("usage"))
-    sized = None  # node_id, byte_length of the depth below
-    placed_all = []
-    low = lambda c: F.when(F.coalesce(c, F.lit(0)) == 0, 1).otherwise(c)
-    for d in range(deepest, -1, -1):
-        level = rows.where(F.col("depth") == d)
-        if sized is not None:
-            level = level.join(sized, level["node_id"] == sized["_parent"], "left").drop("_parent")
-        else:
-            level = level.withColumn("_inner", F.lit(None).cast("int"))
-        length = F.when((F.col("node_type") == "GROUP") & F.col("_inner").isNotNull(), F.col("_inner")).otherwise(own)
-        level = level.withColumn("byte_length", F.when(is_storage, length).otherwise(0)).drop("_inner")
-        most = F.coalesce(F.when(F.col("occurs_max") != 0, F.col("occurs_max")), low(F.col("occurs_min")))
-        level = level.withColumn("span_min", F.when(is_storage, F.col("byte_length") * low(F.col("occurs_min"))).otherwise(0)).withColumn("span_max", F.when(is_storage, F.col("byte_length") * most).otherwise(0))
-        level = cut(level)
-        child = F.struct("seq", "node_id", "name", "redefines_target", is_storage.alias("stores"), F.coalesce("span_max", F.lit(0)).alias("span"))
-        start = F.struct(F.lit(0).alias("cursor"), F.lit(0).alias("end"), F.array().cast("array<struct<node_id:string,name:string,stores:boolean,at:int>>").alias("done"))
-
-        def step(a, x):
-            target = F.filter(a["done"], lambda y: y["stores"] & (y["name"] == x["redefines_target"]))
-            at = F.when(x["stores"] & (F.size(target) > 0), F.try_element_at(target, F.lit(-1))["at"]).otherwise(a["cursor"])
-            cursor = F.when(x["stores"] & x["redefines_target"].isNull(), at + x["span"]).otherwise(a["cursor"])
-            end = F.when(x["stores"], F.greatest(a["end"], at + x["span"])).otherwise(a["end"])
-            return F.struct(cursor.alias("cursor"), end.alias("end"), F.concat(a["done"], F.array(F.struct(x["node_id"].alias("node_id"), x["name"].alias("name"), x["stores"].alias("stores"), at.alias("at")))).alias("done"))
-
-        family = level.groupBy("path", "parent_id").agg(F.sort_array(F.collect_list(child)).alias("c"))
-        family = cut(family.select("path", "parent_id", F.aggregate("c", start, step).alias("r")))
-        spots = family.select(F.explode("r.done").alias("x")).select(F.col("x.node_id").alias("_node"), F.col("x.at").alias("relative_offset"))
-        placed_all.append(level.join(spots, level["node_id"] == spots["_node"]).drop("_node"))
-        stored = level.where(is_storage).select("parent_id").distinct()
-        sized = family.join(stored, "parent_id").select(F.col("parent_id").alias("_parent"), F.greatest("r.cursor", "r.end").alias("_inner"))
-    out, above = None, None
-    for level in reversed(placed_all):
-        base = F.lit(0) if above is None else F.col("_above")
-        if above is not None:
-            level = level.join(above, level["parent_id"] == above["_id"]).drop("_id")
-        level = level.withColumn("absolute_offset", F.col("relative_offset") + base)
-        if above is not None:
-            level = level.drop("_above")
-        above = level.select(F.col("node_id").alias("_id"), F.col("absolute_offset").alias("_above"))
-        out = level if out is None else out.unionByName(level)
-    return out
-
-
-def layout(lines: DataFrame) -> DataFrame:
-    return place(tree(declarations(lines)))
+    most = F.coalesce(F.when(F.col("occurs_max") != 0, F.col("occurs_max")), low("occurs_min"))
+    places = placed(nodes, own, low("occurs_min"), most).drop("path")
+    n = parts(nodes)
+    return nodes.repartition(n, "node_id").join(dealt(places.repartition(n, "node_id")), "node_id")
 
 
 def record_lengths(nodes: DataFrame) -> DataFrame:

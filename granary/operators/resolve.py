@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from granary.functions.picture import sql_type
 from granary.functions.text import or_null
 from granary.operators.intervals import below
-from granary.sources.repository import cut
+from granary.sources.repository import cut, dealt
 
 # fixed values: counts at which a repetition changes its form
 INLINE_MOST, SAFE_MOST, CONFIDENT_MOST = 20, 200, 100
@@ -92,11 +92,11 @@ def structure(nodes: DataFrame) -> DataFrame:
 
 def overlays(nodes: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """node_id, target_id, strategy, confidence of every overlay; its target is the last earlier sibling of that name."""
-    known = known or structure(nodes)
+    known = known or cut(structure(nodes).select("path", "node_id", "parent_id", "seq", "name", "redefines_target", "byte_length", "leaves", "occurs", "redefines", "safe", "is_group"))
     facts = F.struct(F.col("byte_length").alias("length"), "leaves", "occurs", "redefines", "safe", "is_group")
     one = known.where("redefines_target IS NOT NULL").select("path", "node_id", "parent_id", "seq", "redefines_target", facts.alias("alternate"))
     other = known.select(F.col("path").alias("_path"), F.col("parent_id").alias("_parent"), F.col("seq").alias("_seq"), F.col("name").alias("_name"), F.col("node_id").alias("target_id"), facts.alias("original"))
-    pairs = one.join(other, (F.col("path") == F.col("_path")) & F.col("parent_id").eqNullSafe(F.col("_parent")) & (F.col("redefines_target") == F.col("_name")) & (F.col("_seq") < F.col("seq")), "left")
+    pairs = one.join(dealt(other), (F.col("path") == F.col("_path")) & F.col("parent_id").eqNullSafe(F.col("_parent")) & (F.col("redefines_target") == F.col("_name")) & (F.col("_seq") < F.col("seq")), "left")
     last = pairs.groupBy("node_id").agg(F.max_by("target_id", "_seq").alias("target_id"), F.max_by("original", "_seq").alias("original"), F.first("alternate").alias("alternate"))
     return last.select("node_id", "target_id", redefines_strategy(original=F.col("original"), alternate=F.col("alternate"), parsed=F.lit(True)).alias("r")).select("node_id", "target_id", "r.*")
 

@@ -152,7 +152,12 @@ def spread(df: DataFrame, *by: str, rows: int = 500_000) -> DataFrame:
 
     Spark would deal a small file, or what it guesses to be small, to few tasks, whatever its rows become afterwards.
     """
-    return df.repartition(max(1, -(-df.count() // rows)), *by)
+    return df.repartition(parts(df, rows), *by)
+
+
+def parts(df: DataFrame, rows: int = 500_000) -> int:
+    """Partitions of about so many rows that df fills."""
+    return max(1, -(-df.count() // rows))
 
 
 def dealt(df: DataFrame) -> DataFrame:

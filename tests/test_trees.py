@@ -139,3 +139,15 @@ def test_flat_columns_of_nested_repetition(spark):
 
 def test_flat_columns_of_nothing(spark):
     assert flatten.flattened(layout.layout(lines_of(spark, "no declaration"))).count() == 0
+
+
+def test_bytes_come_from_the_pass_that_numbers(spark):
+    source = "01 R.\n 05 A PIC X(4).\n 05 B REDEFINES A.\n  10 C PIC 9(5) COMP.\n   88 Z VALUE 1.\n  10 D PIC X(2) OCCURS 1 TO 3 TIMES DEPENDING ON N.\n66 N2 RENAMES A.\n 05 A PIC X(6).\n 05 E REDEFINES A PIC X.\n 05 G OCCURS 2 TIMES.\n  10 H PIC X.\n77 L PIC X."
+    nodes = layout.layout(lines_of(spark, source))
+    got = {(r.seq, r.name): (r.byte_length, r.span_min, r.span_max, r.relative_offset, r.absolute_offset) for r in nodes.collect()}
+    assert got == {
+        (1, "R"): (12, 12, 12, 0, 0), (2, "A"): (4, 4, 4, 0, 0), (3, "B"): (10, 10, 10, 0, 0), (4, "C"): (4, 4, 4, 0, 0), (5, "Z"): (0, 0, 0, 0, 0), (6, "D"): (2, 2, 6, 4, 4),
+        (7, "N2"): (0, 0, 0, 10, 10), (8, "A"): (6, 6, 6, 4, 4), (9, "E"): (1, 1, 1, 4, 4), (10, "G"): (1, 2, 2, 10, 10), (11, "H"): (1, 1, 1, 0, 10), (12, "L"): (1, 1, 1, 12, 12),
+    }
+    # one pass for all depths: nothing but the declarations is put down
+    assert nodes._jdf.queryExecution().logical().toString().count("MapInArrow") == 1
