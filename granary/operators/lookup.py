@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from granary.functions.text import basename
+from granary.sources.repository import dealt, parts
 
 
 def best(candidates: DataFrame, key: str, *order: Column) -> DataFrame:
@@ -24,6 +25,16 @@ def with_fallback(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]]
     return out.withColumn(value, F.coalesce(*found)).drop(*found)
 
 
+def marked(left: DataFrame, key: str, right: DataFrame, other: str, **marks: Column) -> DataFrame:
+    """The rows of left whose key right has, with marks: whether a condition holds for any row of right with that key.
+
+    One aggregate of right by key and one join of left with it, in partitions of a counted number of rows of right.
+    """
+    n = parts(right)
+    known = right.where(F.col(other).isNotNull()).repartition(n, other).groupBy(F.col(other).alias("_key")).agg(*[F.bool_or(F.coalesce(c, F.lit(False))).alias(k) for k, c in marks.items()])
+    return left.repartition(n, key).join(dealt(known), F.col(key) == F.col("_key")).drop("_key")
+
+
 def owners(rows: DataFrame, marker: Column, group: str, *order: str) -> DataFrame:
     """rows with owner: the last marker at or before each row of its group (an as-of join as one window)."""
     so_far = W.partitionBy(group).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)

@@ -165,10 +165,7 @@ def q23(spark, sf_dir):
 SELECT o_orderkey, EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R') AS returned FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)""")
 def q24(spark, sf_dir):
     orders, items = table(spark, sf_dir, "orders").select("o_orderkey"), table(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag")
-    known = orders.join(items, orders["o_orderkey"] == items["l_orderkey"], "left_semi")
-    back = items.where("l_returnflag = 'R'")
-    on = known["o_orderkey"] == back["l_orderkey"]
-    return known.join(back, on, "left_semi").select("o_orderkey", F.lit(True).alias("returned")).unionByName(known.join(back, on, "left_anti").select("o_orderkey", F.lit(False).alias("returned")))
+    return lookup.marked(orders, "o_orderkey", items, "l_orderkey", returned=F.col("l_returnflag") == "R")
 
 
 @register("q25_asof_owner", """

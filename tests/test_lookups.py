@@ -70,3 +70,12 @@ def test_readiness(spark):
     edges = rows(spark, "place int, source_id string, target_id string, rel_type string", (2, "late", "a", "USES_RECORD_LAYOUT"), (1, "first", "a", "USES_RECORD_LAYOUT"), (1, "x", "b", "USES_RECORD_LAYOUT"), (1, None, "d", "USES_RECORD_LAYOUT"), (1, "x", "d", "READS"))
     ready = {r.artifact_id: (r.readiness, r.mapped_dataset, r.n_columns) for r in structures.readiness(layouts, columns, edges).collect()}
     assert ready == {"a": ("READY", "first", 1), "b": ("REVIEW_REQUIRED", "x", 2), "c": ("NOT_MIGRATABLE", None, 0), "d": ("INSUFFICIENT_EVIDENCE", None, 1), None: ("NOT_MIGRATABLE", None, 0)}
+
+
+def test_marked_rows(spark):
+    left = rows(spark, "k long, n int", (1, 1), (1, 2), (2, 3), (3, 4), (None, 5))
+    right = rows(spark, "o long, f string", (1, "R"), (1, "A"), (2, None), (2, "A"), (None, "R"), (4, "R"))
+    found = lookup.marked(left, "k", right, "o", back=F.col("f") == "R")
+    assert got(found, "k", "n", "back") == ["(1, 1, True)", "(1, 2, True)", "(2, 3, False)"]
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert lookup.marked(left, "k", right.limit(0), "o", back=F.col("f") == "R").count() == 0
