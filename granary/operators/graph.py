@@ -39,7 +39,8 @@ def from_evidence(evidence: DataFrame) -> DataFrame:
     files = edges(of("SELECT"), "artifact_id", "value", "ACCESSES")
     programs = edges(of("EXEC").where("value <> 'UNKNOWN'"), "artifact_id", "value", "EXECUTES_PROGRAM")
     named = of("DD").withColumn("dataset", F.col("properties")["dataset"]).where(~F.col("dataset").isin(*NO_DATASET))
-    used = edges(named, "artifact_id", "dataset", "ALLOCATES").unionByName(edges(named, "artifact_id", "dataset", "ALLOCATES_DATASET"))
+    # both kinds from one reading of the statements
+    used = edges(named, "artifact_id", "dataset", "").withColumn("rel_type", F.explode(F.array(F.lit("ALLOCATES"), F.lit("ALLOCATES_DATASET"))))
     return files.unionByName(programs).unionByName(used).distinct()
 
 
