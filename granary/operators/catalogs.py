@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -44,14 +46,17 @@ def listing_facts(rows: DataFrame, datasets: DataFrame, whole: bool = False) ->
     The header's first match tells a number, its digits the value; a cell names every dataset that is part of its text, or,
     if whole, that it spells as a whole name.
     """
-    cells = F.map_entries("cells")
     digits = lambda v: or_null(F.regexp_replace(v, r"\D", "")).cast("long")
 
+    # a cell's digits are read once, for all numbers that its header may tell
+    rows = rows.withColumn("_cells", F.transform(F.map_entries("cells"), lambda e: F.struct(F.upper(e["key"]).alias("key"), e["value"].alias("value"), digits(e["value"]).alias("number"))))
+    cells = F.col("_cells")
+
     def number(words: tuple[str, ...]) -> Column:
-        right = F.filter(cells, lambda e: F.upper(e["key"]).rlike("|".join(words)) & digits(e["value"]).isNotNull())
-        return digits(F.try_element_at(right, F.lit(1))["value"])
+        right = F.filter(cells, lambda e: reduce(Column.__or__, [e["key"].contains(w) for w in words]) & e["number"].isNotNull())
+        return F.try_element_at(right, F.lit(1))["number"]
 
-    kinds = F.upper(F.array_join(F.transform(F.filter(cells, lambda e: F.upper(e["key"]).contains("TYPE")), lambda e: e["value"]), " "))
+    kinds = F.upper(F.array_join(F.transform(F.filter(cells, lambda e: e["key"].contains("TYPE")), lambda e: e["value"]), " "))
     organization = F.coalesce(*[F.when(kinds.contains(x), x) for x in ORGANIZATIONS], F.lit("UNKNOWN"))
     facts = [*[number(w).alias(k) for k, w in NUMBERS.items()], organization.alias("organization")]
     if whole:
