@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from granary.functions.text import basename, col, extension, or_null, stem
 from granary.operators.program import IGNORED_QUALIFIERS
 from granary.operators.substrings import substring_join, word_join
+from granary.sources.repository import dealt
 
 # fixed values: languages in the order in which they are tried, with the type of their programs
 LANGUAGES = {"COBOL": "cobol", "PL/I": "pli", "Natural": "natural", "RPG": "rpg"}
@@ -111,17 +112,21 @@ def slices(lines: DataFrame, relevant: Column) -> DataFrame:
 
 # fixed value: sources up to so many characters are taken whole
 SHORT = 6000
+CHARACTERS_A_TASK = 16_000_000
 
 
 def relevant_source(files: DataFrame, relevant: Column) -> DataFrame:
     """files (path, content) with source: a short content as it is, of a long one its `slices` by relevant (over text), and
     where these are blank its first characters."""
     text = F.coalesce("content", F.lit(""))
+    # dealt by counted characters before they become lines, so a task's lines do not grow with the input
+    size = files.agg(F.sum(F.length(text))).first()[0] or 0
+    files = files.repartition(1 + size // CHARACTERS_A_TASK, "path")
     long_ones = files.where(F.length(text) > SHORT).select("path", F.posexplode(F.split("content", r"\R")).alias("line_no", "text"))
     kept = slices(long_ones, relevant).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("line_no", "text"))).alias("_lines"))
     kept = kept.select("path", F.array_join(F.transform("_lines", lambda x: x["text"]), "\n").alias("_kept"))
     cut = F.when(F.trim(F.coalesce("_kept", F.lit(""))) != "", F.col("_kept")).otherwise(F.left(text, F.lit(SHORT)))
-    return files.join(kept, "path", "left").withColumn("source", F.when(F.length(text) <= SHORT, F.col("content")).otherwise(cut)).drop("_kept")
+    return files.join(dealt(kept), "path", "left").withColumn("source", F.when(F.length(text) <= SHORT, F.col("content")).otherwise(cut)).drop("_kept")
 
 
 def detected_language(artifacts: DataFrame, *by: str) -> DataFrame:
