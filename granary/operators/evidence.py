@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from granary.functions.text import keyword_value, or_null
+from granary.sources.repository import spread
 
 NAME = r"[A-Z0-9#$@-]+"
 JCL_NAME = r"[A-Z0-9#$@]"
@@ -92,7 +93,7 @@ def logical_lines(lines: DataFrame) -> DataFrame:
 
     A card that is no control card ends what is open and stands alone.
     """
-    rows = lines.select("path", "line_no", F.rtrim("text").alias("text")).where(~F.col("text").startswith("//*"))
+    rows = spread(lines, "path").select("path", "line_no", F.rtrim("text").alias("text")).where(~F.col("text").startswith("//*"))
     order = W.partitionBy("path").orderBy("line_no")
     control = F.col("text").startswith("//")
     rows = rows.withColumn("_goes_on", control & F.rtrim("text").endswith(","))
@@ -134,7 +135,7 @@ def data_definitions(lines: DataFrame) -> DataFrame:
     """DD statements with their continuation cards, owning step, and place in a concatenation."""
     order = W.partitionBy("path").orderBy("line_no")
     so_far = order.rowsBetween(W.unboundedPreceding, W.currentRow)
-    rows = lines.select("path", "line_no", F.rtrim("text").alias("text"))
+    rows = spread(lines, "path").select("path", "line_no", F.rtrim("text").alias("text"))
     control = F.col("text").startswith("//") & ~F.col("text").startswith("//*")
     dd = rf"(?i)^//({JCL_NAME}{{0,8}})\s+DD\b(.*)"
     kind = (

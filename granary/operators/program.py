@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from granary.functions.text import code_area, is_comment, or_null
 from granary.operators.lookup import best
+from granary.sources.repository import spread
 
 # fixed values: verbs that make an operation
 VERBS = "OPEN|READ|WRITE|REWRITE|DELETE|START|CLOSE|SORT|MERGE|PERFORM|CALL|MOVE|IF|EVALUATE"
@@ -22,7 +23,7 @@ NAME = r"[A-Z0-9#$@-]+"
 
 def markers(lines: DataFrame) -> DataFrame:
     """(path, line_no, division, kind, name, target) of the lines that mark structure; the first rule that holds."""
-    rows = lines.select("path", "line_no", code_area("text").alias("text")).where(~is_comment("text"))
+    rows = spread(lines, "path").select("path", "line_no", code_area("text").alias("text")).where(~is_comment("text"))
     of = lambda p, i=1: F.upper(or_null(F.regexp_extract("text", rf"(?i){p}", i)))
     so_far = W.partitionBy("path").orderBy("line_no").rowsBetween(W.unboundedPreceding, W.currentRow)
     rows = rows.withColumn("_div", of(r"^\s*(IDENTIFICATION|ENVIRONMENT|DATA|PROCEDURE)\s+DIVISION\."))
