@@ -11,14 +11,18 @@ within two bits have a common one), and every fingerprint at a point links to th
 rows grow with the number of fingerprints, not of pairs.
 
 Similar texts (`keep_similar`).  Texts whose sets of five-word shingles have a Jaccard coefficient of 0.8 differ in some
-15 of 100 bits, which no 64-bit print can look up.  There a print has WORDS independent words of 64 bits; a pair is a
-candidate if in one word it has a chain on the ring: two consecutive segments that agree exactly (the key, of one width
-for any number of texts) and then cumulative differences within budgets in proportion to the word's.  Candidates within the
-budget of all words together are held against each other by their exact coefficient.  In a key that more than CROWD prints
-share, texts are first held against the smallest one, LEADERS times; those that are verified to be similar to one leader
-are connected, so they are not compared with each other again, but with the rest of the key.  So the size of a key changes
-the way and not the groups.  A pair at 0.8 has a chain with a probability of some 0.9, a nearer one more (see the tests),
-whatever other texts there are.  Pairs that share a key by chance grow with the square of the number of texts.
+15 of 100 bits, which no 64-bit print can look up, and keys short enough to be equal by then are shared by chance: their
+pairs grow with the square of the number of texts.  So candidates share a key of KEY_MINIMA smallest hashes of shingles
+under as many permutations, one of KEYS choices among MINIMA.  A text has KEYS keys whatever other texts there are, and
+unrelated texts share none.  A pair at 0.8 shares one with a probability of 0.9 or more (see the tests), nearer ones more.
+Candidates within the budget of a print of WORDS independent words of 64 bits are held against each other by their exact
+coefficient.
+
+In a key that more than SIMILAR_CROWD sets of shingles share, texts are first held against the one that stands in the largest
+crowds, LEADERS times: of copies that were edited one by one that is the text they come from, or near it.  Those that are
+verified to be similar to one leader are connected, so they are not compared with each other again, but with the rest of
+the key.  So the size of a key changes the way and not the groups.  What is left to compare are texts of a crowd that are
+similar to no leader, with those that share one of their keys.
 
 Defined results: a null, empty or blank text has fingerprint zero, linked like any other; fewer words than SHINGLE make
 one shingle; equal rows have equal fingerprints and so one component; an id that occurs twice stays twice; other columns
@@ -35,6 +39,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from granary.llm.bytes_np import LOWER_TABLE, mixed
@@ -51,13 +56,26 @@ CROWD = 32
 SIMILAR_SHINGLE = 5
 LEAST_SIMILARITY = 0.8
 WORDS = 8
-#: Segments of a word of a print; two of them are a key, of some 18 bits for any number of texts.
+#: Smallest hashes that a text is known by, keys made from them, hashes that make a key.
+MINIMA = 256
+KEYS = 144
+KEY_MINIMA = 16
+#: Sets of shingles of a key up to which they are compared in pairs.
+SIMILAR_CROWD = 8
+#: Segments of a word of a print; two of them are a key where there are prints alone.
 SIMILAR_SEGMENTS = 7
 #: Rounds in which crowded keys follow a leader.
 LEADERS = 3
 #: Standard deviations that a candidate's difference may exceed the expected one of the least similarity.
 SLACK = 2.0
 
+# permutations of 32 bits (odd factors and offsets), the minima of each key, and what makes one number of them
+_FACTORS = (mixed(np.arange(1, MINIMA + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+_OFFSETS = mixed(np.arange(1, MINIMA + 1, dtype=np.uint64)).astype(np.uint32)
+# every minimum stands in equally many keys
+_CHOICE = np.argsort(mixed(np.arange(1, KEYS * KEY_MINIMA + 1, dtype=np.uint64) << np.uint64(20)).reshape(-1, MINIMA), axis=1).reshape(KEYS, KEY_MINIMA)
+_SCALES = mixed(np.arange(1, KEY_MINIMA + 1, dtype=np.uint64) << np.uint64(40)) | np.uint64(1)
+
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)[None, :]) & 1).astype(np.int64)
 
 
@@ -219,14 +237,31 @@ def budget(similarity: float, bits: int, slack: float = SLACK) -> int:
     return int(bits * p + slack * math.sqrt(bits * p * (1 - p)))
 
 
-def wide_print(text: str | None, shingle: int = SIMILAR_SHINGLE, words: int = WORDS) -> tuple[int, np.ndarray]:
-    """A hash of the set of a text's shingles, and its print of so many words."""
+def minima(hashes: np.ndarray) -> np.ndarray:
+    """The smallest of a set of hashes under each of MINIMA permutations; two sets agree in one with their coefficient."""
+    out = np.full(MINIMA, 0xFFFFFFFF, np.uint32)
+    high = (hashes >> np.uint64(32)).astype(np.uint32)
+    for i in range(0, len(high), 1 << 12):
+        out = np.minimum(out, (high[i : i + (1 << 12)] * _FACTORS[:, None] + _OFFSETS[:, None]).min(axis=1))
+    return out
+
+
+def keys_of(found: np.ndarray) -> np.ndarray:
+    """The KEYS keys of each row of minima, as longs."""
+    line = np.zeros((len(found), KEYS), np.uint64)
+    for r in range(KEY_MINIMA):
+        line += found[:, _CHOICE[:, r]] * _SCALES[r]
+    return mixed(line + mixed(np.arange(1, KEYS + 1, dtype=np.uint64))).view(np.int64)
+
+
+def wide_print(text: str | None, shingle: int = SIMILAR_SHINGLE, words: int = WORDS) -> tuple[int, np.ndarray, np.ndarray]:
+    """A hash of the set of a text's shingles, its print of so many words, and its minima."""
     found = shingle_hashes(text, shingle)
     found.sort()
     found = found[np.concatenate([[True], found[1:] != found[:-1]])[: len(found)]]
     own = xxhash.xxh64_intdigest(found.tobytes())
     if not len(found):
-        return own, np.zeros(words, np.uint64)
+        return own, np.zeros(words, np.uint64), minima(found)
     ones = np.zeros((8 * words, 256), np.float32)
     offset = np.arange(8 * words) << 8
     steps = np.arange(words, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -234,84 +269,97 @@ def wide_print(text: str | None, shingle: int = SIMILAR_SHINGLE, words: int = WO
         at = mixed(found[i : i + (1 << 14), None] + steps).copy().view(np.uint8).reshape(-1, 8 * words)
         ones += np.bincount((at + offset).ravel(), minlength=len(offset) << 8).reshape(-1, 256)
     bits = 2 * (ones @ _BITS.astype(np.float32)).ravel() > len(found)
-    return own, np.packbits(bits, bitorder="little").view(np.uint64)
+    return own, np.packbits(bits, bitorder="little").view(np.uint64), minima(found)
 
 
 def _wide_prints(docs: DataFrame, shingle: int, words: int) -> DataFrame:
-    """row, doc_id, kind (which set of shingles) and the words w0, w1, .. of every row's print."""
+    """row, doc_id, kind (which set of shingles), the words w0, w1, .. of every row's print, and its minima."""
     names = [f"w{k}" for k in range(words)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [wide_print(x.as_py(), shingle, words) for x in batch.column(2)]
-            kind = np.array([k for k, _ in found], np.uint64).view(np.int64)
-            line = np.array([w for _, w in found], np.uint64).reshape(-1, words).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(kind), *(pa.array(np.ascontiguousarray(line[:, k])) for k in range(words))], ["row", "doc_id", "kind", *names])
+            kind = np.array([k for k, _, _ in found], np.uint64).view(np.int64)
+            line = np.array([w for _, w, _ in found], np.uint64).reshape(-1, words).view(np.int64)
+            least = pa.array([m.tobytes() for _, _, m in found], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(kind), *(pa.array(np.ascontiguousarray(line[:, k])) for k in range(words)), least], ["row", "doc_id", "kind", *names, "minima"])
 
-    return docs.select(_row().alias("row"), "doc_id", "text").mapInArrow(run, "row long, doc_id long, kind long, " + ", ".join(f"{n} long" for n in names))
+    return docs.select(_row().alias("row"), "doc_id", "text").mapInArrow(run, "row long, doc_id long, kind long, " + ", ".join(f"{n} long" for n in names) + ", minima binary")
 
 
-def _row() -> Column:
-    """What tells rows apart: their id and text."""
-    return F.xxhash64("doc_id", "text")
+def _minima_keys(kinds: DataFrame) -> DataFrame:
+    """key, kind: KEYS rows for each row of kinds (kind, minima)."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                batch = whole.slice(at, 500)
+                found = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, MINIMA)
+                kind = np.repeat(batch.column(0).to_numpy(), KEYS)
+                yield pa.RecordBatch.from_arrays([pa.array(keys_of(found).ravel()), pa.array(kind)], ["key", "kind"])
 
-def _chained(start: Column, difference: Column, most: int, segments: int, exact: int) -> Column:
-    """Whether the runs from start that are longer than the key keep their budgets."""
-    chained = F.lit(False)
-    for i in range(segments):
-        total, ok = F.lit(0), F.lit(True)
-        for length in range(exact + 1, segments + 1):
-            total = total + F.bit_count(_segment(difference, i + length - 1, segments))
-            ok = ok & (total * segments <= length * most)
-        chained = chained | ((start == i) & ok)
-    return chained
+    return kinds.select("kind", "minima").mapInArrow(run, "key long, kind long")
 
 
-def similar_pairs(prints: DataFrame, verified: Callable[[DataFrame], DataFrame], words: int = WORDS, similarity: float = LEAST_SIMILARITY, crowd: int = CROWD) -> DataFrame:
-    """(a, b), a < b: links between kinds, enough to connect all verified ones whose prints have a chain and are near.
+def _row() -> Column:
+    """What tells rows apart: their id and text."""
+    return F.xxhash64("doc_id", "text")
 
-    prints: distinct kind with words; verified: of pairs (a, b) those that are links.  Whether two kinds are held against
-    each other depends on their prints alone.  crowd decides how a key's pairs are gone through, not which are connected:
-    two kinds are only left apart if both are verified links of one leader.
-    """
-    segments, exact = SIMILAR_SEGMENTS, 2
-    per_word, in_all = budget(similarity, 64), budget(similarity, 64 * words)
-    cuts = _cuts(segments)
+
+def _ring_keys(prints: DataFrame, words: int) -> DataFrame:
+    """key, kind: for each start on the ring of each word the two segments there, of some 18 bits."""
+    segments, cuts = SIMILAR_SEGMENTS, _cuts(SIMILAR_SEGMENTS)
     keys = []
     for k in range(words):
         for i in range(segments):
             second = F.shiftleft(_segment(F.col(f"w{k}"), i + 1, segments), cuts[i + 1] - cuts[i])
-            keys.append(F.struct(F.lit(k * segments + i).alias("start"), _segment(F.col(f"w{k}"), i, segments).bitwiseOR(second).alias("key"), F.col(f"w{k}").alias("word")))
-    keyed = prints.select("kind", F.explode(F.array(*keys)).alias("k")).select("k.start", "k.key", "kind", "k.word")
-    sizes = keyed.groupBy("start", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = written(keyed.join(sizes, ["start", "key"]), "similar-keys")
-    # what unrelated prints put into a key grows with their number and makes no crowd
-    crowd += 4 * (prints.count() >> 128 // segments)
-    rest, crowded = shared.where(F.col("n") <= crowd).drop("n"), shared.where(F.col("n") > crowd).drop("n")
-    fits = _chained(F.col("start") % segments, F.col("word").bitwiseXOR(F.col("_word")), per_word, segments, exact)
-    other = rest.select("start", "key", F.col("kind").alias("b"), F.col("word").alias("_word"))
-    pairs = rest.join(other, ["start", "key"]).where((F.col("kind") < F.col("b")) & fits).select(F.col("kind").alias("a"), "b")
-    found, alone = None, crowded
+            keys.append(_segment(F.col(f"w{k}"), i, segments).bitwiseOR(second).bitwiseOR(F.lit((k * segments + i) << 32)))
+    return prints.select(F.explode(F.array(*keys)).alias("key"), "kind")
+
+
+def similar_pairs(
+    prints: DataFrame, verified: Callable[[DataFrame], DataFrame], words: int = WORDS, similarity: float = LEAST_SIMILARITY, crowd: int = SIMILAR_CROWD, *, keyed: DataFrame | None = None
+) -> DataFrame:
+    """(a, b), a < b: links between kinds, enough to connect all verified ones that share a key and whose prints are near.
+
+    prints: distinct kind with words; verified: of pairs (a, b) those that are links; keyed: key, kind, without it the
+    segments of the prints.  Whether two kinds are held against each other depends on their keys and prints alone.  crowd
+    decides how a key's pairs are gone through, not which are connected: two kinds are only left apart if both are
+    verified links of one leader.
+    """
+    in_all = budget(similarity, 64 * words)
+    keyed = _ring_keys(prints, words) if keyed is None else keyed
+    counted = keyed.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("key")))
+    shared = written(counted.where("n > 1"), "similar-keys")
+    rest, crowded = shared.where(F.col("n") <= crowd).drop("n"), shared.where(F.col("n") > crowd)
+    other = rest.select("key", F.col("kind").alias("b"))
+    pairs = rest.join(other, "key").where(F.col("kind") < F.col("b")).select(F.col("kind").alias("a"), "b")
+    found = None
+    # the weight of a kind is the size of its crowds: the middle of a group of near copies stands in all the large ones
+    weights = crowded.groupBy("kind").agg(F.sum("n").alias("weight"))
+    crowded = written(crowded.drop("n").join(weights, "kind"), "similar-crowds")
+    alone = crowded
     for _ in range(LEADERS):
         if not alone.take(1):
             break
-        led = alone.groupBy("start", "key").agg(F.min(F.struct("kind", "word")).alias("a")).select("start", "key", F.col("a.kind").alias("a"), F.col("a.word").alias("_word"))
-        tried = alone.join(led, ["start", "key"]).where("kind <> a")
-        near = written(verified(_near(tried.where(fits).select("a", F.col("kind").alias("b")).distinct(), prints, words, in_all)), "similar-led")
+        led = alone.groupBy("key").agg(F.max(F.struct("weight", "kind"))["kind"].alias("a"))
+        tried = alone.join(led, "key").where("kind <> a")
+        near = written(verified(_near(tried.select("a", F.col("kind").alias("b")).distinct(), prints, words, in_all)), "similar-led")
         found = near if found is None else found.unionByName(near)
-        alone = written(tried.drop("a", "_word").join(near.select(F.col("b").alias("_gone")).distinct(), F.col("kind") == F.col("_gone"), "left_anti"), "similar-crowds")
+        alone = written(tried.drop("a").join(near.select(F.col("b").alias("_gone")).distinct(), F.col("kind") == F.col("_gone"), "left_anti"), "similar-crowds")
     if found is not None:
         # all of a key but its largest group of one leader is compared with the whole key
-        leaders = found.select(F.col("a").alias("_led"), F.col("a").alias("_leader")).unionByName(found.select(F.col("b").alias("_led"), F.col("a").alias("_leader"))).groupBy("_led").agg(F.min("_leader").alias("_leader"))
-        grouped = written(crowded.join(leaders, F.col("kind") == F.col("_led"), "left").select("start", "key", "kind", "word", F.coalesce("_leader", "kind").alias("group")), "similar-groups")
-        counted = grouped.groupBy("start", "key", "group").agg(F.count(F.lit(1)).alias("n"))
-        largest = counted.groupBy("start", "key").agg(F.max_by("group", F.struct("n", "group")).alias("main"))
-        grouped = grouped.join(largest, ["start", "key"])
-        whole = grouped.select("start", "key", F.col("kind").alias("_kind"), F.col("word").alias("_word"), F.col("group").alias("_group"), (F.col("group") == F.col("main")).alias("_main"))
+        leaders = found.select(F.col("a").alias("_led"), F.col("a").alias("kind")).unionByName(found.select(F.col("b").alias("_led"), F.col("a").alias("kind")))
+        leaders = leaders.join(weights, "kind").groupBy("_led").agg(F.max(F.struct("weight", "kind"))["kind"].alias("_leader"))
+        grouped = written(crowded.join(leaders, F.col("kind") == F.col("_led"), "left").select("key", "kind", F.coalesce("_leader", "kind").alias("group")), "similar-groups")
+        counted = grouped.groupBy("key", "group").agg(F.count(F.lit(1)).alias("n"))
+        largest = counted.groupBy("key").agg(F.max_by("group", F.struct("n", "group")).alias("main"))
+        grouped = grouped.join(largest, "key")
+        whole = grouped.select("key", F.col("kind").alias("_kind"), F.col("group").alias("_group"), (F.col("group") == F.col("main")).alias("_main"))
         apart = (F.col("group") != F.col("_group")) & (F.col("_main") | (F.col("kind") < F.col("_kind")))
-        across = grouped.where("group <> main").join(whole, ["start", "key"]).where(apart & fits)
+        across = grouped.where("group <> main").join(whole, "key").where(apart)
         pairs = pairs.unionByName(across.select(F.least("kind", "_kind").alias("a"), F.greatest("kind", "_kind").alias("b")))
+        found = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = verified(_near(pairs.distinct(), prints, words, in_all))
     return pairs if found is None else pairs.unionByName(found).distinct()
 
@@ -359,7 +407,7 @@ def similar_groups(docs: DataFrame, shingle: int = SIMILAR_SHINGLE, similarity:
     prints = written(_wide_prints(docs, shingle, words), "similar-prints")
     columns = [f"w{k}" for k in range(words)]
     # one row for each set of shingles: copies are one row from here on
-    kinds = prints.groupBy("kind").agg(F.min("doc_id").alias("first_id"), F.min("row").alias("first_row"), F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in columns])
+    kinds = prints.groupBy("kind").agg(F.min("doc_id").alias("first_id"), F.min("row").alias("first_row"), F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in (*columns, "minima")])
     kinds = written(kinds, "similar-kinds")
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -368,7 +416,7 @@ def similar_groups(docs: DataFrame, shingle: int = SIMILAR_SHINGLE, similarity:
         texts = docs.select(_row().alias("_row"), "text").join(named, F.col("_row") == F.col("first_row")).select("kind", "text").dropDuplicates(["kind"])
         return _verified(pairs, texts, shingle, similarity)
 
-    roots = components(similar_pairs(kinds.select("kind", *columns), verified, words, similarity))
+    roots = components(similar_pairs(kinds.select("kind", *columns), verified, words, similarity, keyed=_minima_keys(kinds)))
     rooted = kinds.join(roots, kinds["kind"] == roots["node"], "left").select("kind", "first_id", "n", F.coalesce("root", "kind").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"), F.sum("n").alias("size"))
     labels = rooted.join(smallest.where("size > 1"), "root").select(F.col("kind").alias("_kind"), "component_id")

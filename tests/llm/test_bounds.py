@@ -66,3 +66,35 @@ def test_similar_groups_do_not_depend_on_the_crowd(spark, monkeypatch):
         monkeypatch.setattr(simhash_dedup.similar_pairs, "__defaults__", (simhash_dedup.WORDS, simhash_dedup.LEAST_SIMILARITY, crowd))
         got.append({x.doc_id: x.component_id for x in simhash_dedup.similar_groups(docs).collect()})
     assert got[0] == got[1] == got[2] and len(set(got[0].values())) == 1
+
+
+def test_unrelated_texts_share_no_key_of_similar_texts(spark, monkeypatch):
+    import random
+
+    r = random.Random(11)
+    texts = [" ".join(r.choices([f"w{i}" for i in range(3000)], k=60)) for _ in range(1500)]
+    rows = {}
+
+    def counted(df, label):
+        out = written(df, label)
+        rows[label] = max(rows.get(label, 0), out.count())
+        return out
+
+    written = simhash_dedup.written
+    monkeypatch.setattr(simhash_dedup, "written", counted)
+    docs = spark.createDataFrame(list(enumerate(texts + [texts[0] + " more"])), "doc_id long, text string")
+    found = {x.doc_id: x.component_id for x in simhash_dedup.similar_groups(docs).collect()}
+    assert found.pop(1500) == 0 and all(i == c for i, c in found.items())
+    assert rows["similar-kinds"] == 1501 and rows["similar-keys"] <= 2 * 144 and rows["similar-pairs"] == 1
+
+
+def test_pairs_at_the_least_similarity_share_a_key():
+    import numpy as np
+
+    r = np.random.default_rng(2)
+    shared = 0
+    for _ in range(300):  # 160 of 180 hashes each: a coefficient of 0.8
+        x = r.integers(0, 2**63, 200, dtype=np.int64).astype(np.uint64) * np.uint64(2)
+        one, two = simhash_dedup.keys_of(np.stack([simhash_dedup.minima(x[:180]), simhash_dedup.minima(x[20:])]))
+        shared += bool((one == two).any())
+    assert shared >= 270
