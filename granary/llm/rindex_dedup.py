@@ -11,7 +11,8 @@ what is spread over the cluster is the index.
    matter how many documents share them: a passage in a third of all documents is one stretch a chunk.  A minimizer that
    occurs more than HOT times may stand in as many different surroundings; its strings are dealt one by one, by a hash of
    all their bytes, so no bucket grows with it.
-3. Index.  A bucket takes its stretches in parts of some INDEX_BYTES.  The distinct ones lie in a line, whose
+3. Index.  There are as many buckets as the counted bytes of the shared stretches need at BUCKET_BYTES each.  A bucket
+   takes its stretches in parts of some INDEX_BYTES.  The distinct ones lie in a line, whose
    Burrows-Wheeler transform is kept as runs (symbol, first row, first mapped row) with the places of the suffixes at both
    ends of each run as samples; the suffix array is dropped.  For each string of LENGTH bytes of the line the index keeps
    the row at which its interval begins and the smallest document that has it.
@@ -19,9 +20,9 @@ what is spread over the cluster is the index.
    the walk goes on from the nearer ends of the symbol's runs above and below, of which the sample that agrees longer with
    the text is taken.  So each place gets a row, a place in the line and the length to which both agree; where that is
    LENGTH or more, the row's interval tells whether a smaller document has the string.
-5. Cutting.  The marks go back to their chunks, one bit a string, where they are merged and cut.
+5. Cutting.  The marks go back to their chunks, one bit a string, where they are merged and cut, some documents at a time.
 
-Hashes decide only where strings meet; strings are compared byte by byte.
+A task's memory follows from these constants and from the longest text, not from the number of texts.  Hashes decide only where strings meet; strings are compared byte by byte.
 
 Defined results: a null or empty text has no bytes and loses none; a null id is larger than every other; rows with equal
 ids do not remove from each other; strings never cross documents; other columns are left alone; an empty table gives an
@@ -37,17 +38,24 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.bytes_np import Rolling, ranges, sliding_min
-from granary.llm.chunks import Chunk, Merged, answered, ids_of, n_buckets, opened, pack, restored, sent, slices, squeezed
+from granary.llm.bytes_np import Rolling, mixed, ranges, sliding_min
+from granary.llm.chunks import Chunk, Merged, answered, bucket_of, chunk_size, ids_of, n_buckets, opened, restored, sent, slices, squeezed
+from granary.llm.chunks import pack as packed
 from granary.llm.common import written
 
 LENGTH = 50
 K = 20
 #: Occurrences of a minimizer beyond which its strings are dealt one by one.
 HOT = 1 << 18
-#: Bytes of a bucket's stretches that are indexed at once: some 60 bytes of memory each.
-INDEX_BYTES = 2_000_000
-#: Bytes of a chunk that are hashed at once.
+#: Bytes of a chunk at the most (one longer document stands alone): some 12 bytes of memory each.
+MOST_CHUNK_BYTES = 16_000_000
+#: Bytes of stretches in a bucket.
+BUCKET_BYTES = 32_000_000
+#: Bytes of a bucket's stretches that are indexed at once, some 60 bytes of memory each; larger indexes are also slower.
+INDEX_BYTES = 250_000
+#: Bytes of stretches with one minimizer beyond which a bucket takes their strings one by one.
+MOST_INDEX_BYTES = 2_000_000
+#: Bytes of a chunk that are hashed or cut at once.
 BLOCK = 1 << 19
 #: Stands for a null id: after every other.
 LAST = np.iinfo(np.int64).max
@@ -215,9 +223,9 @@ class Anchored:
 
     def __init__(self, chunk: Chunk, length: int = LENGTH, k: int = K) -> None:
         parts = [_stretches(chunk, a, min(a + BLOCK, len(chunk.data) - length + 1), length, k) for a in range(0, len(chunk.data) - length + 1, BLOCK)]
-        parts.append((np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)))
+        parts.append((np.empty(0, np.int32), np.empty(0, np.int32), np.empty(0, np.uint64)))
         self.start, self.count, self.key = (np.concatenate(x) for x in zip(*parts, strict=True))
-        self.doc = np.searchsorted(chunk.starts, self.start, "right") - 1
+        self.doc = (np.searchsorted(chunk.starts, self.start, "right") - 1).astype(np.int32)
 
     def minimizers(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct minimizers in order, in how many stretches each is, and whether two documents have it."""
@@ -245,7 +253,8 @@ def _stretches(chunk: Chunk, a: int, b: int, length: int, k: int) -> tuple[np.nd
     head[1:] &= ~inside[:-1] | (place[1:] != place[:-1])
     at = np.flatnonzero(head)
     before = np.concatenate([[0], np.cumsum(inside)])
-    return at + a, np.diff(np.append(before[at], before[-1])), grams[place[at]]
+    # minimizers are small hashes: mixed once more, they are spread evenly over the buckets
+    return (at + a).astype(np.int32), np.diff(np.append(before[at], before[-1])).astype(np.int32), mixed(grams[place[at]])
 
 
 def span_hashes(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -266,8 +275,8 @@ def _distinct(data: np.ndarray, start: np.ndarray, length: np.ndarray, owners: n
     # equal hashes are compared byte by byte; a span that differs from its first is a spelling of its own
     twin = np.flatnonzero(first[number] != np.arange(len(start)))
     odd = [twin[:0]]
-    for i in range(0, len(twin), 1 << 14):
-        x = twin[i : i + (1 << 14)]
+    for i in range(0, len(twin), 1 << 12):
+        x = twin[i : i + (1 << 12)]
         y = first[number[x]]
         same = length[x] == length[y]
         size = np.where(same, length[x], 1)
@@ -286,7 +295,7 @@ def _owners(chunk: Chunk) -> np.ndarray:
 
 
 _SENT = "bucket int, chunk_id long, keys binary, times binary"
-_SHARED = "chunk_id long, bucket int, answer binary"
+_SHARED = "chunk_id long, bucket int, answer binary, n_bytes long"
 _STRETCHES = "bucket int, chunk_id long, part binary, counts binary, owners binary, data binary"
 _FOUND = "chunk_id long, bucket int, answer binary"
 _OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans binary"
@@ -305,9 +314,10 @@ class Shared:
         plain, hot = np.flatnonzero(state == 1), np.flatnonzero(state == 2)
         # the strings of hot stretches, one by one, keyed by all their bytes
         start = np.concatenate([a.start[plain], ranges(a.start[hot], a.count[hot])])
-        count = np.concatenate([a.count[plain], np.ones(len(start) - len(plain), np.int64)])
+        count = np.concatenate([a.count[plain], np.ones(len(start) - len(plain), np.int32)])
         doc = np.concatenate([a.doc[plain], np.repeat(a.doc[hot], a.count[hot])])
         key = np.concatenate([a.key[plain], span_hashes(chunk.data, start[len(plain) :], count[len(plain) :] + LENGTH - 1)])
+        del a, keys, state, plain, hot
         order = np.argsort(start, kind="stable")
         self.start, self.count, self.doc, key = start[order], count[order], doc[order], key[order]
         self.owner = _owners(chunk)[self.doc]
@@ -338,6 +348,34 @@ def repeated(data: np.ndarray, counts: np.ndarray, owners: np.ndarray, length: i
     return marks[ranges(mark_start[number], counts)] | np.repeat(owners > smallest[number], counts)
 
 
+def repeated_in_parts(data: np.ndarray, counts: np.ndarray, owners: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """The same as `repeated`, some INDEX_BYTES at a time.  part: a byte for each stretch, equal where strings are equal."""
+    sizes = counts + LENGTH - 1
+    starts, mark_start = np.cumsum(sizes) - sizes, np.cumsum(counts) - counts
+    marks = np.zeros(int(counts.sum()), bool)
+    parts = min(256, -(-len(data) // INDEX_BYTES))
+    of = part.astype(np.int64) * parts >> 8
+    for p in range(parts):
+        own = np.flatnonzero(of == p)
+        at = ranges(mark_start[own], counts[own])
+        if int(sizes[own].sum()) > MOST_INDEX_BYTES:  # many surroundings of one minimizer: its strings one by one
+            first, who = ranges(starts[own], counts[own]), np.repeat(owners[own], counts[own])
+            n = -(-len(first) * LENGTH // INDEX_BYTES)
+            dealt = bucket_of(span_hashes(data, first, np.full(len(first), LENGTH)), n).astype(np.int32)
+            order = np.argsort(dealt, kind="stable")
+            for x in np.split(order, np.searchsorted(dealt[order], np.arange(1, n))):
+                one = np.ones(len(x), np.int64)
+                marks[at[x]] = repeated(data[ranges(first[x], one * LENGTH)], one, who[x])
+        elif len(own):
+            marks[at] = repeated(data[ranges(starts[own], sizes[own])], counts[own], owners[own])
+    return marks
+
+
+def pack(docs: DataFrame) -> DataFrame:
+    """The chunk table of docs, of chunks of a bounded size."""
+    return packed(docs, chunk_bytes=min(MOST_CHUNK_BYTES, chunk_size(docs)))
+
+
 def mark(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and spans (pairs of 64-bit byte places) of every row of docs."""
     spark = docs.sparkSession
@@ -357,16 +395,22 @@ def mark(docs: DataFrame, hot: int = HOT) -> DataFrame:
         times = np.bincount(m.places, weights=told >> 1, minlength=len(m.keys))
         many = np.bincount(m.places, minlength=len(m.keys)) > 1
         many[m.places[told & 1 > 0]] = True
-        return m.answers((many * np.where(times > hot, 2, 1)).astype(np.uint8)[m.places])
+        out = m.answers((many * np.where(times > hot, 2, 1)).astype(np.uint8)[m.places])
+        # what will be sent, before each chunk leaves its copies out: stretches have some 16 strings
+        strings = (LENGTH - K + 2) // 2
+        out["n_bytes"] = 0
+        out.loc[0, "n_bytes"] = int((times * many * np.where(times > hot, strings * LENGTH, strings + LENGTH)).sum())
+        return out
 
     anchored = chunks.groupBy("chunk_id").applyInPandas(anchors, _SENT)
     shared = written(anchored.groupBy("bucket").applyInPandas(share, _SHARED), "rindex-shared")
+    parts = max(1, -(-(shared.agg(F.sum("n_bytes")).first()[0] or 0) // BUCKET_BYTES))
 
     def stretches(frame: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
         rows = []
         for chunk in opened(frame):
             own = Shared(chunk, got)
-            at = slices(own.keys, buckets)
+            at = slices(own.keys, parts)
             for b in np.flatnonzero(np.diff(at)).tolist():
                 x = slice(at[b], at[b + 1])
                 data = chunk.data[ranges(own.sent_start[x], own.sent_count[x] + LENGTH - 1)]
@@ -380,21 +424,13 @@ def mark(docs: DataFrame, hot: int = HOT) -> DataFrame:
         cut = np.cumsum([n.sum() for n in counts])[:-1]
         counts = np.concatenate(counts)
         part, owners, data = (np.concatenate([restored(x, t) for x in frame[c]]) for c, t in (("part", np.uint8), ("owners", np.int64), ("data", np.uint8)))
-        sizes = counts + LENGTH - 1
-        starts, mark_start = np.cumsum(sizes) - sizes, np.cumsum(counts) - counts
-        marks = np.zeros(int(counts.sum()), bool)
         # equal strings have one key, so they are in one part of the bucket
-        parts = min(256, -(-len(data) // INDEX_BYTES))
-        of = part.astype(np.int64) * parts >> 8
-        for p in range(parts):
-            own = np.flatnonzero(of == p)
-            if len(own):
-                marks[ranges(mark_start[own], counts[own])] = repeated(data[ranges(starts[own], sizes[own])], counts[own], owners[own])
+        marks = repeated_in_parts(data, counts, owners, part)
         return pd.DataFrame({"chunk_id": frame["chunk_id"].to_numpy(), "bucket": frame["bucket"].to_numpy(), "answer": [squeezed(x) for x in np.split(marks, cut)]})
 
     found = written(spread.groupBy("bucket").applyInPandas(index, _FOUND), "rindex-found")
     # both answers of a chunk as one table: those of the first exchange have kind 0
-    both = shared.withColumn("kind", F.lit(0)).unionByName(found.withColumn("kind", F.lit(1)))
+    both = shared.drop("n_bytes").withColumn("kind", F.lit(0)).unionByName(found.withColumn("kind", F.lit(1)))
 
     def cut(frame: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
         out = [pd.DataFrame(columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])]
@@ -406,31 +442,43 @@ def mark(docs: DataFrame, hot: int = HOT) -> DataFrame:
 
 
 def _cut(chunk: Chunk, own: Shared, marks: np.ndarray) -> pd.DataFrame:
-    n = len(chunk.data)
+    begin = np.cumsum(own.sent_count) - own.sent_count
+    rows, i, n = [], 0, len(chunk.lengths)
+    while i < n:  # some documents at a time
+        j = max(i + 1, int(np.searchsorted(chunk.starts, chunk.starts[i] + BLOCK, "right")) - 1)
+        x = slice(*np.searchsorted(own.start, chunk.starts[[i, j]]))
+        number, count = own.number[x], own.count[x]
+        hit = marks[ranges(begin[number], count)] | np.repeat(own.owner[x] > own.sent_owner[number], count)
+        rows += _cut_rows(chunk.bytes[chunk.starts[i] : chunk.starts[j]], chunk.starts[i : j + 1] - chunk.starts[i], ranges(own.start[x] - chunk.starts[i], count)[hit])
+        i = j
+    out = pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
+    out.insert(0, "doc_id", ids_of(chunk))
+    return out
+
+
+def _cut_rows(raw: bytes, starts: np.ndarray, hits: np.ndarray) -> list[tuple]:
+    """Of documents in a row, without the strings that begin at the places `hits`."""
+    n = len(raw)
     repeats = np.zeros(n + 1, bool)
-    if len(own.start):
-        begin = np.cumsum(own.sent_count) - own.sent_count
-        hit = marks[ranges(begin[own.number], own.count)] | np.repeat(own.owner > own.sent_owner[own.number], own.count)
-        repeats[ranges(own.start, own.count)[hit]] = True
+    repeats[hits] = True
     # a byte goes if one of the LENGTH strings that cover it is repeated
     before = np.cumsum(repeats[:-1], dtype=np.int32)
     gone = before > 0
     gone[LENGTH:] = before[LENGTH:] > before[:-LENGTH]
-    edge = np.diff(np.concatenate([[0], gone.astype(np.int8), [0]]))
+    edge = np.diff(np.pad(gone.astype(np.int8), 1))
     # a run of removed bytes is cut where a document ends: strings never cross, so only neighbours can touch there
     opens, closes = edge[:-1] == 1, edge[1:] == -1
-    inner = chunk.starts[1:-1]
-    inner = inner[(inner > 0) & (inner < len(gone))]
+    inner = starts[1:-1]
+    inner = inner[(inner > 0) & (inner < n)]
     both = inner[gone[inner] & gone[inner - 1]]
     opens[both] = True
     closes[both - 1] = True
     first, last = np.flatnonzero(opens), np.flatnonzero(closes) + 1
     removed = np.concatenate([[0], np.cumsum(gone)])
-    of = np.searchsorted(first, chunk.starts)
+    of = np.searchsorted(first, starts)
     rows = []
-    raw = chunk.bytes
-    for i in range(len(chunk.lengths)):
-        a, b = int(chunk.starts[i]), int(chunk.starts[i + 1])
+    for i in range(len(starts) - 1):
+        a, b = int(starts[i]), int(starts[i + 1])
         x, y = int(of[i]), int(of[i + 1])
         spans = list(zip(first[x:y].tolist(), last[x:y].tolist(), strict=True))
         h, at = hashlib.sha256(), a
@@ -439,9 +487,7 @@ def _cut(chunk: Chunk, own: Shared, marks: np.ndarray) -> pd.DataFrame:
             at = e
         h.update(raw[at:b])
         rows.append((b - a, int(removed[b] - removed[a]), y - x, h.hexdigest(), (np.array(spans, np.int64).reshape(-1, 2) - a).tobytes()))
-    out = pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
-    out.insert(0, "doc_id", ids_of(chunk))
-    return out
+    return rows
 
 
 def removed_spans(docs: DataFrame) -> DataFrame:
